@@ -11,6 +11,7 @@ from .crosssplit import cross_split, overlap_counts, overlap_pairs
 from .formatdup import format_duplicates
 from .garble import garbled
 from .leak import leaks
+from .sentences import split_sentences
 from .shared import table
 
 
@@ -87,6 +88,12 @@ def p6_overlap_counts(spark: SparkSession, d: str) -> DataFrame:
     return overlap_counts(*cross_split(_turns(spark, d)))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    wrong = garbled(_texts(spark, d, ("documents", "doc_id", "text"))).select(F.col("row_id").alias("doc_id"))
+    return split_sentences(docs.join(wrong, "doc_id", "left_anti")).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
