@@ -11,6 +11,7 @@ from .crosssplit import cross_split, overlap_counts, overlap_pairs
 from .formatdup import format_duplicates
 from .garble import garbled
 from .leak import leaks
+from .pairs import pair_defects
 from .sentences import split_sentences
 from .shared import table
 
@@ -56,6 +57,20 @@ def p2_copy_counts(spark: SparkSession, d: str) -> DataFrame:
     return _copies(spark, d).where("id = keep_id").select("tbl", "keep_id", "copies")
 
 
+def _pairs(spark, d):
+    sft = table(spark, d, "sft_raw").select(F.lit("sft_raw").alias("tbl"), F.col("record_id").alias("row_id"), F.lit("output").alias("field_name"), F.col("instruction").alias("question"), F.col("output").alias("answer"))
+    pref = table(spark, d, "pref_raw").select(F.lit("pref_raw").alias("tbl"), F.col("pref_id").alias("row_id"), F.expr("stack(2, 'response_chosen', response_chosen, 'response_rejected', response_rejected)").alias("field_name", "answer"), F.col("question"))
+    return sft.unionByName(pref)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pair_defects(_pairs(spark, d)).select("tbl", "row_id", "field_name", "defect")
+
+
+def p3_defect_counts(spark: SparkSession, d: str) -> DataFrame:
+    return pair_defects(_pairs(spark, d)).groupBy("tbl", "field_name", "defect").agg(F.count("*").alias("n"))
+
+
 def _items(spark, d):
     return table(spark, d, "mcq").select("item_id", F.col("question").alias("text")).unionByName(table(spark, d, "heldout_texts").select("item_id", "text"))
 
