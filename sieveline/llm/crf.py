@@ -76,7 +76,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) ->
     return out
 
 
-def train_chain(features: list[list[int]], labels: np.ndarray, lengths: np.ndarray, n_features: int, n_labels: int, *, rounds: int = 80, rate: float = 0.3, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def train_chain(features: list[list[int]], labels: np.ndarray, lengths: np.ndarray, n_features: int, n_labels: int, *, rounds: int = 60, rate: float = 0.4, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """(feature weights, transitions) of the maximum-likelihood linear chain; deterministic."""
     w, tr = np.zeros((n_features, n_labels)), np.zeros((n_labels, n_labels))
     counts = np.fromiter(map(len, features), np.int64, len(features))

@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .crf import FeatureIndex, emissions, train_chain, viterbi
-from .languages import ASKS_OTHER, language
+from .languages import ASKS_OTHER, language, scripts
 from .shared import alnum_key, batches_of, code_points, gram_hashes
 
 LABELS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 #: Rows (those of lowest hash) from which training sequences are made.
-SAMPLE_ROWS = 2500
+SAMPLE_ROWS = 1500
 #: Clauses that a training sequence has at most; tagging has no such bound.
 TRAIN_CLAUSES = 24
 #: Slots of the sketch of endings: two tables of 8 MB, whatever the corpus.
@@ -49,7 +49,14 @@ REFUSALS = re.compile(
     r"не мог[уe]?\s+(?:\w+\s+)?(?:ответить|помочь|дать|предоставить)|не имею возможности|не вправе|"
     r"(?:उत्तर|जवाब|सलाह|मदद|सहायता) (?:नहीं|देने में असमर्थ)|(?:दे|कर) नहीं सकत|असमर्थ हूँ|ไม่สามารถ(?:ตอบ|ให้|ช่วย)|لا (?:أستطيع|يمكنني) (?:الإجابة|المساعدة|تقديم|مساعدت)|لا يمكنني"
 )
-_SORRY = re.compile(r"(?i)抱歉|对不起|很遗憾|sorry|unfortunately|afraid|申し訳|leider|desol|désol|lo siento|lamento|сожалени|извин|क्षमा|खेद|ขออภัย|เสียใจ|عذر|آسف|للأسف")
+# Words without which no refusal above matches, and words of regret.
+_REFUSAL_WORDS = """
+无法 不能 恕 不便 资格 不会对此 没有能力 超出 拒绝 换一个 cannot can't can’t unable won't won’t decline as_an_ai not_able not_going_to can_not
+お答え 差し控え できません kann_ich darf_ich leider_nicht keinen peux_pas pas_possible en_mesure no_puedo posible condiciones
+не_мог возможности не_вправе नहीं असमर्थ ไม่สามารถ أستطيع يمكن
+""".replace("_", "\x00").split("\n")
+_REFUSAL_WORDS = [w.replace("\x00", " ") for line in _REFUSAL_WORDS for w in line.split()]
+_SORRY_WORDS = "抱歉 对不起 很遗憾 sorry unfortunately afraid 申し訳 leider desol désol siento lamento сожалени извин क्षमा खेद ขออภัย เสียใจ عذر آسف للأسف".split()
 _CLAUSE = re.compile(r"(?<=[。！？!?।؟])(?![”」』»）)】。！？!?…])|(?<=[^\W\d_]\.)[  ]+(?=\S)|(?<=\d\.)[  ]+(?=[^\W\d_])|[\r\n]+")
 _TERMINAL = set("。！？.!?।؟…～~”」』»）)】]\"")
 _STOPS = "。！？.!?।؟;；"
@@ -104,16 +111,20 @@ def count_endings(batches):
 class Marks:
     """Features of the clauses of a response, from the corpus counts."""
 
-    def __init__(self, total: np.ndarray, ended: np.ndarray, common: set[str]):
+    def __init__(self, total: np.ndarray, ended: np.ndarray, rare: set[str]):
         self.share = np.where(total >= 3, ended / np.maximum(total, 1), -1.0).astype(np.float32)
-        self.common = common
+        self.rare = rare
 
     def odd(self, clause: str) -> bool:
         """Whether the clause looks wrongly decoded."""
         if clause.isascii():
             return False
+        if _ODD.search(clause):
+            return True
+        if self.rare.isdisjoint(clause):
+            return False
         wide = _WIDE_LETTERS.findall(clause)
-        return _ODD.search(clause) is not None or (len(wide) > 2 and sum(c not in self.common for c in wide) > max(2, 0.2 * len(wide)))
+        return len(wide) > 2 and sum(c in self.rare for c in wide) > max(2, 0.2 * len(wide))
 
     def ending(self, answer: str, clause: str) -> str:
         """How the response's end looks: 'stop', 'open', or how often its last characters end a sentence elsewhere."""
@@ -143,26 +154,36 @@ class Marks:
         parts = [c for c in _CLAUSE.split(answer) if c and not c.isspace()]
         q_key, q_lang = alnum_key(question), language(question)
         grams = {q_key[i : i + _ECHO_GRAM] for i in range(len(q_key) - _ECHO_GRAM + 1)}
-        refuses, sorry = REFUSALS.search(answer) is not None, _SORRY.search(answer) is not None
+        low = answer.lower()
+        refuses = any(map(low.__contains__, _REFUSAL_WORDS)) and REFUSALS.search(answer) is not None
+        sorry, odd = any(map(low.__contains__, _SORRY_WORDS)), self.odd(answer) or not self.rare.isdisjoint(answer)
+        letters = scripts(answer)
+        whole = language(answer, letters)
+        # Where one script has nearly all letters, its clauses share the language; else each clause is looked at.
+        mixed = not whole or sum(letters.values()) - max(letters.values()) - (letters.get("zh", 0) if whole == "ja" else 0) > 0.25 * sum(letters.values())
         out, sizes = [], []
         for c in parts:
             key = alnum_key(c)
             if not key:
                 continue
             names = ["bias"]
-            n = len(key) - _ECHO_GRAM + 1
-            cover = 0.0 if len(key) < 6 else sum(key[i : i + _ECHO_GRAM] in grams for i in range(n)) / n
-            names.append(f"echo{int(cover * 5 - 1e-9) if cover < 0.98 else 5}" + ("s" if len(key) < 12 else ""))
-            lang = language(c)
-            relation = "none" if not lang or not q_lang or self.odd(c) else "same" if lang == q_lang else "other"
+            if len(key) < 6:
+                names.append("echo0s")
+            else:
+                own = {key[i : i + _ECHO_GRAM] for i in range(len(key) - _ECHO_GRAM + 1)}
+                cover = len(own & grams) / len(own)
+                names.append(f"echo{int(cover * 5 - 1e-9) if cover < 0.98 else 5}" + ("s" if len(key) < 12 else ""))
+            strange = odd and self.odd(c)
+            lang = language(c) if mixed else whole
+            relation = "none" if not lang or not q_lang or strange else "same" if lang == q_lang else "other"
             names.append(f"lang-{relation}")
-            if relation == "other" and {lang, q_lang} - {"en", "de", "fr", "es"}:
+            if relation == "other" and not {lang, q_lang} <= {"en", "de", "fr", "es"}:
                 names.append("script-other")
             if refuses and REFUSALS.search(c):
                 names.append("refuses")
-            if sorry and _SORRY.search(c):
+            if sorry and any(map(c.lower().__contains__, _SORRY_WORDS)):
                 names.append("sorry")
-            if self.odd(c):
+            if strange:
                 names.append("odd")
             if len(key) < 10:
                 names.append("short")
@@ -251,7 +272,7 @@ def pair_defects(pairs: DataFrame) -> DataFrame:
     total[grams["slot"].to_numpy(dtype=np.int64)] = grams["total"]
     ended[grams["slot"].to_numpy(dtype=np.int64)] = grams["ended"]
     least = max(2.0, COMMON_SHARE * float(counted[counted["slot"] == -1]["total"].sum()))
-    marks = Marks(total, ended, {chr(-1 - s) for s, n in zip(chars["slot"], chars["total"]) if n >= least})
+    marks = Marks(total, ended, {chr(-1 - s) for s, n in zip(chars["slot"], chars["total"]) if n < least})
     sample = pairs.where("question IS NOT NULL AND answer IS NOT NULL").orderBy(F.xxhash64("tbl", "row_id", "field_name"), "tbl", "row_id", "field_name").select("question", "answer").limit(SAMPLE_ROWS).collect()
     xs, ys = _training([(r.question, r.answer) for r in sample], marks)
     index = FeatureIndex()
