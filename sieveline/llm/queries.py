@@ -12,6 +12,7 @@ from .formatdup import format_duplicates
 from .garble import garbled
 from .leak import leaks
 from .pairs import pair_defects
+from .pii import personal_information
 from .sentences import split_sentences
 from .shared import table
 
@@ -71,6 +72,14 @@ def p3_defect_counts(spark: SparkSession, d: str) -> DataFrame:
     return pair_defects(_pairs(spark, d)).groupBy("tbl", "field_name", "defect").agg(F.count("*").alias("n"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal_information(_free_texts(spark, d)).select("tbl", "row_id", F.explode("mentions").alias("m")).select("tbl", "row_id", "m.kind", "m.start_at")
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal_information(_free_texts(spark, d)).select("tbl", "row_id", "redacted")
+
+
 def _items(spark, d):
     return table(spark, d, "mcq").select("item_id", F.col("question").alias("text")).unionByName(table(spark, d, "heldout_texts").select("item_id", "text"))
 
