@@ -40,7 +40,7 @@ _AT, _DOT = r"(?:\s?@\s?|\s?[\[(（]\s?at\s?[\])）]\s?)", r"(?:\.|\s?[\[(（]\s
 _CN_DIGIT = "一二三四五六七八九〇零"
 _UP, _LOW = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
 _TITLE = r"(?!(?:Mme|Mlle|Frau|Herrn?|Mrs?|Ms|Miss|Dr|Prof|Sra?|Dra|Please)\b)"
-_N = f"[{_UP}][{_LOW}]+(?:[-’'][{_UP}][{_LOW}]+)*"
+_N = rf"{_TITLE}[{_UP}][{_LOW}]+(?:[-’'][{_UP}][{_LOW}]+)*"
 _NAME = rf"{_N}(?:, {_N}(?: [{_UP}]\.)?|(?: [{_UP}]\.){{0,2}} {_N}(?: {_N})?)"
 _RU = "[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?"
 _HAN = "[一-鿿]"
@@ -74,7 +74,7 @@ SHAPES: list[tuple[str, str, str]] = [
     ("address", "de-street", rf"(?<![0-9A-Za-z{_UP}{_LOW}])[{_UP}][{_UP}{_LOW}-]*(?:{_DE_STREET}) \d{{1,4}}(?: ?[a-z]\b)?, \d{{5}} [{_UP}][{_LOW}]+"),
     ("address", "es-street", rf"(?<![0-9A-Za-z])(?:{_ES_STREET}) [^,\n\d]{{2,40}} \d{{1,4}}(?:, \d{{1,3}}\.?[ºª°]? ?[A-Z]?)?, [{_UP}][{_LOW}]+(?: (?:de |del )?[{_UP}][{_LOW}]+)*"),
     ("address", "ru-street", rf"(?:{_RU_STREET}) {_RU}(?: {_RU})?, д\. ?\d{{1,4}}[а-я]?(?:, (?:корп|стр)\. ?\d+)?(?:, кв\. ?\d{{1,4}})?"),
-    ("person_name", "latin-name", rf"(?<![0-9A-Za-z{_UP}{_LOW}]){_TITLE}{_NAME}(?![{_UP}{_LOW}])"),
+    ("person_name", "latin-name", rf"(?<![0-9A-Za-z{_UP}{_LOW}]){_NAME}(?![{_UP}{_LOW}])"),
     ("person_name", "ru-name", rf"(?<![А-Яа-яЁё]){_RU} {_RU}(?:ич|вна)?(?![А-Яа-яЁё])"),
     ("person_name", "zh-name", rf"家属(?P<m>{_HAN}{{2,4}}?)(?=留下|提供|来|签|[，。,.])"),
     ("person_name", "zh-name", rf"患者(?P<m>{_HAN}{{2,4}}?)(?=自述|自诉|主诉|来院|反映|[，,]?住)"),
