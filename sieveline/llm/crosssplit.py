@@ -13,12 +13,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import alnum_key, as_signed, batches_of, cut, gram_hashes_many
+from .shared import alnum_key, as_signed, batches_of, columns_of, cut, gram_hashes_many
 
 #: Code points of an n-gram.
 GRAM = 5
-#: Counters of the document-frequency sketch that orders n-grams: 4 MB, whatever the corpus.
-SKETCH_BITS = 20
+#: Counters of the document-frequency sketch that orders n-grams: 2 MB, whatever the corpus.
+SKETCH_BITS = 19
 
 
 def edits_allowed(n: int, share: float) -> int:
@@ -69,9 +69,9 @@ def cross_split(texts: DataFrame, *, train: str = "train", share: float = 0.08,
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["slot", "df"])
 
     # At most 2^SKETCH_BITS rows. Any order common to all texts loses no pair; this one only makes the lists short.
-    slots = distinct.select("norm").mapInArrow(sketch, "slot int, df long").groupBy("slot").agg(F.sum("df").alias("df")).toPandas()
-    order = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    order[slots["slot"].to_numpy(dtype=np.int64)] = slots["df"].to_numpy(dtype=np.int64)
+    slots = columns_of(distinct.select("norm").mapInArrow(sketch, "slot int, df long").groupBy("slot").agg(F.sum("df").alias("df")))
+    order = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
+    order[slots["slot"]] = np.minimum(slots["df"], 2**31 - 1)
     order = spark.sparkContext.broadcast(order)
 
     def prefixes(batches):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batches_of, code_points, cut
+from .shared import batches_of, code_points, columns_of, cut
 
 #: A character is common if at least this share of the texts with non-ASCII characters contains it.
 COMMON_SHARE = 0.004
@@ -29,8 +29,8 @@ COMMON_SHARE = 0.004
 MIN_TWINS = 3
 #: Log likelihood that a restored stretch must gain under a learned pair, and under one without twins.
 GAIN_LEARNED, GAIN_OTHER = 4.0, 14.0
-#: Slots of the sketch of neighbouring characters: 16 MB, whatever the corpus.
-PAIR_BITS = 22
+#: Slots of the sketch of neighbouring characters: 8 MB, whatever the corpus.
+PAIR_BITS = 21
 #: Log likelihood of one pair of neighbours in ordinary text.
 _PER_CHARACTER = -7.0
 
@@ -286,13 +286,12 @@ def garbled(texts: DataFrame) -> DataFrame:
     sc = texts.sparkSession.sparkContext
     texts = texts.where("row_id IS NOT NULL AND text IS NOT NULL").select("tbl", "row_id", "text")
     # Bounded by the characters of Unicode and by the slots of the sketch.
-    stats = texts.select("text").mapInArrow(alphabet_counts, "kind string, item long, n long").groupBy("kind", "item").agg(F.sum("n").alias("n")).toPandas()
-    pairs = np.zeros(1 << PAIR_BITS)
-    by_kind = {kind: part for kind, part in stats.groupby("kind")}
-    if "p" in by_kind:
-        pairs[by_kind["p"]["item"].to_numpy(dtype=np.int64)] = by_kind["p"]["n"].to_numpy()
-    df = {chr(c): n for c, n in zip(by_kind["c"]["item"], by_kind["c"]["n"]) if c > 0x7F} if "c" in by_kind else {}
-    abc = sc.broadcast(Alphabet(int(by_kind["t"]["n"].sum()) if "t" in by_kind else 0, df, pairs))
+    stats = columns_of(texts.select("text").mapInArrow(alphabet_counts, "kind string, item long, n long").groupBy("kind", "item").agg(F.sum("n").alias("n")))
+    pairs = np.zeros(1 << PAIR_BITS, dtype=np.float32)
+    of = {k: stats["kind"] == k for k in "tcp"}
+    pairs[stats["item"][of["p"]]] = stats["n"][of["p"]]
+    df = {chr(c): int(n) for c, n in zip(stats["item"][of["c"]], stats["n"][of["c"]]) if c > 0x7F}
+    abc = sc.broadcast(Alphabet(int(stats["n"][of["t"]].sum()), df, pairs))
 
     def suspects(batches):
         for b in batches:

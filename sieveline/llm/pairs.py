@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .crf import FeatureIndex, emissions, train_chain, viterbi
 from .languages import ASKS_OTHER, language, scripts
-from .shared import alnum_key, batches_of, code_points, gram_hashes
+from .shared import alnum_key, batches_of, code_points, columns_of, gram_hashes
 
 LABELS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
@@ -26,8 +26,8 @@ ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 SAMPLE_ROWS = 1500
 #: Clauses that a training sequence has at most; tagging has no such bound.
 TRAIN_CLAUSES = 24
-#: Slots of the sketch of endings: two tables of 8 MB, whatever the corpus.
-ENDING_BITS = 20
+#: Slots of the sketch of endings: two tables of 2 MB, whatever the corpus.
+ENDING_BITS = 19
 #: Characters of an ending.
 ENDING_LENGTH = 5
 #: A Han, Kana or Hangul character is common if at least this share of the texts contains it.
@@ -265,14 +265,13 @@ def pair_defects(pairs: DataFrame) -> DataFrame:
     spark = pairs.sparkSession
     sc = spark.sparkContext
     pairs = pairs.where("row_id IS NOT NULL").select("tbl", "row_id", "field_name", "question", "answer")
-    counted = pairs.select("question", "answer").mapInArrow(count_endings, "slot long, total long, ended long").groupBy("slot").agg(F.sum("total").alias("total"), F.sum("ended").alias("ended")).toPandas()
+    counted = columns_of(pairs.select("question", "answer").mapInArrow(count_endings, "slot long, total long, ended long").groupBy("slot").agg(F.sum("total").alias("total"), F.sum("ended").alias("ended")))
     # Bounded by the sketch and by the characters of Unicode.
-    total, ended = np.zeros(1 << ENDING_BITS), np.zeros(1 << ENDING_BITS)
-    grams, chars = counted[counted["slot"] >= 0], counted[counted["slot"] < -1]
-    total[grams["slot"].to_numpy(dtype=np.int64)] = grams["total"]
-    ended[grams["slot"].to_numpy(dtype=np.int64)] = grams["ended"]
-    least = max(2.0, COMMON_SHARE * float(counted[counted["slot"] == -1]["total"].sum()))
-    marks = Marks(total, ended, {chr(-1 - s) for s, n in zip(chars["slot"], chars["total"]) if n < least})
+    slot = counted["slot"]
+    total, ended = np.zeros(1 << ENDING_BITS, dtype=np.float32), np.zeros(1 << ENDING_BITS, dtype=np.float32)
+    total[slot[slot >= 0]], ended[slot[slot >= 0]] = counted["total"][slot >= 0], counted["ended"][slot >= 0]
+    least = max(2.0, COMMON_SHARE * float(counted["total"][slot == -1].sum()))
+    marks = Marks(total, ended, {chr(-1 - s) for s, n in zip(slot[slot < -1], counted["total"][slot < -1]) if n < least})
     sample = pairs.where("question IS NOT NULL AND answer IS NOT NULL").orderBy(F.xxhash64("tbl", "row_id", "field_name"), "tbl", "row_id", "field_name").select("question", "answer").limit(SAMPLE_ROWS).collect()
     xs, ys = _training([(r.question, r.answer) for r in sample], marks)
     index = FeatureIndex()

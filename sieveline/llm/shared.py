@@ -81,6 +81,12 @@ def batches_of(batch: pa.RecordBatch, columns: list[str]) -> list[list]:
     return [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
 
 
+def columns_of(df: DataFrame) -> dict[str, np.ndarray]:
+    """Columns of a result whose size is bounded, fetched as Arrow: rows never become objects on the driver."""
+    fetched = df.toArrow()
+    return {c: fetched.column(c).to_numpy() for c in df.columns}
+
+
 def as_signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
