@@ -11,10 +11,13 @@ from .crosssplit import cross_split, overlap_counts, overlap_pairs
 from .formatdup import format_duplicates
 from .garble import garbled
 from .leak import leaks
+from .mixing import mix, shares
+from .packing import fill, pack
 from .pairs import pair_defects
 from .pii import personal_information
 from .sentences import split_sentences
-from .shared import table
+from .shared import cut, table
+from .tokens import count_tokens
 
 
 def _texts(spark: SparkSession, d: str, *parts: tuple[str, str, str]) -> DataFrame:
@@ -112,6 +115,37 @@ def p6_overlap_counts(spark: SparkSession, d: str) -> DataFrame:
     return overlap_counts(*cross_split(_turns(spark, d)))
 
 
+def _lengths(spark, d):
+    return count_tokens(table(spark, d, "documents").select("doc_id", "source", "lang", F.when(F.col("text").rlike("^[^\\n。.!?！？]{1,40}\\n"), "titled").otherwise("plain").alias("topic"), "text"))
+
+
+def _packed(spark, d, finish):
+    """The documents packed for every row of pack_limits, whose few rows are fetched."""
+    items = cut(_lengths(spark, d).select(F.col("doc_id").alias("id"), F.col("tokens").alias("length")))
+    out = None
+    for r in table(spark, d, "pack_limits").orderBy("pack_id").collect():
+        part = finish(pack(items, r.capacity_tokens, r.sep_tokens), r).withColumn("pack_id", F.lit(r.pack_id))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p7_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d, lambda placed, _: placed).select("pack_id", F.col("id").alias("doc_id"), "part", F.col("length").alias("tokens"), "container", "place")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d, lambda placed, r: fill(placed, r.capacity_tokens, r.sep_tokens).withColumn("capacity_tokens", F.lit(r.capacity_tokens)))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mix(_lengths(spark, d), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return shares(mix(_lengths(spark, d), targets), targets)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     wrong = garbled(_texts(spark, d, ("documents", "doc_id", "text"))).select(F.col("row_id").alias("doc_id"))
