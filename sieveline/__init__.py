@@ -1,0 +1 @@
+"""PySpark-native engine for curating, auditing and evaluating text corpora."""
