@@ -77,8 +77,8 @@ MANUAL_SQL = "CASE doc_id " + " ".join(f"WHEN {k} THEN '{r}'" for k, r in MANUAL
 
 # --- the flagship: normalise, first wins, decontaminate, sample ---------------------------------------------------
 @query(f"""
-WITH {BENCH}, b AS (SELECT DISTINCT item_id, {S.alnum('text')} AS s FROM bench),
-n AS (SELECT doc_id, text, {S.alnum('text')} AS t FROM documents WHERE text IS NOT NULL),
+WITH {BENCH}, b AS MATERIALIZED (SELECT DISTINCT item_id, {S.alnum('text')} AS s FROM bench),
+n AS MATERIALIZED (SELECT doc_id, text, {S.alnum('text')} AS t FROM documents WHERE text IS NOT NULL),
 hit AS (SELECT DISTINCT n.doc_id FROM n JOIN b ON b.s <> '' AND contains(n.t, b.s)),
 r AS (SELECT n.doc_id, sha256('42' || n.text) AS sample_hash, CASE WHEN n.t = '' THEN 'blank' WHEN n.doc_id <> min(n.doc_id) OVER (PARTITION BY n.t) THEN 'duplicate' WHEN h.doc_id IS NOT NULL THEN 'benchmark' END AS reason
 FROM n LEFT JOIN hit h ON h.doc_id = n.doc_id)
@@ -356,7 +356,7 @@ def overlap_counts(spark, d):
     return s.agg(F.count("*").alias("records"), F.count_if("h").alias("heldout_prompt"), F.count_if("c").alias("corpus_pair"), F.count_if("b").alias("benchmark_prompt"))
 
 
-@query(f"""WITH {BENCH}, b AS (SELECT DISTINCT item_id, {S.alnum('text')} AS s FROM bench), n AS (SELECT doc_id, {S.alnum('text')} AS t FROM documents WHERE text IS NOT NULL)
+@query(f"""WITH {BENCH}, b AS MATERIALIZED (SELECT DISTINCT item_id, {S.alnum('text')} AS s FROM bench), n AS MATERIALIZED (SELECT doc_id, {S.alnum('text')} AS t FROM documents WHERE text IS NOT NULL)
 SELECT DISTINCT n.doc_id, b.item_id FROM n JOIN b ON b.s <> '' AND contains(n.t, b.s)""")
 def benchmark_substring(spark, d):
     return decontaminate.substring_hits(_docs(spark, d), "doc_id", alnum(F.col("text")), _benchmark(spark, d), "item_id", alnum(F.col("text")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-_BLOCKS = ((0xA0, 0x100), (0x132, 0x150), (0x17F, 0x180), (0x1C4, 0x1CD), (0x1F1, 0x1F4), (0x2000, 0x2070), (0x2070, 0x20A0), (0x2100, 0x2190), (0x2460, 0x2500), (0x3000, 0x3001), (0x3200, 0x3400), (0xFB00, 0xFB07), (0xFE10, 0xFE70), (0xFF00, 0xFFF0), (0x2F00, 0x2FE0), (0xF900, 0xFA70))
+_BLOCKS = ((0xA0, 0x100), (0x132, 0x150), (0x17F, 0x180), (0xE33, 0xE34), (0xEB3, 0xEB4), (0x1C4, 0x1CD), (0x1F1, 0x1F4), (0x2000, 0x2070), (0x2070, 0x20A0), (0x2100, 0x2190), (0x2460, 0x2500), (0x3000, 0x3001), (0x3200, 0x3400), (0xFB00, 0xFB07), (0xFE10, 0xFE70), (0xFF00, 0xFFF0), (0x2F00, 0x2FE0), (0xF900, 0xFA70))
 _ONE: dict[str, str] = {}
 _MANY: dict[str, str] = {}
 for _a, _z in _BLOCKS:
