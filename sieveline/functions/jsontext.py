@@ -8,12 +8,10 @@ from pyspark.sql import functions as F
 
 def quoted(c: Column) -> Column:
     """JSON string of a text (null gives null): short escapes, lower-case \\u00xx for other control characters."""
-    body = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\\\\\"), '"', r'\\\\"')
+    body = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     for raw, escape in (("\n", "n"), ("\r", "r"), ("\t", "t"), ("\b", "b"), ("\f", "f")):
         body = F.replace(body, F.lit(raw), F.lit("\\" + escape))
-    plain = F.concat(F.lit('"'), body, F.lit('"'))
-    rare = F.when(body.rlike(r"[\x00-\x1f]"), _control_escapes(body)).otherwise(body)
-    return F.when(c.isNotNull(), F.concat(F.lit('"'), rare, F.lit('"'))).otherwise(plain)
+    return F.concat(F.lit('"'), F.when(body.rlike(r"[\x00-\x1f]"), _control_escapes(body)).otherwise(body), F.lit('"'))
 
 
 def _control_escapes(c: Column) -> Column:
