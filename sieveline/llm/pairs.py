@@ -265,7 +265,7 @@ def pair_defects(pairs: DataFrame) -> DataFrame:
     spark = pairs.sparkSession
     sc = spark.sparkContext
     pairs = pairs.where("row_id IS NOT NULL").select("tbl", "row_id", "field_name", "question", "answer")
-    counted = columns_of(pairs.select("question", "answer").mapInArrow(count_endings, "slot long, total long, ended long").groupBy("slot").agg(F.sum("total").alias("total"), F.sum("ended").alias("ended")))
+    counted = columns_of(pairs.select("answer").mapInArrow(count_endings, "slot long, total long, ended long").groupBy("slot").agg(F.sum("total").alias("total"), F.sum("ended").alias("ended")))
     # Bounded by the sketch and by the characters of Unicode.
     slot = counted["slot"]
     total, ended = np.zeros(1 << ENDING_BITS, dtype=np.float32), np.zeros(1 << ENDING_BITS, dtype=np.float32)
