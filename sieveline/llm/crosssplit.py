@@ -1,7 +1,8 @@
 """Problem 6: the same or almost the same texts in a training split and in evaluation splits.
 
-Texts are reduced to letters and digits and to one row per distinct text. Evaluation n-gram hashes, rarest first,
-are partitioned and met by those of training texts; containment of the evaluation text's n-grams filters the pairs,
+Texts are reduced to letters and digits and to one row per distinct text. Of each evaluation text, so many disjoint
+rare n-grams are taken that one of them must be whole in every text near enough; their hashes are partitioned and met
+by those of training texts, which are scanned once. Containment of the evaluation text's n-grams filters the pairs,
 the edit distance decides.
 """
 
@@ -13,12 +14,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import alnum_key, as_signed, batches_of, columns_of, cut, gram_hashes_many
+from .shared import alnum_key, as_signed, batches_of, code_points, columns_of, cut, gram_hashes, gram_hashes_many
 
-#: Code points of an n-gram.
-GRAM = 5
-#: Counters of the document-frequency sketch that orders n-grams: 2 MB, whatever the corpus.
-SKETCH_BITS = 19
+#: Code points of an n-gram of the containment, and of a window by which texts meet.
+GRAM, WINDOW = 5, 7
+#: Counters of the sketch of window frequencies (2 MB) and bits of the filter of taken windows, whatever the corpus.
+SKETCH_BITS, FILTER_BITS = 19, 22
+#: Longs of the bitmap of letter pairs that accompanies a text.
+BITMAP_WORDS = 4
 
 
 def edits_allowed(n: int, share: float) -> int:
@@ -26,6 +29,40 @@ def edits_allowed(n: int, share: float) -> int:
     return int(share * int(n / (1 - share)) + 1e-9)
 
 
+def rarest_windows(cost: np.ndarray, wanted: int) -> list[int]:
+    """Starts of ``wanted`` disjoint windows of least total cost; cost[i] is that of the window that starts at i.
+
+    An edit touches at most one of disjoint windows: of k + 1, one is whole in every text within k edits."""
+    n = len(cost)
+    big = np.int64(1) << 50
+    best = np.full((n + WINDOW, wanted + 1), big, dtype=np.int64)  # best[i, j]: j windows among the first i letters
+    best[:, 0] = 0
+    took = np.zeros((n + WINDOW, wanted + 1), dtype=bool)
+    for i in range(WINDOW, n + WINDOW):
+        with_last = best[i - WINDOW, :-1] + cost[i - WINDOW]
+        took[i, 1:] = with_last < best[i - 1, 1:]
+        best[i, 1:] = np.where(took[i, 1:], with_last, best[i - 1, 1:])
+    out, i, j = [], n + WINDOW - 1, wanted
+    while j and i >= WINDOW:
+        if took[i, j]:
+            out.append(i - WINDOW)
+            i, j = i - WINDOW, j - 1
+        else:
+            i -= 1
+    if j:
+        raise ValueError("the text is too short for that many windows")
+    return out[::-1]
+
+
+def _bitmaps(texts: list[str]) -> pa.Array:
+    """Per text, which of 64 * BITMAP_WORDS slots its letter pairs fall into."""
+    row, _, h = gram_hashes_many(texts, 2)
+    held = np.zeros((len(texts), 64 * BITMAP_WORDS), dtype=bool)
+    held[row, (h % np.uint64(64 * BITMAP_WORDS)).astype(np.int64)] = True
+    words = np.packbits(held, axis=1).view(np.int64).reshape(-1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, BITMAP_WORDS), pa.int32()), pa.array(words))
+
+
 def _keyed(batches):
     for b in batches:
         names = ["tbl", "id", "split", "source"]
@@ -36,23 +73,13 @@ def _keyed(batches):
         )
 
 
-def _distinct_grams(texts: list[str]):
-    """(row, hash) of each text's distinct n-grams, sorted by row."""
-    row, _, h = gram_hashes_many(texts, GRAM)
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
-    new = np.ones(len(row), dtype=bool)
-    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
-    return row[new], h[new]
-
-
 def cross_split(texts: DataFrame, *, train: str = "train", share: float = 0.08, shortest: int = 20) -> tuple[DataFrame, DataFrame]:
     """(members, links) of texts (tbl, id, split, source, text).
 
     members: (tbl, key, id, split, source), key standing for all texts of the same letters and digits. links:
     (tbl, eval_key, train_key, edits, containment) between different texts of an evaluation split and of ``train``
     that differ in at most ``share`` of the longer one's letters and digits; no link is dropped. Texts under
-    ``shortest`` letters and digits, null ids and null splits take no part; an empty table gives empty results."""
+    ``shortest`` letters and digits (which must leave room for the windows, see edits_allowed), null ids and null splits take no part; an empty table gives empty results."""
     spark = texts.sparkSession
     keyed = texts.where("id IS NOT NULL AND split IS NOT NULL AND text IS NOT NULL").select("tbl", "id", "split", "source", "text").mapInArrow(_keyed, "tbl string, id long, split string, source string, key binary, norm string, n int")
     keyed = keyed.where(F.col("n") >= shortest)
@@ -63,39 +90,58 @@ def cross_split(texts: DataFrame, *, train: str = "train", share: float = 0.08,
     def sketch(batches):
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for b in batches:
-            _, h = _distinct_grams(batches_of(b, ["norm"])[0])
+            _, _, h = gram_hashes_many(batches_of(b, ["norm"])[0], WINDOW)
             total += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["slot", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["slot", "n"])
+
+    # At most 2^SKETCH_BITS rows. The sketch only steers which windows are taken; no choice of them loses a pair.
+    slots = columns_of(distinct.select("norm").mapInArrow(sketch, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")))
+    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
+    counts[slots["slot"]] = np.minimum(slots["n"], 2**31 - 1)
+    counts = spark.sparkContext.broadcast(counts)
+
+    def chosen(batches):
+        for b in batches:
+            tbl, key, norm = batches_of(b, ["tbl", "key", "norm"])
+            rows, hashes = [], []
+            for i, t in enumerate(norm):
+                h = gram_hashes(code_points(t), WINDOW)
+                picked = rarest_windows(counts.value[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], edits_allowed(len(t), share) + 1)
+                rows += [i] * len(picked)
+                hashes.append(h[picked])
+            pick = pa.array(rows, pa.int64())
+            grams = as_signed(np.concatenate(hashes)) if hashes else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(tbl, pa.string()).take(pick), pa.array(key, pa.binary()).take(pick), pa.array([len(t) for t in norm], pa.int32()).take(pick), pa.array(grams), _bitmaps(norm).take(pick)], ["tbl", "eval_key", "n_e", "gram", "e"])
+
+    left = cut(distinct.where("in_eval").select("tbl", "key", "norm").mapInArrow(chosen, "tbl string, eval_key binary, n_e int, gram long, e array<long>").distinct())
+
+    def bits(batches):
+        for b in batches:
+            h = np.array(b.column(0).to_numpy()).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64))], ["bit"])
 
-    # At most 2^SKETCH_BITS rows. Any order common to all texts loses no pair; this one only makes the lists short.
-    slots = columns_of(distinct.select("norm").mapInArrow(sketch, "slot int, df long").groupBy("slot").agg(F.sum("df").alias("df")))
-    order = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
-    order[slots["slot"]] = np.minimum(slots["df"], 2**31 - 1)
-    order = spark.sparkContext.broadcast(order)
+    # At most 2^FILTER_BITS rows: training windows that no evaluation text has taken never leave their task.
+    held = np.zeros(1 << FILTER_BITS, dtype=bool)
+    held[columns_of(left.select("gram").mapInArrow(bits, "bit long").distinct())["bit"]] = True
+    held = spark.sparkContext.broadcast(held)
 
-    def prefixes(batches):
+    def windows(batches):
         for b in batches:
-            tbl, key, norm, tr, ev = batches_of(b, ["tbl", "key", "norm", "in_train", "in_eval"])
-            row, h = _distinct_grams(norm)
-            df = order.value[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-            by = np.lexsort((h, df, row))
-            row, h = row[by], h[by]
-            first = np.searchsorted(row, np.arange(len(norm)))
-            take = np.array([edits_allowed(len(t), share) * GRAM + 1 for t in norm], dtype=np.int64)
-            keep = np.arange(len(row)) - first[row] < take[row] if len(row) else np.zeros(0, dtype=bool)
-            row, h = row[keep], h[keep]
-            pick = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tbl, pa.string()).take(pick), pa.array(key, pa.binary()).take(pick), pa.array([len(t) for t in norm], pa.int32()).take(pick), pa.array(tr, pa.bool_()).take(pick), pa.array(ev, pa.bool_()).take(pick), pa.array(as_signed(h), pa.int64())],
-                ["tbl", "key", "n", "in_train", "in_eval", "gram"],
-            )
-
-    posts = distinct.select("tbl", "key", "norm", "in_train", "in_eval").mapInArrow(prefixes, "tbl string, key binary, n int, in_train boolean, in_eval boolean, gram long")
-    left = posts.where("in_eval").select("tbl", "gram", F.col("key").alias("eval_key"), F.col("n").alias("n_e"))
-    right = posts.where("in_train").select("tbl", "gram", F.col("key").alias("train_key"), F.col("n").alias("n_t"))
-    near = F.abs(F.col("n_e") - F.col("n_t")) <= F.floor(F.greatest("n_e", "n_t") * share + 1e-9)
-    pairs = left.join(right, ["tbl", "gram"]).where(near & (F.col("eval_key") != F.col("train_key"))).select("tbl", "eval_key", "train_key").distinct()
+            tbl, key, norm = batches_of(b, ["tbl", "key", "norm"])
+            row, _, h = gram_hashes_many(norm, WINDOW)
+            ok = held.value[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
+            pick = pa.array(row[ok], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(tbl, pa.string()).take(pick), pa.array(key, pa.binary()).take(pick), pa.array([len(t) for t in norm], pa.int32()).take(pick), pa.array(as_signed(h[ok])), _bitmaps(norm).take(pick)], ["tbl", "train_key", "n_t", "gram", "t"])
+
+    right = distinct.where("in_train").select("tbl", "key", "norm").mapInArrow(windows, "tbl string, train_key binary, n_t int, gram long, t array<long>").distinct()
+    most = F.floor(F.greatest("n_e", "n_t") * share + 1e-9)
+    # An edit changes at most two letter pairs on either side, so the bitmaps of near texts differ in few places.
+    apart = F.bit_count(F.col("e")[0].bitwiseXOR(F.col("t")[0]))
+    for k in range(1, BITMAP_WORDS):
+        apart = apart + F.bit_count(F.col("e")[k].bitwiseXOR(F.col("t")[k]))
+    near = (F.abs(F.col("n_e") - F.col("n_t")) <= most) & (F.col("eval_key") != F.col("train_key")) & (apart <= 4 * most)
+    pairs = left.join(right, ["tbl", "gram"]).where(near).select("tbl", "eval_key", "train_key").distinct()
     norm = distinct.select("tbl", "key", "norm")
     pairs = pairs.join(norm.withColumnsRenamed({"key": "eval_key", "norm": "a"}), ["tbl", "eval_key"]).join(norm.withColumnsRenamed({"key": "train_key", "norm": "b"}), ["tbl", "train_key"])
 
