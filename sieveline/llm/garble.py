@@ -25,6 +25,8 @@ from .shared import batches_of, code_points, columns_of, cut
 
 #: A character is common if at least this share of the texts with non-ASCII characters contains it.
 COMMON_SHARE = 0.004
+#: In small corpora, texts that must contain it.
+LEAST_TEXTS = 6
 #: Aligned twins (distinct contexts) that make a codec pair learned.
 MIN_TWINS = 3
 #: Log likelihood that a restored stretch must gain under a learned pair, and under one without twins.
@@ -101,7 +103,7 @@ class Alphabet:
     pairs: np.ndarray
 
     def __post_init__(self):
-        least = max(2, COMMON_SHARE * self.texts)
+        least = max(LEAST_TEXTS, COMMON_SHARE * self.texts)
         self.common = {c for c, n in self.df.items() if n >= least} | {chr(c) for c in range(0x80)}
         self.log = np.log((self.pairs + 0.1) / (self.pairs.sum() + 1)).astype(np.float32)
         self.pairs = None
@@ -115,7 +117,7 @@ class Alphabet:
         return sum(map(self.common.__contains__, text)) / len(text)
 
     def suspicious(self, text: str) -> bool:
-        return not self.common.issuperset(text) or _ODD_CASE.search(text) is not None
+        return not self.common.issuperset(text) or _ODD_CASE.search(text) is not None or _LEAD_AND_TRAIL.search(text) is not None
 
 
 def _pair_slots(codes: np.ndarray) -> np.ndarray:

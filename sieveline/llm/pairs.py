@@ -240,7 +240,8 @@ def _training(rows: list[tuple[str, str]], marks: Marks) -> tuple[list[list[list
 def _defect(labels: np.ndarray, sizes: list[int], names: list[list[str]], question: str) -> str | None:
     n = np.asarray(sizes, dtype=float)
     share = np.bincount(labels, weights=n, minlength=len(LABELS)) / n.sum()
-    if share[ECHO] >= 0.85 and share[ANSWER] + share[REFUSAL] + share[FOREIGN] < 0.15:
+    echoed = sum(s for s, f in zip(sizes, names) if f[1].startswith(("echo4", "echo5")))
+    if share[ECHO] >= 0.85 and echoed >= 0.7 * n.sum() and share[ANSWER] + share[REFUSAL] + share[FOREIGN] < 0.15:
         return "copy"
     if share[REFUSAL] >= 0.5 and share[ANSWER] <= 0.5 and any("refuses" in f for f in names):
         return "refusal"
