@@ -63,6 +63,7 @@ _STOPS = "。！？.!?।؟;；"
 _LABEL_LINE = re.compile(r"^[^：:。，,.]{1,12}[：:]\s*[^：:。，,.]{1,14}$")
 _OPEN_END = re.compile(r"(?:[：:，,、；;（(「『“«/\-–—]|(?:^|\n)\s*(?:[-*•]|\(?\d{1,3}[.)、）]))\s*$")
 _WIDE_LETTERS = re.compile("[⺀-鿿가-힣豈-﫿ｦ-ﾝ]")
+_OPEN_BRACKET = re.compile(r"[(（][^()（）\n]{0,60}$")
 _DIGIT = re.compile(r"\d+(?:[.,]\d+)*")
 _LOOSE = re.compile(r"[\s ​]+(?=[!?»：；])")
 _TAIL = " \t\r\n　 ​﻿…～~*_"
@@ -132,7 +133,7 @@ class Marks:
         bare = answer.rstrip(_TAIL)
         if shown[-1:] in ("～", "~"):
             return "stop"
-        if not bare or _OPEN_END.search(bare):
+        if not bare or _OPEN_END.search(bare) or _OPEN_BRACKET.search(bare):
             return "open"
         if bare[-1] in _TERMINAL:
             return "stop"
