@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import strip
 
+# Fixed value: the heading of a multiple-choice prompt.
+CHOICE_HEADING = "以下是中国考试的单项选择题，请选出正确答案。"
+
 HUMAN, ASSISTANT = ("human", "user"), ("gpt", "assistant")
 
 
@@ -40,7 +43,7 @@ def first_turn(turns: Column, roles: tuple[str, ...], role: str = "role") -> Col
     return F.coalesce(F.get(F.filter(turns, lambda t: t[role].isin(*roles)), 0)["value"], F.lit(""))
 
 
-def choice_prompt(question: Column, choices: list[Column], intro: str = "以下是中国考试的单项选择题，请选出正确答案。") -> Column:
+def choice_prompt(question: Column, choices: list[Column], intro: str = CHOICE_HEADING) -> Column:
     lines = [F.concat(F.lit(f"{k}. "), c, F.lit("\n")) for k, c in zip("ABCDEFGH", choices)]
     return F.concat(F.lit(f"{intro}\n问题："), question, F.lit("\n"), *lines, F.lit("答案："))
 

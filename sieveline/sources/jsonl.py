@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import is_blank, strip
+from ..session import cut_lineage
 
 LINE_MODES = {"universal": None, "lf": "\n"}
 #: Line ends besides \n and \r that ``splitlines`` mode cuts at.
@@ -16,8 +17,9 @@ def dense_ordinals(df: DataFrame, order: str, name: str = "ord") -> DataFrame:
     """1-based ordinals in the order of a column, without one task seeing all rows.
 
     Rows are range-partitioned and sorted; each partition's count gives the next one's offset (as many counts as
-    partitions reach the driver). Nulls come first; ties of ``order`` get ordinals in no stated order."""
-    by = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(order)).sortWithinPartitions(order)
+    partitions reach the driver). The ranges are checkpointed, as bounds drawn anew could differ. Nulls come first;
+    ties of ``order`` get ordinals in no stated order."""
+    by = cut_lineage(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(order)).sortWithinPartitions(order))
     tagged = by.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
     counts = {r["_p"]: r["n"] for r in tagged.groupBy("_p").agg(F.count("*").alias("n")).collect()}
     offsets, total = {}, 0
