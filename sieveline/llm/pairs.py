@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .crf import FeatureIndex, emissions, train_chain, viterbi
 from .languages import ASKS_OTHER, language, scripts
-from .shared import alnum_key, batches_of, code_points, columns_of, gram_hashes
+from .shared import alnum_key, batches_of, bounded_sample, code_points, columns_of, gram_hashes
 
 LABELS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
@@ -274,7 +274,7 @@ def pair_defects(pairs: DataFrame) -> DataFrame:
     total[slot[slot >= 0]], ended[slot[slot >= 0]] = counted["total"][slot >= 0], counted["ended"][slot >= 0]
     least = max(2.0, COMMON_SHARE * float(counted["total"][slot == -1].sum()))
     marks = Marks(total, ended, {chr(-1 - s) for s, n in zip(slot[slot < -1], counted["total"][slot < -1]) if n < least})
-    sample = pairs.where("question IS NOT NULL AND answer IS NOT NULL").orderBy(F.xxhash64("tbl", "row_id", "field_name"), "tbl", "row_id", "field_name").select("question", "answer").limit(SAMPLE_ROWS).collect()
+    sample = bounded_sample(pairs.where("question IS NOT NULL AND answer IS NOT NULL"), ["tbl", "row_id", "field_name"], SAMPLE_ROWS).select("question", "answer").collect()
     xs, ys = _training([(r.question, r.answer) for r in sample], marks)
     index = FeatureIndex()
     flat = [index(names) for x in xs for names in x]
