@@ -82,7 +82,7 @@ _DIGITS = re.compile(r"\d+")
 _LEAD_AND_TRAIL = re.compile("[Â-ô][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|[В-Яа-п][\xa0-\xbfЂ-ЏђёѓєѕіїјљњћќўџҐґ‘’“”„†‡•–—…‰‹›€™№]|[√‡‚≈ƒ¬Œœ][^\x00-\x7f]")
 _ODD_CASE = re.compile("[А-ЯЁ]{4}|[а-яё][А-ЯЁ]")
 #: Lossy decoding: the replacement character, and its own bytes read as other encodings.
-_LOST = re.compile("�|锟斤|斤拷|ï¿½|п»Ѕ|пїЅ|嚙踝")
+_LOST = re.compile("�|锟斤拷?|斤拷|ï¿½|п»Ѕ|пїЅ|嚙踝蕭?")
 
 
 _TRIED = pa.list_(pa.struct([("pair", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("new", pa.string()), ("gain", pa.float64())]))
@@ -117,7 +117,7 @@ class Alphabet:
         return sum(map(self.common.__contains__, text)) / len(text)
 
     def suspicious(self, text: str) -> bool:
-        return not self.common.issuperset(text) or _ODD_CASE.search(text) is not None or _LEAD_AND_TRAIL.search(text) is not None
+        return _LOST.search(text) is not None or not self.common.issuperset(text) or _ODD_CASE.search(text) is not None or _LEAD_AND_TRAIL.search(text) is not None
 
 
 def _pair_slots(codes: np.ndarray) -> np.ndarray:
@@ -132,7 +132,8 @@ def alphabet_counts(batches):
         held = [t for t in batches_of(b, ["text"])[0] if t and not t.isascii()]
         texts += len(held)
         for t in held:
-            df.update(set(t))
+            # Lossy marks, however frequent, make no character common.
+            df.update(set(_LOST.sub("", t) if _LOST.search(t) else t))
         if held:
             pairs += np.bincount(_pair_slots(code_points("\n".join(held))), minlength=len(pairs))
     at = np.flatnonzero(pairs)

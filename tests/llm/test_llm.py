@@ -89,6 +89,13 @@ def test_garbled_is_found_and_restored(spark, wrong, right):
         assert all(got[i].restored == want for i, (_, want) in bad.items())
 
 
+def test_frequent_lossy_marks_stay_garbled(spark):
+    rows = [("t", i, f"{t} {i}") for i, t in enumerate(GOOD * 6)]
+    rows += [("t", 1000 + i, f"Zwölf Prüfer grüßen {mark} {i}") for i, mark in enumerate(["\ufffd", "锟斤拷锟斤拷", "ï¿½", "嚙踝蕭"] * 10)]
+    got = {r.row_id: r.lost for r in garble.garbled(spark.createDataFrame(rows, "tbl string, row_id long, text string")).collect()}
+    assert got == {1000 + i: True for i in range(40)}
+
+
 def test_garbled_of_nothing(spark):
     assert garble.garbled(spark.createDataFrame([], "tbl string, row_id long, text string")).count() == 0
 
