@@ -239,6 +239,24 @@ def test_personal_information(spark):
     assert pii.personal_information(df.limit(0)).count() == 0
 
 
+SAMPLES = [
+    ("mail", "ab@cd.org"), ("mail", "ab [at] cd [dot] org"), ("id-cn", "11010519491231002X"), ("id-us", "123-45-6789"), ("id-uk", "QQ 89 58 84 D"),
+    ("cn-mobile", "13912345678"), ("cn-spelled", "一三九一二三四五六七八"), ("cn-line", "010-1234567"), ("us", "212 555 0126"), ("uk", "07123456789"),
+    ("de", "030/1234"), ("fr", "0123456789"), ("plus", "+1 2 3"), ("spaced", "1-3-9-1-2-3-4-5-6-7-8"),
+    ("cn-street", "和平路5号"), ("cn-street", "东风胡同12号"), ("cn-street", "阳光小区3栋"), ("ja-block", "東京都港区芝1丁目2"), ("en-street", "7 Elm Avenue"), ("en-street", "7 Elm Drive"),
+    ("en-street", "7 Elm Terrace"), ("en-street", "7 Elm Close"), ("fr-street", "9 avenue des Lilas, 00835 Lyon"), ("fr-street", "9 boulevard des Lilas, 00835 Lyon"),
+    ("de-street", "Quellgasse 47, 00835 Neustadt"), ("es-street", "Avenida del Sol 5, Madrid"), ("es-street", "Plaza Mayor 5, Madrid"), ("ru-street", "проспект Мира, д. 5"),
+    ("latin-name", "Mr. Orrin Quornby"), ("ru-name", "доктор Иван Петров"), ("ru-name", "пациент Иван Петров"), ("zh-name", "家属王小明留下"), ("zh-name", "患者王小明自述"), ("zh-name", "医师王小明建议"),
+    ("zh-name", "名叫王小明"), ("zh-name", "署名王小明"), ("zh-name", "5(王小明)"), ("zh-name", "、王小明小姐"), ("ja-name", "看護師田中さん"), ("ja-name", "氏名は田中、"),
+]
+
+
+def test_every_shape_is_proposed_alone():
+    assert {shape for shape, _ in SAMPLES} == {shape for _, shape, _ in pii.SHAPES}
+    missed = [(shape, t) for shape, t in SAMPLES if not any(f"shape-{shape}" in x.features for x in pii.propose(t))]
+    assert not missed
+
+
 def test_repeated_names_share_their_label():
     text = "Mrs. Orrin Quornby came. Later Orrin Quornby left, and Orrin Quornby slept."
     model = pii._train(["Mrs. Orrin Quornby lives here. Call +1 555 555 0126 and ask for Odette Tressler."] * 20)
