@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .crf import FeatureIndex, emissions, train_chain, viterbi
 from .languages import ASKS_OTHER, language, scripts
-from .shared import alnum_key, batches_of, bounded_sample, code_points, columns_of, gram_hashes
+from .shared import alnum_key, batches_of, bounded_sample, code_points, columns_of, cut, gram_hashes
 
 LABELS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
@@ -26,8 +26,8 @@ ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 SAMPLE_ROWS = 1500
 #: Clauses that a training sequence has at most; tagging has no such bound.
 TRAIN_CLAUSES = 24
-#: Slots of the sketch of endings: two tables of 2 MB, whatever the corpus.
-ENDING_BITS = 19
+#: Bits of the filter of endings looked for: 1 MB, whatever the corpus. It only spares counting; counts are exact.
+FILTER_BITS = 20
 #: Characters of an ending.
 ENDING_LENGTH = 5
 #: A Han, Kana or Hangul character is common if at least this share of the texts contains it.
@@ -75,18 +75,33 @@ def _masked(text: str) -> str:
     return _DIGIT.sub("0", _LOOSE.sub("", text)).lower()
 
 
-def _ending_slots(codes: np.ndarray) -> np.ndarray:
-    return (gram_hashes(codes, ENDING_LENGTH) >> np.uint64(64 - ENDING_BITS)).astype(np.int64)
+def _ending_keys(text: str) -> np.ndarray:
+    """Hashes (64 bits) of all runs of the text that are as long as an ending."""
+    return gram_hashes(code_points(text), ENDING_LENGTH).view(np.int64)
+
+
+def _ending_key(end: str) -> int | None:
+    """Key of the ending of a text, from its last sixty characters; None where they are too few."""
+    tail = _masked(end)
+    if _WIDE_LETTERS.search(tail[-4:]):
+        tail = re.sub(r"\s+", "", tail)
+    tail = tail[-ENDING_LENGTH:]
+    return int(_ending_keys(tail)[0]) if len(tail) == ENDING_LENGTH else None
+
+
+def _filter_slots(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
 _STOP_CODES = np.array(sorted(map(ord, _STOPS)), dtype=np.uint32)
 
 
-def count_endings(batches):
-    """Partial counts (slot, total, ended): five characters, and how often a stop (in Thai a blank) follows them;
-    at -1 the number of texts, at -1 - c the texts that contain the East Asian character c."""
-    total, ended = np.zeros(1 << ENDING_BITS, dtype=np.int64), np.zeros(1 << ENDING_BITS, dtype=np.int64)
+def count_endings(batches, wanted: np.ndarray):
+    """Partial counts (kind, key, total, ended); 'e': five characters that pass the filter of wanted ones, and how often a
+    stop (in Thai a blank) follows them; 'c': at 0 the number of texts, at c the texts that contain the East Asian
+    character c."""
     texts, wide = 0, Counter()
+    names = ["kind", "key", "total", "ended"]
     for b in batches:
         for column in batches_of(b, b.schema.names):
             held = [t for t in column if t]
@@ -97,23 +112,23 @@ def count_endings(batches):
             joined = code_points("\n".join(map(_masked, held)) + "\n")
             if len(joined) < ENDING_LENGTH + 2:
                 continue
-            slots = _ending_slots(joined)[:-1]
+            keys = gram_hashes(joined, ENDING_LENGTH).view(np.int64)[:-1]
             after, last = joined[ENDING_LENGTH:], joined[ENDING_LENGTH - 1 : -1]
             stop = np.isin(after, _STOP_CODES) | ((last >= 0xE00) & (last < 0xE80) & ((after == 32) | (after == 10)))
-            total += np.bincount(slots, minlength=len(total))
-            ended += np.bincount(slots[stop], minlength=len(ended))
-    at = np.flatnonzero(total)
-    chars = [(ord(c), n) for c, n in wide.items() if c > "\u2e7f"]
-    slot = np.concatenate((at, [-1], [-1 - c for c, _ in chars])).astype(np.int64)
-    n = np.concatenate((total[at], [texts], [k for _, k in chars])).astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n), pa.array(np.concatenate((ended[at], np.zeros(1 + len(chars), dtype=np.int64))))], ["slot", "total", "ended"])
+            passed = wanted[_filter_slots(keys)]
+            keys, at = np.unique(keys[passed], return_inverse=True)
+            total, ended = np.bincount(at, minlength=len(keys)), np.bincount(at[stop[passed]], minlength=len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(["e"] * len(keys), pa.string()), *(pa.array(x.astype(np.int64)) for x in (keys, total, ended))], names)
+    chars = [(0, texts)] + [(ord(c), n) for c, n in wide.items() if c > "\u2e7f"]
+    keys, n = zip(*chars)
+    yield pa.RecordBatch.from_arrays([pa.array(["c"] * len(chars)), pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array([0] * len(chars), pa.int64())], names)
 
 
 class Marks:
     """Features of the clauses of a response, from the corpus counts."""
 
-    def __init__(self, total: np.ndarray, ended: np.ndarray, rare: set[str]):
-        self.share = np.where(total >= 3, ended / np.maximum(total, 1), -1.0).astype(np.float32)
+    def __init__(self, share: dict[int, float], rare: set[str]):
+        self.share = share  # of the endings of the sample; those of other answers come with their rows
         self.rare = rare
 
     def odd(self, clause: str) -> bool:
@@ -127,7 +142,7 @@ class Marks:
         wide = _WIDE_LETTERS.findall(clause)
         return len(wide) > 2 and sum(c in self.rare for c in wide) > max(2, 0.2 * len(wide))
 
-    def ending(self, answer: str, clause: str) -> str:
+    def ending(self, answer: str, clause: str, share: float | None = None) -> str:
         """How the response's end looks: 'stop', 'open', or how often its last characters end a sentence elsewhere."""
         shown = answer.rstrip(_TAIL.replace("～", "").replace("~", "").replace("…", ""))
         bare = answer.rstrip(_TAIL)
@@ -139,18 +154,15 @@ class Marks:
             return "stop"
         if _LABEL_LINE.match(clause.strip()):
             return "label"
-        tail = _masked(bare[-60:])
-        if _WIDE_LETTERS.search(tail[-4:]):
-            tail = re.sub(r"\s+", "", tail)
-        tail = tail[-ENDING_LENGTH:]
-        if len(tail) < ENDING_LENGTH:
+        key = _ending_key(bare[-60:])
+        if key is None:
             return "short"
-        s = float(self.share[_ending_slots(code_points(tail))[0]])
+        s = self.share.get(key, -1.0) if share is None else share
         if shown[-1:] == "…" and s > 0.2:
             return "stop"
         return "unseen" if s < 0 else f"p{0 if s < 0.02 else 1 if s < 0.12 else 2 if s < 0.35 else 3 if s < 0.7 else 4}"
 
-    def clauses(self, question: str, answer: str) -> tuple[list[list[str]], list[int]]:
+    def clauses(self, question: str, answer: str, share: float | None = None) -> tuple[list[list[str]], list[int]]:
         """(feature names, letters) of each clause with letters."""
         parts = [c for c in _CLAUSE.split(answer) if c and not c.isspace()]
         q_key, q_lang = alnum_key(question), language(question)
@@ -193,7 +205,7 @@ class Marks:
         if out:
             out[0].append("first")
             out[-1].append("last")
-            out[-1].append("end-" + self.ending(answer, parts[-1]))
+            out[-1].append("end-" + self.ending(answer, parts[-1], share))
         return out, sizes
 
 
@@ -267,14 +279,32 @@ def pair_defects(pairs: DataFrame) -> DataFrame:
     spark = pairs.sparkSession
     sc = spark.sparkContext
     pairs = pairs.where("row_id IS NOT NULL").select("tbl", "row_id", "field_name", "question", "answer")
-    counted = columns_of(pairs.select("answer").mapInArrow(count_endings, "slot long, total long, ended long").groupBy("slot").agg(F.sum("total").alias("total"), F.sum("ended").alias("ended")))
-    # Bounded by the sketch and by the characters of Unicode.
-    slot = counted["slot"]
-    total, ended = np.zeros(1 << ENDING_BITS, dtype=np.float32), np.zeros(1 << ENDING_BITS, dtype=np.float32)
-    total[slot[slot >= 0]], ended[slot[slot >= 0]] = counted["total"][slot >= 0], counted["ended"][slot >= 0]
-    least = max(2.0, COMMON_SHARE * float(counted["total"][slot == -1].sum()))
-    marks = Marks(total, ended, {chr(-1 - s) for s, n in zip(slot[slot < -1], counted["total"][slot < -1]) if n < least})
     sample = bounded_sample(pairs.where("question IS NOT NULL AND answer IS NOT NULL"), ["tbl", "row_id", "field_name"], SAMPLE_ROWS).select("question", "answer").collect()
+    # Training cuts the sample's texts anywhere.
+    masked = [_masked(t) for r in sample for t in (r.question, r.answer)]
+    sampled = np.unique(np.concatenate([np.zeros(0, dtype=np.int64)] + [_ending_keys(x) for t in masked for x in (t, re.sub(r"\s+", "", t)) if len(x) >= ENDING_LENGTH]))
+    # Endings are counted exactly, but only those that an answer without a stop (or one cut for training) ends with.
+    end = F.right(F.rtrim("answer", F.lit(_TAIL)), F.lit(60))
+    is_open = F.coalesce((end != "") & ~F.right(end, F.lit(1)).isin(sorted(_TERMINAL)), F.lit(False))
+    tail_key = F.arrow_udf(lambda ends: pa.array([_ending_key(e) for e in ends.to_pylist()], pa.int64()), "long")
+    opened = pairs.where(is_open).withColumn("key", tail_key(end))
+    wanted = np.zeros(1 << FILTER_BITS, dtype=bool)
+    # Bounded by the filter.
+    wanted[columns_of(opened.where("key IS NOT NULL").select(F.shiftrightunsigned("key", 64 - FILTER_BITS).alias("slot")).distinct())["slot"]] = True
+    wanted[_filter_slots(sampled)] = True
+    filters = sc.broadcast((wanted, sampled))
+    counted = cut(pairs.select("answer").mapInArrow(lambda batches: count_endings(batches, filters.value[0]), "kind string, key long, total long, ended long").groupBy("kind", "key").agg(F.sum("total").alias("total"), F.sum("ended").alias("ended")))
+    shares = counted.where("kind = 'e' AND total >= 3").select("key", F.expr("ended / total").alias("share"))
+
+    def of_sample(batches):
+        for b in batches:
+            yield b.filter(pa.array(np.isin(b.column(0).to_numpy(), filters.value[1])))
+
+    # Bounded by the sample, and by the characters of Unicode.
+    own = columns_of(shares.mapInArrow(of_sample, "key long, share double"))
+    chars = columns_of(counted.where("kind = 'c'").select("key", "total"))
+    least = max(2.0, COMMON_SHARE * float(chars["total"][chars["key"] == 0].sum()))
+    marks = Marks(dict(zip(own["key"].tolist(), own["share"].tolist())), {chr(c) for c, n in zip(chars["key"], chars["total"]) if c and n < least})
     xs, ys = _training([(r.question, r.answer) for r in sample], marks)
     index = FeatureIndex()
     flat = [index(names) for x in xs for names in x]
@@ -288,14 +318,14 @@ def pair_defects(pairs: DataFrame) -> DataFrame:
     def tag(batches):
         marks, index, weights, transitions = model.value
         for b in batches:
-            tbl, ids, fields, qs, answers = batches_of(b, ["tbl", "row_id", "field_name", "question", "answer"])
+            tbl, ids, fields, qs, answers, ends = batches_of(b, ["tbl", "row_id", "field_name", "question", "answer", "share"])
             out, rows, names, sizes = [], [], [], []
             for k, (q, a) in enumerate(zip(qs, answers)):
                 key = alnum_key(a)
                 if not key or key in _FILLER_KEYS:
                     out.append((tbl[k], ids[k], fields[k], "empty", None))
                     continue
-                f, s = marks.clauses(q or "", a)
+                f, s = marks.clauses(q or "", a, ends[k])
                 if f:
                     rows.append(k)
                     names.append(f)
@@ -314,4 +344,7 @@ def pair_defects(pairs: DataFrame) -> DataFrame:
             types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["tbl", "row_id", "field_name", "defect", "coverage"])
 
-    return pairs.mapInArrow(tag, "tbl string, row_id long, field_name string, defect string, coverage array<double>").dropDuplicates(["tbl", "row_id", "field_name"])
+    names = ["tbl", "row_id", "field_name", "question", "answer"]
+    rows = opened.join(shares, "key", "left").select(*names, F.coalesce("share", F.lit(-1.0)).alias("share"))
+    rows = rows.unionByName(pairs.where(~is_open).select(*names, F.lit(-1.0).alias("share")))
+    return rows.mapInArrow(tag, "tbl string, row_id long, field_name string, defect string, coverage array<double>").dropDuplicates(["tbl", "row_id", "field_name"])

@@ -4,6 +4,7 @@ import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,6 +240,20 @@ def test_personal_information(spark):
     assert pii.personal_information(df.limit(0)).count() == 0
 
 
+def test_endings_are_counted_exactly(spark):
+    words = ["".join(chr(0x4E00 + (i * 7919 + k * k * 104729 + i * k * 31) % 20000) for k in range(5)) for i in range(3000)]
+    text = "".join(w + ("。" if i % 2 else "") for i, w in enumerate(words))
+    wanted = np.ones(1 << pairs.FILTER_BITS, dtype=bool)
+    got = {}
+    for b in pairs.count_endings([pa.RecordBatch.from_pydict({"answer": [text * 3]})], wanted):
+        got.update({r["key"]: (r["total"], r["ended"]) for r in b.to_pylist() if r["kind"] == "e"})
+    whole = text * 3
+    want = Counter(whole[i : i + 5] for i in range(len(whole) - 4))
+    stops = Counter(whole[i : i + 5] for i in range(len(whole) - 5) if whole[i + 5] == "。")
+    assert len(want) > 15000 and len(got) == len(want)
+    assert {pairs._ending_key(g): (n, stops[g]) for g, n in want.items()} == got
+
+
 SAMPLES = [
     ("mail", "ab@cd.org"), ("mail", "ab [at] cd [dot] org"), ("id-cn", "11010519491231002X"), ("id-us", "123-45-6789"), ("id-uk", "QQ 89 58 84 D"),
     ("cn-mobile", "13912345678"), ("cn-spelled", "一三九一二三四五六七八"), ("cn-line", "010-1234567"), ("us", "212 555 0126"), ("uk", "07123456789"),
