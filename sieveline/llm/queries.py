@@ -148,7 +148,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
-    wrong = garbled(_texts(spark, d, ("documents", "doc_id", "text"))).select(F.col("row_id").alias("doc_id"))
+    wrong = garbled(_free_texts(spark, d)).where("tbl = 'documents'").select(F.col("row_id").alias("doc_id"))
     return split_sentences(docs.join(wrong, "doc_id", "left_anti")).distinct()
 
 

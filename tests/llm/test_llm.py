@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.llm import crf, crosssplit, formatdup, garble, leak, mixing, packing, pairs, pii
+from sieveline.llm import crf, crosssplit, formatdup, garble, leak, mixing, packing, pairs, pii, queries
 from sieveline.llm.languages import language
 from sieveline.llm.sentences import sentences, split_sentences
 from sieveline.llm.shared import alnum_key, code_points, gram_hashes, gram_hashes_many
@@ -363,3 +363,17 @@ def test_language():
 
 def test_json_payload_fields_sort_by_name():
     assert formatdup._json_fields(json.dumps({"b": "2", "a": "1"})) == [("a", "1"), ("b", "2")]
+
+
+def test_sentences_leave_out_the_garbled_of_the_whole_corpus(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "One. Two."), (2, "A bad text.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "A bad answer.")], "record_id long, output string").write.parquet(f"{tmp_path}/sft_raw.parquet")
+    seen = []
+
+    def found(texts):
+        seen.extend(r.tbl for r in texts.select("tbl").distinct().collect())
+        return texts.where("text LIKE '%bad%'").select("tbl", "row_id")
+
+    monkeypatch.setattr(queries, "garbled", found)
+    assert {r.doc_id for r in queries.p9_found(spark, str(tmp_path)).collect()} == {1}
+    assert set(seen) == {"documents", "sft_raw"}
