@@ -1,8 +1,12 @@
-"""Conditional random fields on binary features, in numpy: a linear chain with exact inference, trained by full-batch
-gradient ascent, and the feature indexing that both chains of this package share."""
+"""Conditional random fields in numpy: a linear chain with exact inference, trained by full-batch gradient ascent.
+
+Every item of a chain has features of all labels and, if wanted, lexical features that speak for one label only.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 
@@ -25,13 +29,55 @@ class FeatureIndex:
         return len(self.ids)
 
 
+@dataclass
+class Sparse:
+    """Features of items: feature ``feat[k]`` of item ``item[k]``, items ascending; each counts ``value[k]`` or 1."""
+
+    item: np.ndarray
+    feat: np.ndarray
+    items: int
+    features: int
+    value: np.ndarray | None = None
+
+    def __post_init__(self):
+        self.order = None
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        """Sum of the weights of each item's features."""
+        w = weights[self.feat]
+        if self.value is not None:
+            w = w * (self.value if w.ndim == 1 else self.value[:, None])
+        return _sum_by(self.item, w, self.items)
+
+    def gradient(self, residual: np.ndarray) -> np.ndarray:
+        """Sum of the residuals of the items of each feature."""
+        if self.order is None:
+            self.order = np.argsort(self.feat, kind="stable")
+            self.by = self.feat[self.order]
+        r = residual[self.item[self.order]]
+        if self.value is not None:
+            r = r * (self.value[self.order] if r.ndim == 1 else self.value[self.order][:, None])
+        return _sum_by(self.by, r, self.features)
+
+
+def _sum_by(key: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values by ascending keys."""
+    out = np.zeros((n, *values.shape[1:]))
+    if len(key):
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        out[key[first]] = np.add.reduceat(values, first, axis=0)
+    return out
+
+
+def sparse(features: list[list[int]], n: int) -> Sparse:
+    lengths = np.fromiter(map(len, features), np.int64, len(features))
+    flat = np.concatenate([np.asarray(f, dtype=np.int64) for f in features]) if len(features) else np.zeros(0, np.int64)
+    return Sparse(np.repeat(np.arange(len(features)), lengths), flat, len(features), n)
+
+
 def emissions(features: list[list[int]], weights: np.ndarray) -> np.ndarray:
     """Sum of each item's feature weights: (items, labels)."""
-    out = np.zeros((len(features), weights.shape[1]))
-    lengths = np.fromiter(map(len, features), np.int64, len(features))
-    if lengths.sum():
-        np.add.at(out, np.repeat(np.arange(len(features)), lengths), weights[np.concatenate([np.asarray(f, dtype=np.int64) for f in features if f])])
-    return out
+    return sparse(features, len(weights)).scores(weights)
 
 
 def _pad(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,9 +103,9 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) ->
         if not len(part):
             continue
         own = lengths[part]
-        index = np.concatenate([np.arange(starts[p], starts[p] + lengths[p]) for p in part])
+        index = np.repeat(starts[part] - (np.cumsum(own) - own), own) + np.arange(own.sum())
         e, mask = _pad(scores[index], own)
-        best, back = e[:, 0].copy(), np.zeros(e.shape[:2] + (e.shape[2],), dtype=np.int64)
+        best, back = e[:, 0].copy(), np.zeros(e.shape[:2] + (e.shape[2],), dtype=np.int8)
         for t in range(1, e.shape[1]):
             all_ = best[:, :, None] + transitions[None]
             back[:, t] = all_.argmax(axis=1)
@@ -76,39 +122,55 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) ->
     return out
 
 
-def train_chain(features: list[list[int]], labels: np.ndarray, lengths: np.ndarray, n_features: int, n_labels: int, *, rounds: int = 60, rate: float = 0.4, l2: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """(feature weights, transitions) of the maximum-likelihood linear chain; deterministic."""
-    w, tr = np.zeros((n_features, n_labels)), np.zeros((n_labels, n_labels))
-    counts = np.fromiter(map(len, features), np.int64, len(features))
-    item, feat = np.repeat(np.arange(len(features)), counts), np.concatenate([np.asarray(f, dtype=np.int64) for f in features])
+def train_chain(features: Sparse | list[list[int]], labels: np.ndarray, lengths: np.ndarray, n_features: int, n_labels: int, *, lexical: tuple[Sparse, int] | None = None, free: np.ndarray | None = None, rounds: int = 80, rate: float = 0.3, l2: float = 2e-4, lexical_l2: float = 2e-5):
+    """(feature weights, transitions) of the maximum-likelihood linear chain, and with ``lexical`` (features, their
+    label) also the weights of those; weights where ``free`` is 0 stay 0; deterministic."""
+    feats = features if isinstance(features, Sparse) else sparse(features, n_features)
+    params = {"w": np.zeros((n_features, n_labels)), "t": np.zeros((n_labels, n_labels))}
+    if lexical:
+        params["x"] = np.zeros(lexical[0].features)
+    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
     gold = np.eye(n_labels)[labels]
-    lab, mask = _pad(labels, lengths)
-    both = mask[:, 1:] & mask[:, :-1]
-    gold_tr = np.zeros_like(tr)
-    np.add.at(gold_tr, (lab[:, :-1][both], lab[:, 1:][both]), 1)
-    mw, vw, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros_like(tr), np.zeros_like(tr)
+    order = np.argsort(lengths, kind="stable")
+    starts = np.cumsum(lengths) - lengths
+    parts = []  # chains of like length together: one long chain doesn't widen the others
+    for p in np.array_split(order, max(1, len(order) // 256)):
+        own = lengths[p]
+        index = np.repeat(starts[p] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        lab, mask = _pad(labels[index], own)
+        both = mask[:, 1:] & mask[:, :-1]
+        gold_t = np.zeros((n_labels, n_labels))
+        np.add.at(gold_t, (lab[:, :-1][both], lab[:, 1:][both]), 1)
+        parts.append((own, index, mask, both, gold_t))
     n = len(lengths)
     for step in range(1, rounds + 1):
-        flat = np.zeros((len(features), n_labels))
-        np.add.at(flat, item, w[feat])
-        e, _ = _pad(flat, lengths)
-        steps = e.shape[1]
-        fwd, bwd = np.zeros_like(e), np.zeros_like(e)
-        fwd[:, 0] = e[:, 0]
-        for t in range(1, steps):
-            fwd[:, t] = np.where(mask[:, t][:, None], _logsumexp(fwd[:, t - 1][:, :, None] + tr[None], 1) + e[:, t], fwd[:, t - 1])
-        for t in range(steps - 2, -1, -1):
-            bwd[:, t] = np.where(mask[:, t + 1][:, None], _logsumexp(tr[None] + (e[:, t + 1] + bwd[:, t + 1])[:, None, :], 2), 0.0)
-        z = _logsumexp(fwd[:, -1], 1)
-        own = np.exp(fwd + bwd - z[:, None, None])[mask]
-        gw = np.zeros_like(w)
-        np.add.at(gw, feat, (gold - own)[item])
-        pair = np.exp(fwd[:, :-1, :, None] + tr[None, None] + (e[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None])
-        gt = gold_tr - pair[both].sum(axis=0)
-        for x, g, m, v in ((w, gw / n - l2 * w, mw, vw), (tr, gt / n - l2 * tr, mt, vt)):
+        flat, tr = feats.scores(params["w"]), params["t"]
+        if lexical:
+            flat[:, lexical[1]] += lexical[0].scores(params["x"])
+        own_p, gt = np.zeros_like(gold), np.zeros_like(tr)
+        for own, index, mask, both, gold_t in parts:
+            e, _ = _pad(flat[index], own)
+            fwd, bwd = np.zeros_like(e), np.zeros_like(e)
+            fwd[:, 0] = e[:, 0]
+            for t in range(1, e.shape[1]):
+                fwd[:, t] = np.where(mask[:, t][:, None], _logsumexp(fwd[:, t - 1][:, :, None] + tr[None], 1) + e[:, t], fwd[:, t - 1])
+            for t in range(e.shape[1] - 2, -1, -1):
+                bwd[:, t] = np.where(mask[:, t + 1][:, None], _logsumexp(tr[None] + (e[:, t + 1] + bwd[:, t + 1])[:, None, :], 2), 0.0)
+            z = _logsumexp(fwd[:, -1], 1)
+            own_p[index] = np.exp(fwd + bwd - z[:, None, None])[mask]
+            if e.shape[1] > 1:
+                pair = np.exp(fwd[:, :-1, :, None] + tr[None, None] + (e[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None])
+                gt += gold_t - pair[both].sum(axis=0)
+        residual = gold - own_p
+        grads = {"w": feats.gradient(residual) * (1 if free is None else free), "t": gt}
+        if lexical:
+            grads["x"] = lexical[0].gradient(residual[:, lexical[1]])
+        for k, x in params.items():
+            m, v = moments[k]
+            g = grads[k] / n - (lexical_l2 if k == "x" else l2) * x
             m *= 0.9
             m += 0.1 * g
             v *= 0.999
             v += 0.001 * g * g
             x += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return w, tr
+    return (params["w"], params["t"], params["x"]) if lexical else (params["w"], params["t"])

@@ -8,15 +8,15 @@ from collections import Counter
 
 # Function words of the languages in Latin letters.
 FUNCTION_WORDS = {
-    "en": "the of is and to in for with was than at on when should be a by are has from it then does why again",
-    "de": "der die das und ist bei wird nach für gilt als den oft zu ein eine nicht am wie warum vor ich fast allen vom lag",
-    "fr": "le la les et est de du des une un à être pas en au il que ne par sur chez pourquoi après l’été contre ou",
-    "es": "el la los las de en para con se por qué no una del y al si que conviene aparece debe hace",
+    "en": "the of is and to in for with was than at on when should a by are has from it then does why again this that have not can be or my your what how after before if no you we they which but will would could i'm there",
+    "de": "der die das und ist bei wird nach für gilt als den oft zu ein eine nicht am wie warum vor ich fast allen vom lag dem des im mit auf von sich auch kann soll sind war haben wenn oder aber noch nur mein meine einen einer eines",
+    "fr": "le la les et est de du des une un à être pas en au il que ne par sur chez pourquoi après contre ou dans pour avec aux ce cette qui se son sa ses mais plus sont faut peut je mon ma mes depuis avant",
+    "es": "el la los las de en para con se por qué no una del y al si que conviene aparece debe hace un es su sus lo como más pero o son está tiene desde mi cuando antes sin sobre hay puede",
 }
-_WORDS: dict[str, tuple[str, ...]] = {}
+WORD_LANGUAGES: dict[str, tuple[str, ...]] = {}
 for _lang, _list in FUNCTION_WORDS.items():
     for _word in _list.split():
-        _WORDS[_word] = (*_WORDS.get(_word, ()), _lang)
+        WORD_LANGUAGES[_word] = (*WORD_LANGUAGES.get(_word, ()), _lang)
 
 # Requests for an answer in a named language, or for a translation.
 ASKS_OTHER = re.compile(
@@ -59,8 +59,8 @@ def language(text: str, n: dict[str, float] | None = None) -> str:
         text = unicodedata.normalize("NFKC", text)
     votes: Counter = Counter()
     for w in _WORD.findall(text.lower()):
-        if w in _WORDS:
-            votes.update(_WORDS[w])
+        if w in WORD_LANGUAGES:
+            votes.update(WORD_LANGUAGES[w])
     if not votes:
         return ""
     (best, k), *rest = votes.most_common(2)

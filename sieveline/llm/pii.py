@@ -281,7 +281,7 @@ def personal_information(texts: DataFrame) -> DataFrame:
     sc = texts.sparkSession.sparkContext
     texts = texts.where("row_id IS NOT NULL AND text IS NOT NULL").select("tbl", "row_id", "text")
     hinted = texts.where(F.col("text").rlike(r"@|＠|\d{3}[- ]?\d{3}|Mrs|Dr\.|Frau|Mme|Sra|ул\.|家属|患者|收件人|医师|联系人|担当"))
-    sample = [r.text for r in bounded_sample(hinted, ["tbl", "row_id"], SAMPLE_ROWS).select("text").collect()]
+    sample = [r.text for r in bounded_sample(hinted, ["tbl", "row_id"], SAMPLE_ROWS, of=texts).select("text").collect()]
     model = sc.broadcast(_train(sample))
 
     def find(batches):

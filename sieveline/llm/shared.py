@@ -91,12 +91,12 @@ def as_signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def bounded_sample(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+def bounded_sample(df: DataFrame, keys: list[str], n: int, *, of: DataFrame) -> DataFrame:
     """At most n rows, of lowest hash of the keys; the same rows however the table is partitioned.
 
     Rows above a hash bound that leaves about twice the wanted number are dropped in their tasks, so partitions don't
-    send n rows each to the driver."""
-    bound = min(1.0, 2.0 * n / max(1, df.count()))
+    send n rows each to the driver. ``of``: the unfiltered table, whose rows are counted without reading a column."""
+    bound = min(1.0, 2.0 * n / max(1, of.count()))
     h = F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
     return df.withColumn("_h", h).where(F.col("_h") <= F.lit(int(bound * (1 << 40)))).orderBy("_h", *keys).limit(n).drop("_h")
 

@@ -216,7 +216,7 @@ def test_pair_defects(spark):
     got = {r.row_id: r.defect for r in pairs.pair_defects(df).collect()}
     for i, (_, want) in cases.items():
         assert got.get(i) == want, (i, got.get(i), want)
-    assert not [i for i in range(560) if i in got] and 1011 not in got and 1012 not in got
+    assert not [(i, got[i]) for i in (*range(560), 1011, 1012) if i in got]
     assert pairs.pair_defects(df.limit(0)).count() == 0
 
 
@@ -254,6 +254,54 @@ def test_endings_are_counted_exactly(spark):
     assert {pairs._ending_key(g): (n, stops[g]) for g, n in want.items()} == got
 
 
+def test_masked_codes_are_the_masked_text():
+    texts = ["Take 1.5 mg, or 2,000.25 ?", "A  ! b ： c ;", "ＡＢ１２3.4", "१२ मि", "", "no digits", "12", "x 3,a 4.5.6", "L’été » fin"]
+    for t in texts:
+        want = pairs._masked(t)
+        got = pairs._masked_codes(code_points(t))
+        assert "".join(map(chr, got.tolist())) == want, t
+
+
+def _field():
+    rows = [(f"{QUESTIONS[i % 2]} {i}", f"{ANSWERS[i % 3]} {ANSWERS[(i + 1) % 3]}") for i in range(200)]
+    rows += [(f"孩子咳嗽{i}天，日常应该怎么护理？", "护士叮嘱先记录体温，两天后再看血钾，饮食以低盐清淡为主。请多喝水，并且每天记录体温。") for i in range(100)]
+    rows += [(f"Warum ist mir seit {i} Tagen übel?", "Trinken Sie viel Wasser und messen Sie den Blutdruck am Morgen und am Abend.") for i in range(60)]
+    rows += [(f"Почему болит спина уже {i} дней?", "Чаще двигайтесь и пейте воду, а вечером измеряйте давление.") for i in range(60)]
+    rows += [(f"How often is it taken after {i} days?", f"Take {i} drops with a glass of water. Ask a nurse if you can not sleep.") for i in range(60)]
+    rows += [(f"吃了{i}天药还要注意什么？", "这种药不能与酒同服，无法吞咽时可以掰开。不能空腹服用。") for i in range(60)]
+    marks = pairs.Marks({}, np.zeros(0x10000, dtype=bool))
+    return marks, pairs.train(rows, marks), rows
+
+
+# None of these stands in the phrases of training as it is.
+UNSEEN_REFUSALS = [
+    (QUESTIONS[0], "I would rather not go into that."), (QUESTIONS[1], "That is something I do not discuss."), (QUESTIONS[1], "Sorry, we are not able to speak about medication."),
+    ("孩子咳嗽3天，怎么护理？", "这个问题我没法回答。"), ("孩子咳嗽3天，怎么护理？", "很抱歉，关于用药我不方便给出意见。"),
+    ("Warum ist mir übel?", "Darüber möchte ich nicht sprechen."), ("Warum ist mir übel?", "Dabei kann ich Ihnen leider nicht weiterhelfen."),
+    ("Почему болит спина?", "К сожалению, я не вправе обсуждать лекарства."), ("Почему болит спина?", "Не буду отвечать на такой вопрос."),
+]
+REAL_ANSWERS = [(QUESTIONS[0], "You should not stop the drops without asking."), (QUESTIONS[1], "Twice a day."), ("孩子咳嗽3天，怎么护理？", "不能饮酒，不能吃辣。"), ("Warum ist mir übel?", "Das liegt am Blutdruck."), ("Почему болит спина?", "Не пейте алкоголь.")]
+
+
+def test_unseen_refusals_are_told_by_their_words():
+    marks, model, _ = _field()
+    for rows, want in ((UNSEEN_REFUSALS, "refusal"), (REAL_ANSWERS, None)):
+        qs, answers = [q for q, _ in rows], [a for _, a in rows]
+        c, labels, cover = pairs.tagged(marks, model, qs, answers, [-1.0] * len(rows))
+        got = pairs.defects_of(c, labels, cover, qs)
+        assert [g if want else (g if g == "refusal" else None) for g in got] == [want] * len(rows), list(zip(answers, got))
+
+
+def test_a_batch_and_single_rows_agree():
+    marks, model, rows = _field()
+    some = rows[::40] + [("", "x. y"), ("q", ""), (QUESTIONS[0], QUESTIONS[0]), ("中文问题？", "A1。\n\n（见")]
+    qs, answers = [q for q, _ in some], [a for _, a in some]
+    c, labels, cover = pairs.tagged(marks, model, qs, answers, [-1.0] * len(some))
+    for k in range(len(some)):
+        _, own, share = pairs.tagged(marks, model, [qs[k]], [answers[k]], [-1.0])
+        assert labels[c.row == k].tolist() == own.tolist() and np.allclose(cover[k], share[0])
+
+
 SAMPLES = [
     ("mail", "ab@cd.org"), ("mail", "ab [at] cd [dot] org"), ("id-cn", "11010519491231002X"), ("id-us", "123-45-6789"), ("id-uk", "QQ 89 58 84 D"),
     ("cn-mobile", "13912345678"), ("cn-spelled", "一三九一二三四五六七八"), ("cn-line", "010-1234567"), ("us", "212 555 0126"), ("uk", "07123456789"),
