@@ -123,9 +123,19 @@ def _filter_slots(keys: np.ndarray) -> np.ndarray:
     return (keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-_STOP_CODES = np.array(sorted(map(ord, _STOPS)), dtype=np.uint32)
-_LOOSE_CODES = np.array(sorted(map(ord, "!?»：；")), dtype=np.uint32)
-_SPACE_CODES = np.array(sorted(c for c in range(0x3001) if chr(c).isspace()) + [0x200B], dtype=np.uint32)
+def _set(chars) -> np.ndarray:
+    """Membership of characters of the basic plane, by code point."""
+    out = np.zeros(0x10000, dtype=bool)
+    out[list(map(ord, chars))] = True
+    return out
+
+
+def _within(members: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    return members[np.minimum(codes, 0xFFFF)]
+
+
+_STOP_CODES, _LOOSE_CODES = _set(_STOPS), _set("!?»：；")
+_SPACE_CODES = _set([chr(c) for c in range(0x3001) if chr(c).isspace()] + ["\u200b"])
 
 
 def _masked_codes(codes: np.ndarray) -> np.ndarray:
@@ -138,11 +148,11 @@ def _masked_codes(codes: np.ndarray) -> np.ndarray:
     run = nd | inner
     again = np.zeros(len(codes), dtype=bool)
     again[1:] = run[1:] & run[:-1]
-    space = np.isin(codes, _SPACE_CODES)
+    space = _within(_SPACE_CODES, codes)
     # The next character that is no space, of each character.
     at = np.where(space, len(codes), np.arange(len(codes)))
     nxt = np.minimum.accumulate(at[::-1])[::-1]
-    loose = space & (nxt < len(codes)) & np.isin(codes[np.minimum(nxt, len(codes) - 1)], _LOOSE_CODES)
+    loose = space & (nxt < len(codes)) & _within(_LOOSE_CODES, codes[np.minimum(nxt, len(codes) - 1)])
     out = LOWER(codes)
     out[run] = 48
     return out[~(again | loose)]
@@ -160,15 +170,16 @@ def count_endings(batches, wanted: np.ndarray):
         for lo, hi in chunks(list(map(len, held))):
             block = Block(held[lo:hi])
             east = (block.codes > 0x2E7F) & (block.codes < 0xFF00)
-            pairs = np.unique((block.row[east].astype(np.uint64) << np.uint64(21)) | block.codes[east])
-            own = pairs & np.uint64((1 << 21) - 1)
-            wide += np.bincount(own[own < 0x10000].astype(np.int64), minlength=0x10000)
+            own, of = block.codes[east].astype(np.uint16), block.row[east]
+            order = np.argsort(own, kind="stable")  # a radix sort; texts stay in order within a character
+            own, of = own[order], of[order]
+            wide += np.bincount(own[np.concatenate(([True], (own[1:] != own[:-1]) | (of[1:] != of[:-1])))] if len(own) else own, minlength=0x10000)
             joined = _masked_codes(block.codes)
             if len(joined) < ENDING_LENGTH + 2:
                 continue
             keys = gram_hashes(joined, ENDING_LENGTH).view(np.int64)[:-1]
             after, last = joined[ENDING_LENGTH:], joined[ENDING_LENGTH - 1 : -1]
-            stop = np.isin(after, _STOP_CODES) | ((last >= 0xE00) & (last < 0xE80) & ((after == 32) | (after == 10)))
+            stop = _within(_STOP_CODES, after) | ((last >= 0xE00) & (last < 0xE80) & ((after == 32) | (after == 10)))
             passed = wanted[_filter_slots(keys)]
             keys, at = np.unique(keys[passed], return_inverse=True)
             total, ended = np.bincount(at, minlength=len(keys)), np.bincount(at[stop[passed]], minlength=len(keys))
@@ -179,8 +190,7 @@ def count_endings(batches, wanted: np.ndarray):
 
 
 # --- features of clauses -------------------------------------------------------------------------------------------
-_SPLITS, _STAYS = (np.array(sorted(map(ord, s)), dtype=np.uint32) for s in ("。！？!?।؟", "”」』»）)】。！？!?…"))
-_ODD_CODES = np.array([0xFFFD, *map(ord, "‡√≈∂∏")], dtype=np.uint32)
+_SPLITS, _STAYS, _ODD_CODES = _set("。！？!?।؟"), _set("”」』»）)】。！？!?…"), _set("\ufffd‡√≈∂∏" + "".join(map(chr, range(0x80, 0xA0))))
 _EAST = (HAN, KANA, HANGUL)
 _SPACED = np.isin(np.arange(CLASSES), (LATIN, CYRILLIC, DEVANAGARI, ARABIC, OTHER, DIGIT))
 _JOINED = np.isin(np.arange(CLASSES), (HAN, KANA, HANGUL, THAI))
@@ -337,8 +347,8 @@ class Marks:
         # Clauses end after a stop without closing marks behind it, before a blank after a full stop, and at line ends.
         split = np.zeros(len(codes), dtype=bool)
         blank = (codes == 32) | (codes == 0xA0)
-        stop = np.isin(codes, _SPLITS)
-        split[1:] = (stop[:-1] & ~np.isin(codes[1:], _STAYS)) | (codes[:-1] == 10) | (codes[:-1] == 13)
+        stop = _within(_SPLITS, codes)
+        split[1:] = (stop[:-1] & ~_within(_STAYS, codes[1:])) | (codes[:-1] == 10) | (codes[:-1] == 13)
         full = np.flatnonzero((codes[1:-2] == 46) & alnum[:-3] & blank[2:-1]) + 1
         split[full + 1] = (classes[full - 1] != DIGIT) | (alnum[np.minimum(full + 2, len(codes) - 1)] & (classes[np.minimum(full + 2, len(codes) - 1)] != DIGIT))
         clause = np.cumsum(split)
@@ -367,7 +377,7 @@ class Marks:
         # Where one script has nearly all letters, its clauses share the language; else each clause is looked at.
         mixed = (lang == 0) | (rest > 0.25)
         c_lang = np.where(mixed[of_row], c_lang, lang[of_row])
-        odd_code = np.isin(codes, _ODD_CODES) | ((codes >= 0x80) & (codes < 0xA0))
+        odd_code = _within(_ODD_CODES, codes)
         accented = (codes >= 0xC0) & (codes <= 0xFF)  # three such letters in a row belong to no text in Latin letters
         if len(codes) > 2:
             odd_code[:-2] |= accented[:-2] & accented[1:-1] & accented[2:]
