@@ -42,6 +42,13 @@ def exact_dedup(df: DataFrame, text: Column, order: str, manual: Column | None =
     return marked.withColumn("reason", reason).withColumn("detail", F.when(duplicate, F.col(f"first_order.{order}"))).withColumnRenamed("_key", "text_sha256").drop("_manual", "first_order", "is_first")
 
 
+def excluded_by(df: DataFrame, order: str, exclusions: DataFrame) -> DataFrame:
+    """The rows with ``manual``: the reason that an exclusion table (ordinal, reason) gives for their ordinal, else
+    null. The table is reduced to one row per ordinal (its least reason); ordinals that no row has are ignored."""
+    table = exclusions.where("ordinal IS NOT NULL AND reason IS NOT NULL").groupBy(F.col("ordinal").alias(order)).agg(F.min("reason").alias("manual"))
+    return df.join(table, order, "left")
+
+
 def excess(df: DataFrame, key: Column) -> DataFrame:
     """One row (records, distinct_keys, excess, groups): copies beyond the first, and keys with several rows."""
     per = df.groupBy(key.alias("k")).agg(F.count("*").alias("n"))

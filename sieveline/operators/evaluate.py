@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import salted_join
+
 
 def best_choice(scores: Column, choices: tuple[str, ...] = ("A", "B", "C", "D")) -> Column:
     """The first choice with the highest score in a map choice -> score; null without scores."""
@@ -73,6 +75,7 @@ def preference_metrics(df: DataFrame, chosen: Column, rejected: Column) -> DataF
     return df.agg(F.avg((chosen > rejected).cast("int")).alias("accuracy"), F.avg(chosen - rejected).alias("margin"))
 
 
+# The length guard's limits in tokens and its rewards.
 def length_guard(text: Column, tokens: Column) -> Column:
     """Reward of a completion's length: blank -1, under 8 tokens -0.4, under 20 -0.1, else 0."""
     blank = text.isNull() | ~text.rlike(r"(?U)[^\s\x1c-\x1f]")
@@ -80,13 +83,14 @@ def length_guard(text: Column, tokens: Column) -> Column:
 
 
 def group_scaled(df: DataFrame, prompt: str, rewards: list[Column], weights: list[float]) -> DataFrame:
-    """The rows with ``reward`` (weighted sum) and ``advantage`` (scaled by mean and deviation within the prompt)."""
+    """The rows with ``reward`` (weighted sum) and ``advantage`` (scaled by mean and deviation within the prompt; 0 where
+    all rewards are equal). A prompt of a third of all rows is spread over tasks; rows of a null prompt are left out."""
     total = None
     for r, w in zip(rewards, weights):
         total = r * w if total is None else total + r * w
     per = df.withColumn("reward", total)
     stats = per.groupBy(prompt).agg(F.avg("reward").alias("_m"), F.stddev_samp("reward").alias("_s"))
-    return per.join(stats, prompt).withColumn("advantage", F.when(F.col("_s") > 0, (F.col("reward") - F.col("_m")) / F.col("_s")).otherwise(0.0)).drop("_m", "_s")
+    return salted_join(per, stats, [prompt]).withColumn("advantage", F.when(F.col("_s") > 1e-12, (F.col("reward") - F.col("_m")) / F.col("_s")).otherwise(0.0)).drop("_m", "_s")
 
 
 def percent_change(before: Column, after: Column) -> Column:

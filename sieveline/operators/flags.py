@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,14 +82,23 @@ def drop_reason(stages: list[tuple[str, Column]]) -> Column:
 
 
 def first_per_flag(df: DataFrame, named: dict[str, Column], order: str, k: int) -> DataFrame:
-    """Rows (flag, hits, first): hits per flag and the first k ordinals. Partitions keep k each before the shuffle."""
-    from pyspark.sql import Window
-
-    long = df.select(F.col(order).alias("o"), F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in named.items()]))).alias("flag"))
+    """Rows (flag, hits, first): hits per flag and the first k ordinals (integers). Every partition hands on at most k
+    ordinals of a flag, every one of 1,024 groups of partitions again k, so no task gathers more than a few thousand
+    per flag."""
+    long = df.select(F.col(order).cast("long").alias("o"), F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in named.items()]))).alias("flag"))
     hits = long.groupBy("flag").agg(F.count("*").alias("hits"))
-    local = Window.partitionBy("flag", "p").orderBy("o")
-    kept = long.withColumn("p", F.spark_partition_id()).withColumn("r", F.row_number().over(local)).where(F.col("r") <= k)
-    rank = Window.partitionBy("flag").orderBy("o")
-    kept = kept.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k)
-    first = kept.groupBy("flag").agg(F.sort_array(F.collect_list("o")).alias("first"))
+
+    def lowest(batches):
+        best: dict[str, list[int]] = {}
+        for b in batches:
+            o, flag = b.column(0).to_numpy(zero_copy_only=False), np.asarray(b.column(1).to_pylist(), dtype=object)
+            for f in set(flag.tolist()):
+                best[f] = np.sort(np.concatenate([best.get(f, []), o[flag == f]]).astype(np.int64))[:k].tolist()
+        names = [f for f, x in best.items() for _ in x]
+        yield pa.RecordBatch.from_arrays([pa.array([o for x in best.values() for o in x], pa.int64()), pa.array(names, pa.string())], ["o", "flag"])
+
+    kept = long.where("o IS NOT NULL").mapInArrow(lowest, "o long, flag string").withColumn("p", F.spark_partition_id() % 1024)
+    firsts = lambda c: F.slice(F.sort_array(c), 1, k)
+    some = kept.groupBy("flag", "p").agg(firsts(F.collect_list("o")).alias("some"))
+    first = some.groupBy("flag").agg(firsts(F.flatten(F.collect_list("some"))).alias("first"))
     return hits.join(first, "flag")

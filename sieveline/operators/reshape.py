@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import strip
 
-# Fixed value: the heading of a multiple-choice prompt.
+# The heading of a multiple-choice prompt, and what stands before its question and its answer.
 CHOICE_HEADING = "以下是中国考试的单项选择题，请选出正确答案。"
+CHOICE_QUESTION, CHOICE_ANSWER = "问题：", "答案："
 
 HUMAN, ASSISTANT = ("human", "user"), ("gpt", "assistant")
 
@@ -45,7 +46,7 @@ def first_turn(turns: Column, roles: tuple[str, ...], role: str = "role") -> Col
 
 def choice_prompt(question: Column, choices: list[Column], intro: str = CHOICE_HEADING) -> Column:
     lines = [F.concat(F.lit(f"{k}. "), c, F.lit("\n")) for k, c in zip("ABCDEFGH", choices)]
-    return F.concat(F.lit(f"{intro}\n问题："), question, F.lit("\n"), *lines, F.lit("答案："))
+    return F.concat(F.lit(f"{intro}\n{CHOICE_QUESTION}"), question, F.lit("\n"), *lines, F.lit(CHOICE_ANSWER))
 
 
 def completion(answer: Column, eos: str) -> Column:

@@ -36,5 +36,14 @@ def shuffled_ordinals(n: int, seed: int) -> list[int]:
     return order
 
 
+def split_prompts(train: DataFrame, validation: DataFrame, key: Column, order: str, *, train_size: int, eval_size: int, seed: str) -> DataFrame:
+    """Rows of both frames with ``split``: the ``train_size`` rows of lowest seeded hash of the training frame, and the
+    first ``eval_size`` rows of the validation frame in their order. Ties keep the smaller ordinal; frames that are too
+    small come whole."""
+    hashed = train.withColumn("_h", F.sha2(F.concat(F.lit(seed), key.cast("string")), 256)).orderBy("_h", order).limit(train_size).drop("_h")
+    return hashed.withColumn("split", F.lit("train")).unionByName(head(validation, eval_size, order).withColumn("split", F.lit("validation")))
+
+
 def head(df: DataFrame, n: int, order: str) -> DataFrame:
+    """The first n rows in order (all if there are fewer, none of an empty frame)."""
     return df.orderBy(order).limit(n)

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.jsonl import running_sum
+
 
 def code_points(c: Column) -> Column:
     """Ids of the default tokenizer."""
@@ -44,21 +46,28 @@ def packing_stats(df: DataFrame, ordinal: str, size: Column, *, block: int = 256
 
 def pack_blocks(df: DataFrame, ordinal: str, ids: Column, *, block: int = 256, batch: int = 1000) -> DataFrame:
     """Rows (batch, block, ids): each batch's ids in order, cut into full blocks; a batch under one block gives none.
-    A batch is bounded by its number of documents."""
-    rows = df.select(F.floor((F.col(ordinal) - 1) / batch).alias("batch"), F.struct(F.col(ordinal).alias("o"), ids.alias("x")).alias("r"))
-    whole = rows.groupBy("batch").agg(F.flatten(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["x"])).alias("all"))
-    n = F.floor(F.size("all") / block).cast("int")
-    return whole.where(n > 0).select("batch", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice("all", k * block + 1, block))).alias("block", "ids"))
+
+    Documents are cut where blocks end, by running sums of their sizes within the batch; only the pieces of one block
+    come together in a group, so no array holds more than a block or a document."""
+    rows = df.select(F.floor((F.col(ordinal) - 1) / batch).alias("batch"), F.col(ordinal).alias("o"), ids.alias("x")).where(F.size("x") > 0)
+    order = Window.partitionBy("batch").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("pos", F.coalesce(F.sum(F.size("x")).over(order), F.lit(0)))
+    first, last = F.floor(F.col("pos") / block), F.floor((F.col("pos") + F.size("x") - 1) / block)
+    pieces = placed.select("batch", "o", "x", "pos", F.explode(F.sequence(first, last)).alias("block"))
+    start = F.greatest(F.lit(0), F.col("block") * block - F.col("pos"))
+    end = F.least(F.size("x").cast("bigint"), (F.col("block") + 1) * block - F.col("pos"))
+    cut = pieces.select("batch", F.col("block").cast("int").alias("block"), F.struct("o", F.slice("x", (start + 1).cast("int"), (end - start).cast("int")).alias("x")).alias("r"))
+    whole = cut.groupBy("batch", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["x"])).alias("ids"))
+    return whole.where(F.size("ids") == block).select("batch", "block", "ids")
 
 
 def coverage(df: DataFrame, ordinal: str, size: Column, *, cap_blocks: int, block: int = 256, batch: int = 1000) -> DataFrame:
     """One row (covered): documents that begin within the kept tokens of their batch and the running cap. Running sums
-    are per batch, then over the batches (one row each)."""
+    are per batch, then over ranges of batches (one row each), of which no task sees all."""
     rows = df.select(F.floor((F.col(ordinal) - 1) / batch).alias("b"), F.col(ordinal).alias("o"), F.coalesce(size, F.lit(0)).alias("s"))
     pos = F.coalesce(F.sum("s").over(Window.partitionBy("b").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per = rows.groupBy("b").agg(F.sum("s").alias("t")).withColumn("kept", F.when(F.col("t") >= block, F.floor(F.col("t") / block) * block).otherwise(F.col("t")))
-    before = F.coalesce(F.sum("kept").over(Window.partitionBy(F.lit(0)).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    budget = per.withColumn("budget", F.greatest(F.lit(0), F.least(F.col("kept"), F.lit(cap_blocks * block) - before)))
+    budget = running_sum(per, "b", "kept", "upto").withColumn("budget", F.greatest(F.lit(0), F.least(F.col("kept"), F.lit(cap_blocks * block) - (F.col("upto") - F.col("kept")))))
     return rows.withColumn("pos", pos).join(budget.select("b", "budget"), "b").agg(F.count_if(F.col("pos") < F.col("budget")).alias("covered"))
 
 
@@ -83,5 +92,14 @@ def step_plan(samples: int, batch: int, accumulation: int, warmup_ratio: float,
     return {"effective_batch": batch * accumulation, "steps": steps, "warmup_steps": math.ceil(steps * warmup_ratio)}
 
 
+def step_plans(df: DataFrame, samples: str, *, batch: int, accumulation: int, warmup_ratio: float, epochs: int = 1) -> DataFrame:
+    """The rows with effective_batch, steps and warmup_steps of a run over ``samples`` samples; a row of no samples and
+    arguments that make no plan raise."""
+    step_plan(1, batch, accumulation, warmup_ratio, epochs)
+    n = F.when(F.col(samples) >= 1, F.col(samples)).otherwise(F.raise_error(F.lit("no samples")).cast("bigint"))
+    out = df.withColumn("effective_batch", F.lit(batch * accumulation).cast("long")).withColumn("steps", (F.ceil(n / (batch * accumulation)) * epochs).cast("long"))
+    return out.withColumn("warmup_steps", F.ceil(F.col("steps") * warmup_ratio).cast("long"))
+
+
 def extrapolate(seconds: float, blocks: int, target_blocks: int) -> float:
     return seconds / blocks * target_blocks

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import jsontext
 from ..functions.normalize import alnum, collapse, is_blank, nospace, strip
 from ..operators import decontaminate, dedup, evaluate, flags, neardup, reshape, sample, stats, tokens
+from ..session import cut_lineage
 from ..sources.jsonl import dense_ordinals, validate_lines
 from ..sources.sinks import set_fingerprint
 from . import sqltext as S
@@ -44,12 +45,21 @@ def _docs(spark, d):
     return _t(spark, d, "documents").select("doc_id", "text", "lang", "source")
 
 
-def _sft(spark, d):
-    return _t(spark, d, "sft_raw").select("record_id", "source_line", "instruction", "input", "output", "source").distinct()
+def _sft(spark, d, **columns):
+    """The records, or (record_id, columns): second deliveries fall together, after what is asked of them is computed,
+    so that no text is shuffled."""
+    t = _t(spark, d, "sft_raw")
+    return t.select("record_id", *[c.alias(n) for n, c in columns.items()]).distinct() if columns else t.select("record_id", "source_line", "instruction", "input", "output", "source")
 
 
-def _pref(spark, d):
-    return _t(spark, d, "pref_raw").select("pref_id", "question", "response_chosen", "response_rejected", "system_prompt", "history", "source", "split").distinct()
+def _pref(spark, d, **columns):
+    """As _sft, of the preference records."""
+    t = _t(spark, d, "pref_raw")
+    return t.select("pref_id", *[c.alias(n) for n, c in columns.items()]).distinct() if columns else t.select("pref_id", "question", "response_chosen", "response_rejected", "system_prompt", "history", "source", "split")
+
+
+def _user():
+    return reshape.user_text(F.col("instruction"), F.col("input"))
 
 
 def _benchmark(spark, d):
@@ -60,24 +70,21 @@ SFT = "sft AS (SELECT DISTINCT record_id, source_line, instruction, input, outpu
 PREF = "pref AS (SELECT DISTINCT pref_id, question, response_chosen, response_rejected, system_prompt, history, source, split FROM pref_raw)"
 USER = "coalesce(instruction,'') || CASE WHEN coalesce(input,'') <> '' THEN chr(10) || chr(10) || input ELSE '' END"
 
-#: Ordinals that a review has excluded by hand, with the reason: the parameter of the manual exclusion queries.
-MANUAL = {3: "quality_review", 17: "off_scope", 41: "corrupted_text"}
-
+#: A review's exclusion table (ordinal, reason): the parameter of the manual exclusion queries.
+MANUAL = [(3, "quality_review"), (17, "off_scope"), (41, "corrupted_text")]
+MANUAL_SQL = "CASE doc_id " + " ".join(f"WHEN {k} THEN '{r}'" for k, r in MANUAL) + " END"
 
-def _manual(c):
-    out = F.lit(None).cast("string")
-    for k, reason in MANUAL.items():
-        out = F.when(c == k, reason).otherwise(out)
-    return out
 
-
-MANUAL_SQL = "CASE doc_id " + " ".join(f"WHEN {k} THEN '{r}'" for k, r in MANUAL.items()) + " END"
+# --- the flagship: normalise, first wins, decontaminate, sample ---------------------------------------------------
+_HITS = f"""n AS MATERIALIZED (SELECT doc_id, text, {S.alnum('text')} AS t FROM documents WHERE text IS NOT NULL), i AS MATERIALIZED (SELECT item_id, {S.alnum('text')} AS s FROM (SELECT item_id, question AS text FROM mcq UNION ALL SELECT item_id, text FROM heldout_texts) WHERE text IS NOT NULL),
+h AS MATERIALIZED (SELECT n.doc_id, i.item_id FROM n JOIN i ON i.s <> '' AND length(i.s) <= length(n.t) AND contains(n.t, i.s))"""
 
 
-# --- the flagship: normalise, first wins, decontaminate, sample ---------------------------------------------------
-@query()  # tested against brute force: the substring join is too slow as SQL
+@query(f"""WITH {_HITS}, f AS (SELECT t, min(doc_id) AS o FROM n GROUP BY t)
+SELECT n.doc_id, sha256('42' || n.text) AS sample_hash FROM n JOIN f ON f.t = n.t AND f.o = n.doc_id WHERE n.t <> '' AND n.doc_id NOT IN (SELECT doc_id FROM h) ORDER BY sample_hash, n.doc_id DESC LIMIT 100""")
 def corpus_slice(spark, d):
     n = _docs(spark, d).where("text IS NOT NULL").select("doc_id", "text", alnum(F.col("text")).alias("t")).withColumn("k", dedup.digest(F.col("t")))
+    n = cut_lineage(n)  # the normal forms are read several times
     hits = decontaminate.substring_hits(n, "doc_id", F.col("t"), _benchmark(spark, d), "item_id", alnum(F.col("text"))).select("doc_id").distinct().withColumn("leak", F.lit(True))
     marked = dedup.first_wins(n, ["k"], ["doc_id"]).join(hits, "doc_id", "left")
     reason = flags.drop_reason([("blank", F.col("t") == ""), ("duplicate", ~F.col("is_first")), ("benchmark", F.col("leak"))])
@@ -133,7 +140,7 @@ def validation_dialogue(spark, d):
 
 @query(_report_sql("pref", "pref_id", " AND ".join(f"NOT {S.blank(c)}" for c in ("question", "response_chosen", "response_rejected"))).replace("WITH m", f"WITH {PREF}, m", 1))
 def validation_preference(spark, d):
-    return _report(_pref(spark, d), flags.valid_preference(F.col("question"), F.col("response_chosen"), F.col("response_rejected")), "pref_id")
+    return _report(_pref(spark, d, ok=flags.valid_preference(F.col("question"), F.col("response_chosen"), F.col("response_rejected"))), F.col("ok"), "pref_id")
 
 
 _HIST_OK = "(history IS NULL OR len(list_filter(history, lambda h: h IS NULL OR len(h) <> 2 OR len(list_filter(h, lambda x: x IS NULL)) > 0)) = 0)"
@@ -145,7 +152,7 @@ WHEN {S.nospace('response_chosen')} = {S.nospace('response_rejected')} THEN 'equ
 def preference_validity(spark, d):
     q, c, r = (F.col(x) for x in ("question", "response_chosen", "response_rejected"))
     reason = flags.drop_reason([("required_fields", ~flags.valid_preference(q, c, r)), ("history", ~flags.valid_history(F.col("history"))), ("replacement_char", F.concat(q, c, r).contains("�")), ("equal_preference", nospace(c) == nospace(r))])
-    return _pref(spark, d).select(F.coalesce(reason, F.lit("kept")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    return _pref(spark, d, reason=F.coalesce(reason, F.lit("kept"))).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 _RE2_PHONE = r"(^|\P{Nd})1[3-9]\p{Nd}{9}(\P{Nd}|$)"
@@ -155,9 +162,8 @@ _COMBINED = f"SELECT record_id, source_line, output, {USER} || chr(10) || coales
 
 @query(f"WITH {SFT}, x AS ({_COMBINED}) " + " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) FILTER (WHERE {p}) AS n FROM x" for n, p in _FLAG_SQL.items()))
 def lexical_flag_counts(spark, d):
-    s = _sft(spark, d)
-    c = F.concat(reshape.user_text(F.col("instruction"), F.col("input")), F.lit("\n"), F.coalesce("output", F.lit("")))
-    return stats.counts(s.withColumn("c", c), flags.flags(F.col("c")))
+    named = flags.flags(F.concat(_user(), F.lit("\n"), F.coalesce("output", F.lit(""))))
+    return stats.counts(_sft(spark, d, **named), {n: F.col(n) for n in named})
 
 
 #: A catalogue of patterns that occur in the test tables: the same operators with other rules.
@@ -175,8 +181,8 @@ def first_lines_per_flag(spark, d):
 @query(f"""WITH {SFT} SELECT count(*) FILTER (WHERE length({S.strip('output')}) < 10) AS answer_under_10, count(*) FILTER (WHERE length({S.strip('output')}) > 4000) AS answer_over_4000,
 (SELECT count(*) FROM documents WHERE length(text) < 20) AS text_under_20 FROM sft""")
 def length_flags(spark, d):
-    n = F.length(strip(F.col("output")))
-    return _sft(spark, d).agg(F.count_if(n < 10).alias("answer_under_10"), F.count_if(n > 4000).alias("answer_over_4000")).crossJoin(_docs(spark, d).agg(F.count_if(F.length("text") < 20).alias("text_under_20")))  # one row each
+    n = F.col("n")
+    return _sft(spark, d, n=F.length(strip(F.col("output")))).agg(F.count_if(n < 10).alias("answer_under_10"), F.count_if(n > 4000).alias("answer_over_4000")).crossJoin(_docs(spark, d).agg(F.count_if(F.length("text") < 20).alias("text_under_20")))  # one row each
 
 
 _EXCL = " OR ".join(_FLAG_SQL[n] for n in flags.EXCLUDING)
@@ -185,25 +191,24 @@ _ANY = " OR ".join(_FLAG_SQL.values())
 
 @query(f"WITH {SFT}, x AS ({_COMBINED}) SELECT count(*) AS records, count(*) FILTER (WHERE {_ANY}) AS flagged, count(*) FILTER (WHERE {_EXCL}) AS excluded, count(*) FILTER (WHERE ({_ANY}) AND NOT ({_EXCL})) AS review_only FROM x")
 def review_and_exclusion(spark, d):
-    c = F.concat(reshape.user_text(F.col("instruction"), F.col("input")), F.lit("\n"), F.coalesce("output", F.lit("")))
-    named = flags.flags(F.col("c"))
+    named = flags.flags(F.concat(_user(), F.lit("\n"), F.coalesce("output", F.lit(""))))
     any_hit, out = F.lit(False), F.lit(False)
     for n, x in named.items():
         any_hit, out = any_hit | x, out | x if n in flags.EXCLUDING else out
-    return _sft(spark, d).withColumn("c", c).select(any_hit.alias("f"), out.alias("e")).agg(F.count("*").alias("records"), F.count_if("f").alias("flagged"), F.count_if("e").alias("excluded"), F.count_if(F.col("f") & ~F.col("e")).alias("review_only"))
+    return _sft(spark, d, f=any_hit, e=out).agg(F.count("*").alias("records"), F.count_if("f").alias("flagged"), F.count_if("e").alias("excluded"), F.count_if(F.col("f") & ~F.col("e")).alias("review_only"))
 
 
 @query(f"""WITH {PREF} SELECT count(*) FILTER (WHERE {S.collapse('response_chosen')} = {S.collapse('response_rejected')}) AS equal_collapsed, count(*) FILTER (WHERE {S.nospace('response_chosen')} = {S.nospace('response_rejected')}) AS equal_nospace FROM pref""")
 def equal_pairs(spark, d):
     c, r = F.col("response_chosen"), F.col("response_rejected")
-    return _pref(spark, d).select((collapse(c) == collapse(r)).alias("a"), (nospace(c) == nospace(r)).alias("b")).agg(F.count_if("a").alias("equal_collapsed"), F.count_if("b").alias("equal_nospace"))
+    return _pref(spark, d, a=collapse(c) == collapse(r), b=nospace(c) == nospace(r)).agg(F.count_if("a").alias("equal_collapsed"), F.count_if("b").alias("equal_nospace"))
 
 
 @query(f"WITH {PREF} SELECT count(*) FILTER (WHERE length(coalesce(question,'')) <= 384 AND length(coalesce(response_chosen,'')) + 1 <= 384 AND length(coalesce(response_rejected,'')) + 1 <= 384) AS within, count(*) AS records FROM pref")
 def length_bound(spark, d):
     size = lambda c, eos: F.size(tokens.code_points(F.coalesce(F.col(c), F.lit("")))) + eos
     fits = (size("question", 0) <= 384) & (size("response_chosen", 1) <= 384) & (size("response_rejected", 1) <= 384)
-    return _pref(spark, d).agg(F.count_if(fits).alias("within"), F.count("*").alias("records"))
+    return _pref(spark, d, fits=fits).agg(F.count_if("fits").alias("within"), F.count("*").alias("records"))
 
 
 # --- ordered deduplication ------------------------------------------------------------------------------------------
@@ -213,7 +218,12 @@ m AS (SELECT c.doc_id, c.k AS text_sha256, coalesce(c.manual, CASE WHEN c.doc_id
 
 
 def _clean(spark, d):
-    return dedup.exact_dedup(_docs(spark, d).select("doc_id", "text"), strip(F.col("text")), "doc_id", _manual(F.col("doc_id")))
+    table = spark.createDataFrame(MANUAL, "ordinal long, reason string")
+    rows = dedup.excluded_by(_docs(spark, d).select("doc_id", dedup.digest(strip(F.col("text"))).alias("k")), "doc_id", table)
+    marked = dedup.first_wins(rows, ["k"], ["doc_id"], among=F.col("manual").isNull())
+    duplicate = F.col("manual").isNull() & ~F.col("is_first")
+    reason = F.coalesce("manual", F.when(duplicate, "exact_duplicate"))
+    return marked.select("doc_id", F.col("k").alias("text_sha256"), reason.alias("reason"), F.when(duplicate, F.col("first_order.doc_id")).alias("detail"))
 
 
 @query(f"WITH {_CPT} SELECT doc_id, text_sha256, reason, detail FROM m")
@@ -253,14 +263,15 @@ _VALID_SFT = f"NOT {S.blank('instruction')} AND NOT {S.blank('output')}"
 SELECT record_id, k AS pair_sha256, record_id <> min(record_id) OVER (PARTITION BY k) AS duplicate FROM v""")
 def pair_dedup(spark, d):
     v = _sft(spark, d).where(~is_blank(F.col("instruction")) & ~is_blank(F.col("output")))
-    v = v.select("record_id", dedup.digest(alnum(F.concat(reshape.user_text(F.col("instruction"), F.col("input")), F.col("output")))).alias("pair_sha256"))
+    v = v.select("record_id", dedup.digest(alnum(F.concat(_user(), F.col("output")))).alias("pair_sha256")).distinct()
     return dedup.first_wins(v, ["pair_sha256"], ["record_id"]).select("record_id", "pair_sha256", (~F.col("is_first")).alias("duplicate"))
 
 
 @query(f"WITH {SFT}, v AS (SELECT {S.alnum(f'({USER})')} AS k FROM sft WHERE {_VALID_SFT}) SELECT count(*) AS records, (count(*) - count(DISTINCT k)) AS duplicate_prompt_excess FROM v")
 def duplicate_prompt_excess(spark, d):
     v = _sft(spark, d).where(~is_blank(F.col("instruction")) & ~is_blank(F.col("output")))
-    return dedup.excess(v, dedup.digest(alnum(reshape.user_text(F.col("instruction"), F.col("input"))))).select("records", F.col("excess").alias("duplicate_prompt_excess"))
+    v = v.select("record_id", dedup.digest(alnum(_user())).alias("k")).distinct()
+    return dedup.excess(v, F.col("k")).select("records", F.col("excess").alias("duplicate_prompt_excess"))
 
 
 _HIST_TEXT = "coalesce(array_to_string(list_transform(history, lambda h: array_to_string(list_transform(h, lambda x: coalesce(x,'')), chr(1))), chr(2)), '')"
@@ -276,10 +287,10 @@ def _staged(spark, d):
     early = flags.drop_reason([("invalid", ~flags.valid_preference(q, c, r) | ~flags.valid_history(F.col("history"))), ("replacement_char", F.concat(q, c, r).contains("�")), ("equal_preference", nospace(c) == nospace(r))])
     history = F.coalesce(F.array_join(F.transform("history", lambda h: F.array_join(F.transform(h, lambda x: F.coalesce(x, F.lit(""))), "\x01")), "\x02"), F.lit(""))
     key = F.concat(nospace(F.coalesce("system_prompt", F.lit(""))), F.lit("\x03"), history, F.lit("\x03"), nospace(q))
-    rows = _pref(spark, d).withColumn("early", early).withColumn("k", dedup.digest(key))
-    marked = dedup.first_wins(rows, ["k"], ["pref_id"], among=F.col("early").isNull())
     long = (F.length("question") > 384) | (F.length(strip(c)) + 1 > 384) | (F.length(strip(r)) + 1 > 384)
-    return marked.withColumn("reason", F.coalesce("early", flags.drop_reason([("duplicate_prompt", ~F.col("is_first")), ("over_length", long)])))
+    rows = _pref(spark, d, early=early, k=dedup.digest(key), long=long)
+    marked = dedup.first_wins(rows, ["k"], ["pref_id"], among=F.col("early").isNull())
+    return marked.withColumn("reason", F.coalesce("early", flags.drop_reason([("duplicate_prompt", ~F.col("is_first")), ("over_length", F.col("long"))])))
 
 
 @query(f"WITH {PREF}, {_STAGE} SELECT pref_id, reason FROM q")
@@ -300,7 +311,7 @@ SELECT split, count(*) AS records, count(*) FILTER (WHERE first) AS kept FROM (S
 def cross_split_dedup(spark, d):
     key = F.concat_ws("\n", *[collapse(F.col(c)) for c in ("question", "response_chosen", "response_rejected")])
     rank = F.when(F.col("split") == "train", 0).when(F.col("split") == "valid", 1).otherwise(2)
-    t = _pref(spark, d).select("pref_id", "split", rank.alias("r"), dedup.digest(key).alias("k"))
+    t = _pref(spark, d, split=F.col("split"), r=rank, k=dedup.digest(key))
     return dedup.first_wins(t, ["k"], ["r", "pref_id"]).groupBy("split").agg(F.count("*").alias("records"), F.count_if("is_first").alias("kept"))
 
 
@@ -320,13 +331,14 @@ _P_KEYS = f"p AS (SELECT {S.nospace('question')} AS q, {S.nospace('response_chos
 
 def _triples(spark, d):
     q, c, r = (F.col(x) for x in ("question", "response_chosen", "response_rejected"))
-    return _pref(spark, d).where(flags.valid_preference(q, c, r)).select(nospace(q).alias("q"), nospace(c).alias("c"), nospace(r).alias("r"))
+    k = {n: dedup.digest(nospace(x)) for n, x in (("q", q), ("c", c), ("r", r))}
+    return _pref(spark, d, ok=flags.valid_preference(q, c, r), **k).where("ok")
 
 
 @query(f"WITH {PREF}, {_P_KEYS} SELECT (count(*) - count(DISTINCT q)) AS prompt_excess, (count(*) - count(DISTINCT (q, c, r))) AS triple_excess FROM p")
 def preference_excess(spark, d):
     t = _triples(spark, d)
-    return dedup.excess(t, dedup.digest(F.col("q"))).select(F.col("excess").alias("prompt_excess")).crossJoin(dedup.excess(t, F.sha2(F.concat_ws("\x01", "q", "c", "r"), 256)).select(F.col("excess").alias("triple_excess")))  # one row each
+    return dedup.excess(t, F.col("q")).select(F.col("excess").alias("prompt_excess")).crossJoin(dedup.excess(t, F.sha2(F.concat_ws("\x01", "q", "c", "r"), 256)).select(F.col("excess").alias("triple_excess")))  # one row each
 
 
 @query(f"WITH {PREF}, {_P_KEYS}, u AS (SELECT DISTINCT * FROM p) SELECT count(*) AS reversed_pairs FROM u a WHERE a.c < a.r AND EXISTS (SELECT 1 FROM u b WHERE b.q = a.q AND b.c = a.r AND b.r = a.c)")
@@ -339,19 +351,20 @@ def reversed_preferences(spark, d):
 c AS (SELECT DISTINCT {S.alnum('text')} AS k FROM documents WHERE text IS NOT NULL), s AS (SELECT record_id, {S.alnum(f'({USER})')} AS u, {S.alnum(f"({USER} || coalesce(output,''))")} AS p FROM sft)
 SELECT count(*) AS records, count(*) FILTER (WHERE u <> '' AND u IN (SELECT k FROM h)) AS heldout_prompt, count(*) FILTER (WHERE p <> '' AND p IN (SELECT k FROM c)) AS corpus_pair, count(*) FILTER (WHERE u <> '' AND u IN (SELECT k FROM b)) AS benchmark_prompt FROM s""")
 def overlap_counts(spark, d):
-    user = reshape.user_text(F.col("instruction"), F.col("input"))
-    s = _sft(spark, d).select("record_id", alnum(user).alias("u"), alnum(F.concat(user, F.coalesce("output", F.lit("")))).alias("p"))
-    held = _pref(spark, d).where("split <> 'train' AND question IS NOT NULL").select(alnum(F.col("question")).alias("k"))
-    docs = _docs(spark, d).where("text IS NOT NULL").select(alnum(F.col("text")).alias("k"))
-    bench = _t(spark, d, "mcq").select(alnum(F.col("question")).alias("k"))
+    key = lambda c: F.when(c == "", "").otherwise(dedup.digest(c))  # noqa: E731  digests, not texts, are joined
+    s = _sft(spark, d, u=key(alnum(_user())), p=key(alnum(F.concat(_user(), F.coalesce("output", F.lit(""))))))
+    held = _pref(spark, d).where("split <> 'train' AND question IS NOT NULL").select(key(alnum(F.col("question"))).alias("k"))
+    docs = _docs(spark, d).where("text IS NOT NULL").select(key(alnum(F.col("text"))).alias("k"))
+    bench = _t(spark, d, "mcq").select(key(alnum(F.col("question"))).alias("k"))
     for key, other, name in (("u", held, "h"), ("p", docs, "c"), ("u", bench, "b")):
         s = decontaminate.overlap_flag(s, F.col(key), other, F.col("k"), name)
     return s.agg(F.count("*").alias("records"), F.count_if("h").alias("heldout_prompt"), F.count_if("c").alias("corpus_pair"), F.count_if("b").alias("benchmark_prompt"))
 
 
-@query()  # tested against brute force: the substring join is too slow as SQL
+@query(f"WITH {_HITS} SELECT doc_id, item_id FROM h")
 def benchmark_substring(spark, d):
-    return decontaminate.substring_hits(_docs(spark, d), "doc_id", alnum(F.col("text")), _benchmark(spark, d), "item_id", alnum(F.col("text")))
+    docs = cut_lineage(_docs(spark, d).where("text IS NOT NULL").select("doc_id", alnum(F.col("text")).alias("t")))
+    return decontaminate.substring_hits(docs, "doc_id", F.col("t"), _benchmark(spark, d), "item_id", alnum(F.col("text")))
 
 
 @query(f"""SELECT item_id FROM heldout_texts WHERE split = 'valid' AND {S.alnum('text')} IN (SELECT {S.alnum('text')} FROM documents WHERE text IS NOT NULL)""")
@@ -362,16 +375,21 @@ def validation_overlap(spark, d):
 
 @query(f"WITH {_CPT} SELECT count(*) AS raw_overlap FROM heldout_texts h WHERE EXISTS (SELECT 1 FROM documents x JOIN m ON m.doc_id = x.doc_id AND m.reason IS NULL WHERE {S.strip('x.text')} = h.text)")
 def kept_validation_overlap(spark, d):
-    kept = _clean(spark, d).where("reason IS NULL").select(strip(F.col("text")).alias("text"))
-    return _t(spark, d, "heldout_texts").join(kept, "text", "left_semi").agg(F.count("*").alias("raw_overlap"))
+    kept = _clean(spark, d).where("reason IS NULL").select("text_sha256").distinct()
+    held = _t(spark, d, "heldout_texts").where("text IS NOT NULL").select("item_id", F.sha2("text", 256).alias("text_sha256"))
+    return held.join(kept, "text_sha256", "left_semi").agg(F.count("*").alias("raw_overlap"))
 
 
-@query(f"""WITH {PREF}, t AS (SELECT unnest(conversations) AS c FROM sft_chat), h AS (SELECT DISTINCT {S.nospace('c.value')} AS k FROM t WHERE c.role IN ('human','user') AND c.value IS NOT NULL)
-SELECT split, count(*) AS records, count(*) FILTER (WHERE {S.nospace('question')} <> '' AND {S.nospace('question')} IN (SELECT k FROM h)) AS overlapping FROM pref GROUP BY split""")
+@query(f"""WITH {PREF}, t AS (SELECT unnest(conversations) AS c FROM sft_chat), h AS (SELECT DISTINCT {S.nospace('c.value')} AS k FROM t WHERE c.role IN ('human','user') AND c.value IS NOT NULL),
+b AS (SELECT DISTINCT {S.nospace('question')} AS k FROM mcq WHERE question IS NOT NULL), q AS MATERIALIZED (SELECT pref_id, split, {S.nospace('question')} AS k FROM pref)
+SELECT split, count(*) AS records, count(*) FILTER (WHERE k <> '' AND k IN (SELECT k FROM h)) AS overlapping, count(*) FILTER (WHERE k <> '' AND k IN (SELECT k FROM b)) AS benchmark FROM q GROUP BY split""")
 def preference_question_overlap(spark, d):
+    """Questions that are also a user's turn of any dialogue, and those that are a benchmark question."""
     turns = _t(spark, d, "sft_chat").select(F.explode("conversations").alias("c")).where(F.col("c.role").isin(*reshape.HUMAN) & F.col("c.value").isNotNull())
-    flagged = decontaminate.overlap_flag(_pref(spark, d).withColumn("k0", nospace(F.col("question"))), F.col("k0"), turns.select(nospace(F.col("c.value")).alias("k")), F.col("k"), "hit")
-    return flagged.groupBy("split").agg(F.count("*").alias("records"), F.count_if("hit").alias("overlapping"))
+    flagged = _pref(spark, d, split=F.col("split"), k0=nospace(F.col("question")))
+    for other, name in ((turns.select(nospace(F.col("c.value")).alias("k")), "hit"), (_t(spark, d, "mcq").select(nospace(F.col("question")).alias("k")), "bench")):
+        flagged = decontaminate.overlap_flag(flagged, F.col("k0"), other, F.col("k"), name)
+    return flagged.groupBy("split").agg(F.count("*").alias("records"), F.count_if("hit").alias("overlapping"), F.count_if("bench").alias("benchmark"))
 
 
 @query(f"WITH {PREF}, {SFT} SELECT count(*) AS shared_prompts FROM (SELECT {S.nospace('question')} AS k FROM pref WHERE question IS NOT NULL INTERSECT SELECT {S.nospace('instruction')} FROM sft WHERE instruction IS NOT NULL)")
@@ -380,26 +398,92 @@ def shared_prompts(spark, d):
     return keys(_pref(spark, d), "question").intersect(keys(_sft(spark, d), "instruction")).agg(F.count("*").alias("shared_prompts"))
 
 
-# --- near duplicates: no SQL on whole tables, tested against brute force ---------------------------------------------
-@query()
+# --- near duplicates ----------------------------------------------------------------------------------------------
+def _grams_sql(name: str, source: str, n: int) -> str:
+    letters = " + ".join(f"unicode(substr(t, p + {k}, 1))::BIGINT * {neardup.FACTORS[k]}" for k in range(n))
+    return f"SELECT k, (({letters} + {n * neardup.LENGTH_FACTOR}) % {neardup.PRIME}) % {1 << neardup.FEATURE_BITS} AS f FROM (SELECT k, t, unnest(range(1, length(t) - {n - 2})) AS p FROM {source} WHERE length(t) >= {n})"
+
+
+def _vectors_sql(name: str, source: str, weights: str) -> str:
+    """CTEs of the unit vectors of the texts (k, t) of ``source``: counts of hashed grams by the weights (f, idf)."""
+    return f"""{name}_c AS MATERIALIZED (SELECT k, f, count(*) AS n FROM ({_grams_sql(name, source, 3)} UNION ALL {_grams_sql(name, source, 4)}) GROUP BY k, f),
+{name}_w AS (SELECT c.k, c.f, c.n * coalesce(w.idf, (SELECT ln((1 + n) / 1.0) + 1 FROM total)) AS w FROM {name}_c c LEFT JOIN {weights} w ON w.f = c.f),
+{name} AS MATERIALIZED (SELECT k, f, w / sqrt(sum(w * w) OVER (PARTITION BY k)) AS w FROM {name}_w)"""
+
+
+def _texts_sql(normal: str, source: str, key: str) -> str:
+    """One row (k, t, copies) per normal form, k its smallest id; the idf of hashed grams counts every copy."""
+    return f"""x AS MATERIALIZED (SELECT DISTINCT {key} AS id, {normal} AS t FROM {source}), r AS MATERIALIZED (SELECT min(id) AS k, t, count(*) AS copies FROM x WHERE t <> '' AND id IS NOT NULL GROUP BY t),
+total AS (SELECT sum(copies) AS n FROM r), r_g AS (SELECT k, f FROM ({_grams_sql('r', 'r', 3)} UNION {_grams_sql('r', 'r', 4)})),
+idf AS MATERIALIZED (SELECT f, ln((1 + (SELECT n FROM total)) / (1.0 + sum(copies))) + 1 AS idf FROM r_g JOIN r ON r.k = r_g.k GROUP BY f)"""
+
+
+def _links_sql(normal: str, source: str, key: str, threshold: float) -> str:
+    """All pairs by brute force over shared grams."""
+    return f"""WITH {_texts_sql(normal, source, key)}, {_vectors_sql('v', 'r', 'idf')},
+links AS MATERIALIZED (SELECT a.k AS class_a, b.k AS class_b, sum(a.w * b.w) AS similarity FROM v a JOIN v b ON b.f = a.f AND a.k < b.k GROUP BY 1, 2 HAVING sum(a.w * b.w) >= {threshold})"""
+
+
+#: The screen's thresholds, and a lower one at which the test tables hold links.
+CORPUS_THRESHOLD, PAIR_THRESHOLD, LOOSE_THRESHOLD = 0.95, 0.97, 0.7
+_DOC_LINKS = lambda t: _links_sql(S.alnum("text"), "documents WHERE text IS NOT NULL", "doc_id", t)
+_PAIR_LINKS = lambda t: _links_sql(S.alnum(f"({USER} || coalesce(output,''))"), "sft_raw", "record_id", t)
+_CLASSES = "SELECT x.id AS {0}, r.k AS class_id, r.copies, coalesce(n.n, 0)::BIGINT AS links FROM x JOIN r ON r.t = x.t LEFT JOIN (SELECT k, count(*) AS n FROM (SELECT class_a AS k FROM links UNION ALL SELECT class_b FROM links) GROUP BY k) n ON n.k = r.k"
+
+
+def _near_docs(spark, d, threshold):
+    documents, links = neardup.near_duplicates(_docs(spark, d), "doc_id", alnum(F.col("text")), threshold)
+    return documents.withColumnRenamed("id", "doc_id"), links.withColumn("similarity", F.round("similarity", 9))
+
+
+@query(f"{_DOC_LINKS(CORPUS_THRESHOLD)} {_CLASSES.format('doc_id')}")
 def neardup_classes(spark, d):
-    return neardup.near_duplicates(_docs(spark, d), "doc_id", alnum(F.col("text")))[0].withColumnRenamed("id", "doc_id")
+    return _near_docs(spark, d, CORPUS_THRESHOLD)[0]
+
 
+@query(f"{_DOC_LINKS(LOOSE_THRESHOLD)} {_CLASSES.format('doc_id')}")
+def neardup_classes_loose(spark, d):
+    return _near_docs(spark, d, LOOSE_THRESHOLD)[0]
 
-@query()
+
+@query(f"{_DOC_LINKS(LOOSE_THRESHOLD)} SELECT class_a, class_b, round(similarity, 9) AS similarity FROM links")
 def neardup_links(spark, d):
-    return neardup.near_duplicates(_docs(spark, d), "doc_id", alnum(F.col("text")))[1].withColumn("similarity", F.round("similarity", 9))
+    """At the loose threshold: the test tables have no link at 0.95."""
+    return _near_docs(spark, d, LOOSE_THRESHOLD)[1]
+
 
+@query(f"{_DOC_LINKS(LOOSE_THRESHOLD)} SELECT class_a, class_b, round(similarity, 9) AS similarity FROM links ORDER BY class_a, class_b LIMIT 25")
+def neardup_examples(spark, d):
+    return neardup.bounded_examples(_near_docs(spark, d, LOOSE_THRESHOLD)[1], 25)
 
-@query()
+
+@query(f"""{_DOC_LINKS(LOOSE_THRESHOLD)}, e AS (SELECT class_a AS me, class_b AS other, similarity FROM links UNION ALL SELECT class_b, class_a, similarity FROM links),
+b AS (SELECT me, other, similarity, row_number() OVER (PARTITION BY me ORDER BY similarity DESC, other) AS n FROM e JOIN r ON r.k = e.me AND r.copies = 1)
+SELECT DISTINCT least(me, other) AS id_a, greatest(me, other) AS id_b, round(similarity, 9) AS similarity FROM b WHERE n = 1""")
 def neardup_top2(spark, d):
-    return neardup.nearest_two(_docs(spark, d), "doc_id", alnum(F.col("text"))).withColumn("similarity", F.round("similarity", 9))
+    return neardup.nearest_two(_docs(spark, d), "doc_id", alnum(F.col("text")), LOOSE_THRESHOLD).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(f"""{_PAIR_LINKS(PAIR_THRESHOLD)} {_CLASSES.format('record_id')}""")
+def pair_neardup_classes(spark, d):
+    """The screen over user text and answer."""
+    rows = _sft(spark, d, t=alnum(F.concat(_user(), F.coalesce("output", F.lit("")))))
+    return neardup.near_duplicates(rows, "record_id", F.col("t"), PAIR_THRESHOLD)[0].withColumnRenamed("id", "record_id")
+
 
+@query(f"""{_PAIR_LINKS(PAIR_THRESHOLD)} SELECT class_a, class_b, round(similarity, 9) AS similarity FROM links ORDER BY class_a, class_b LIMIT 50""")
+def pair_neardup_examples(spark, d):
+    rows = _sft(spark, d, t=alnum(F.concat(_user(), F.coalesce("output", F.lit("")))))
+    return neardup.bounded_examples(neardup.near_duplicates(rows, "record_id", F.col("t"), PAIR_THRESHOLD)[1], 50).withColumn("similarity", F.round("similarity", 9))
 
-@query()
+
+@query(f"""WITH {_texts_sql(S.alnum('text'), 'documents WHERE text IS NOT NULL', 'doc_id')}, {_vectors_sql('v', 'r', 'idf')},
+h AS MATERIALIZED (SELECT item_id AS k, {S.alnum('text')} AS t FROM heldout_texts WHERE text IS NOT NULL), {_vectors_sql('u', 'h', 'idf')},
+s AS (SELECT u.k AS heldout_id, v.k AS train_id, sum(u.w * v.w) AS similarity FROM u JOIN v ON v.f = u.f GROUP BY 1, 2 HAVING sum(u.w * v.w) >= {LOOSE_THRESHOLD})
+SELECT heldout_id, train_id, round(similarity, 9) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY heldout_id ORDER BY similarity DESC, train_id) AS n FROM s) WHERE n = 1""")
 def neardup_heldout(spark, d):
     held = _t(spark, d, "heldout_texts").select("item_id", "text")
-    return neardup.nearest_train(held, "item_id", alnum(F.col("text")), _docs(spark, d), "doc_id", alnum(F.col("text"))).withColumn("similarity", F.round("similarity", 9))
+    return neardup.nearest_train(held, "item_id", alnum(F.col("text")), _docs(spark, d), "doc_id", alnum(F.col("text")), LOOSE_THRESHOLD).withColumn("similarity", F.round("similarity", 9))
 
 
 # --- sampling and hashes --------------------------------------------------------------------------------------------
@@ -413,17 +497,18 @@ def _canonical(spaced=False, order=("input", "instruction", "output")):
 @query(f"WITH {SFT} SELECT record_id, sha256('42' || {_CANON}) AS sample_hash FROM sft WHERE instruction IS NOT NULL AND output IS NOT NULL ORDER BY sample_hash, record_id DESC LIMIT 200")
 def hash_sample(spark, d):
     rows = _sft(spark, d).where("instruction IS NOT NULL AND output IS NOT NULL")
-    return sample.hash_sample(rows, _canonical(), 200, "record_id").select("record_id", "sample_hash")
+    hashed = rows.select("record_id", F.sha2(F.concat(F.lit("42"), _canonical()), 256).alias("sample_hash")).distinct()
+    return hashed.orderBy("sample_hash", F.desc("record_id")).limit(200)
 
 
 @query(f"WITH {SFT} SELECT record_id, sha256({_CANON}) AS canonical_sha256 FROM sft WHERE instruction IS NOT NULL AND output IS NOT NULL")
 def canonical_json_hash(spark, d):
-    return _sft(spark, d).where("instruction IS NOT NULL AND output IS NOT NULL").select("record_id", F.sha2(_canonical(), 256).alias("canonical_sha256"))
+    return _sft(spark, d).where("instruction IS NOT NULL AND output IS NOT NULL").select("record_id", F.sha2(_canonical(), 256).alias("canonical_sha256")).distinct()
 
 
 @query(f"""WITH {SFT} SELECT record_id, sha256('{{"input": ' || to_json(coalesce(input,''))::VARCHAR || ', "instruction": ' || to_json(instruction)::VARCHAR || ', "output": ' || to_json(output)::VARCHAR || '}}') AS source_sha256 FROM sft WHERE instruction IS NOT NULL AND output IS NOT NULL""")
 def source_record_hash(spark, d):
-    return _sft(spark, d).where("instruction IS NOT NULL AND output IS NOT NULL").select("record_id", F.sha2(_canonical(spaced=True), 256).alias("source_sha256"))
+    return _sft(spark, d).where("instruction IS NOT NULL AND output IS NOT NULL").select("record_id", F.sha2(_canonical(spaced=True), 256).alias("source_sha256")).distinct()
 
 
 _HEX = lambda k: f"coalesce(sum(('0x' || substr(h, {8 * k + 1}, 8))::HUGEINT), 0)::VARCHAR"
@@ -444,7 +529,7 @@ def seeded_split(spark, d):
 @query(f"WITH {SFT} SELECT record_id, 2::BIGINT AS turns, 'human' AS first_from, {USER} AS first_value, 'gpt' AS second_from, output AS second_value FROM sft")
 def sharegpt_reshape(spark, d):
     c = reshape.sharegpt(reshape.user_text(F.col("instruction"), F.col("input")), F.col("output"))
-    x = _sft(spark, d).select("record_id", c.alias("c"))
+    x = _sft(spark, d).select("record_id", c.alias("c")).distinct()  # whole records are the result
     return x.select("record_id", F.size("c").cast("long").alias("turns"), F.col("c")[0]["from"].alias("first_from"), F.col("c")[0]["value"].alias("first_value"), F.col("c")[1]["from"].alias("second_from"), F.col("c")[1]["value"].alias("second_value"))
 
 
@@ -455,10 +540,10 @@ _M = lambda role, x: f"'<|im_start|>{role}' || chr(10) || {x} || '<|im_end|>' ||
 SELECT pref_id, CASE WHEN sys <> '' THEN {_M('system', 'sys')} ELSE '' END || coalesce(array_to_string(list_transform(history, lambda h: {_M('user', "coalesce(h[1],'')")} || {_M('assistant', "coalesce(h[2],'')")}), ''), '') || {_M('user', 'q')} || '<|im_start|>assistant' || chr(10) AS prompt FROM s""")
 def preference_prompts(spark, d):
     m = reshape.messages(F.col("system_prompt"), F.col("history"), F.col("question"))
-    return _pref(spark, d).where("question IS NOT NULL").select("pref_id", reshape.render(m).alias("prompt"))
+    return _pref(spark, d).where("question IS NOT NULL").select("pref_id", reshape.render(m).alias("prompt")).distinct()
 
 
-@query("""SELECT item_id, '以下是中国考试的单项选择题，请选出正确答案。' || chr(10) || '问题：' || question || chr(10) || 'A. ' || choice_a || chr(10) || 'B. ' || choice_b || chr(10) || 'C. ' || choice_c || chr(10) || 'D. ' || choice_d || chr(10) || '答案：' AS prompt FROM mcq""")
+@query(f"""SELECT item_id, '{reshape.CHOICE_HEADING}' || chr(10) || '{reshape.CHOICE_QUESTION}' || question || chr(10) || 'A. ' || choice_a || chr(10) || 'B. ' || choice_b || chr(10) || 'C. ' || choice_c || chr(10) || 'D. ' || choice_d || chr(10) || '{reshape.CHOICE_ANSWER}' AS prompt FROM mcq""")
 def choice_prompts(spark, d):
     return _t(spark, d, "mcq").select("item_id", reshape.choice_prompt(F.col("question"), [F.col(f"choice_{x}") for x in "abcd"]).alias("prompt"))
 
@@ -514,22 +599,21 @@ _Q = lambda c, p: ", ".join(f"round(quantile_cont({c}, {q}), 6) AS {p}{n}" for n
 r AS (SELECT least(s, cs) + least(t, greatest(0, ct)) + 1 AS n, least(t, greatest(0, ct)) + 1 AS m, (s > cs OR t > ct) AS cut FROM c)
 SELECT count(*) AS samples, sum(n)::BIGINT AS tokens, sum(m)::BIGINT AS label_tokens, count(*) FILTER (WHERE cut) AS truncated, round(count(*) FILTER (WHERE cut) / count(*) * 100, 6) AS truncated_percent, {_Q('n', 'input_')}, {_Q('m', 'label_')} FROM r""")
 def truncation_stats(spark, d):
-    s = tokens.truncation_stats(_sft(spark, d), F.length(reshape.user_text(F.col("instruction"), F.col("input"))), F.length(F.coalesce("output", F.lit(""))))
+    s = tokens.truncation_stats(_sft(spark, d, s=F.length(_user()), t=F.length(F.coalesce("output", F.lit("")))), F.col("s"), F.col("t"))
     return s.select("samples", "tokens", "label_tokens", "truncated", *[F.round(c, 6).alias(c) for c in s.columns[4:]])
 
 
 @query("WITH n AS (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL) SELECT n AS samples, 8::BIGINT AS effective_batch, ceil(n / 8)::BIGINT AS steps, ceil(ceil(n / 8) * 0.05)::BIGINT AS warmup_steps FROM n")
 def step_plan(spark, d):
     n = _docs(spark, d).where("text IS NOT NULL").agg(F.count("*").alias("samples"))
-    steps = F.ceil(F.col("samples") / 8)
-    return n.select("samples", F.lit(8).cast("long").alias("effective_batch"), steps.cast("long").alias("steps"), F.ceil(steps * 0.05).cast("long").alias("warmup_steps"))
+    return tokens.step_plans(n, "samples", batch=2, accumulation=4, warmup_ratio=0.05)
 
 
 # --- profiles -------------------------------------------------------------------------------------------------------
 @query(f"SELECT lang, count(*) AS n, {_Q('length(text)', '')} FROM documents WHERE text IS NOT NULL GROUP BY lang")
 def length_percentiles(spark, d):
     x = _docs(spark, d).where("text IS NOT NULL").withColumn("v", F.length("text"))
-    return x.groupBy("lang").agg(F.count("*").alias("n"), *[F.round(F.percentile("v", F.lit(q)), 6).alias(n) for n, q in stats.PERCENTILES])
+    return stats.percentiles(x, F.col("v"), by=["lang"]).select("lang", "n", *[F.round(n, 6).alias(n) for n, _ in stats.PERCENTILES])
 
 
 _CTX = "length(coalesce(system_prompt,'')) + coalesce(list_sum(list_transform(flatten(history), lambda x: length(coalesce(x,'')))), 0) + length(coalesce(question,'')) + greatest(length(coalesce(response_chosen,'')), length(coalesce(response_rejected,'')))"
@@ -539,14 +623,14 @@ _CTX = "length(coalesce(system_prompt,'')) + coalesce(list_sum(list_transform(fl
 SELECT round(avg(a), 6) AS mean_chosen, round(avg(b), 6) AS mean_rejected, round(median(n), 6) AS p50, max(n) AS longest, count(*) FILTER (WHERE a > b) AS chosen_longer FROM c""")
 def preference_profile(spark, d):
     n = stats.context_length(F.col("system_prompt"), F.col("history"), F.col("question"), F.col("response_chosen"), F.col("response_rejected")).cast("long")
-    x = _pref(spark, d).select(n.alias("n"), F.length("response_chosen").alias("a"), F.length("response_rejected").alias("b"))
+    x = _pref(spark, d, n=n, a=F.length("response_chosen"), b=F.length("response_rejected"))
     return x.agg(F.round(F.avg("a"), 6).alias("mean_chosen"), F.round(F.avg("b"), 6).alias("mean_rejected"), F.round(F.median("n"), 6).alias("p50"), F.max("n").alias("longest"), F.count_if(F.col("a") > F.col("b")).alias("chosen_longer"))
 
 
 @query(f"WITH {PREF}, c AS (SELECT ({_CTX})::BIGINT AS n FROM pref) SELECT list_sort(list(n))[(floor((count(*) - 1) * 0.9) + 1)::BIGINT] AS value FROM c")
 def floor_rank_p90(spark, d):
     n = stats.context_length(F.col("system_prompt"), F.col("history"), F.col("question"), F.col("response_chosen"), F.col("response_rejected")).cast("long")
-    return stats.floor_rank(_pref(spark, d).select(n.alias("n")), "n", 0.9)
+    return stats.floor_rank(_pref(spark, d, n=n), "n", 0.9)
 
 
 @query("SELECT coalesce(source, '') AS source, count(*) AS n, count(text) AS with_text, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1")
@@ -616,7 +700,7 @@ def _ab(spark, d):
         cols[f"{b}_reward"] = (_hash(key, F.lit(b)) % 200) / 100.0
         cols[f"{b}_tokens"] = F.length(F.coalesce(text, F.lit("")))
         cols[f"{b}_terminated"] = F.coalesce(F.col(text).rlike("[。.!！?？]\\z"), F.lit(False))
-    return _pref(spark, d).select("pref_id", "question", "response_chosen", *[c.alias(n) for n, c in cols.items()])
+    return _pref(spark, d, **cols)
 
 
 _AB = "ab AS (SELECT pref_id, " + ", ".join(f"({_H('pref_id::VARCHAR', repr(b))} % 200) / 100.0 AS {b}_reward, length(coalesce({t},'')) AS {b}_tokens, coalesce(regexp_matches({t}, '[。.!！?？]\\z'), false) AS {b}_term" for b, t in (("a", "response_rejected"), ("b", "response_chosen"))) + " FROM pref)"
@@ -638,12 +722,28 @@ def preference_metrics(spark, d):
 
 @query(f"WITH {PREF} SELECT CASE WHEN {S.blank('response_chosen')} THEN -1.0 WHEN length(response_chosen) < 8 THEN -0.4 WHEN length(response_chosen) < 20 THEN -0.1 ELSE 0.0 END::DOUBLE AS guard, count(*) AS n FROM pref GROUP BY 1")
 def length_guard(spark, d):
-    return _pref(spark, d).groupBy(evaluate.length_guard(F.col("response_chosen"), F.length("response_chosen")).alias("guard")).agg(F.count("*").alias("n"))
+    return _pref(spark, d, guard=evaluate.length_guard(F.col("response_chosen"), F.length("response_chosen"))).groupBy("guard").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {PREF}, r AS (SELECT source, split, ({_H('pref_id::VARCHAR', repr('b'))} % 200) / 100.0 + 0.1 * (CASE WHEN {S.blank('response_chosen')} THEN -1.0 WHEN length(response_chosen) < 8 THEN -0.4 WHEN length(response_chosen) < 20 THEN -0.1 ELSE 0.0 END) AS x, pref_id FROM pref)
-SELECT pref_id, round(x, 6) AS reward, round(CASE WHEN stddev_samp(x) OVER w > 0 THEN (x - avg(x) OVER w) / stddev_samp(x) OVER w ELSE 0 END, 6) AS advantage FROM r WINDOW w AS (PARTITION BY split)""")
-def group_advantage(spark, d):
+_REWARD = f"({_H('pref_id::VARCHAR', repr('b'))} % 200) / 100.0 + 0.1 * (CASE WHEN {S.blank('response_chosen')} THEN -1.0 WHEN length(response_chosen) < 8 THEN -0.4 WHEN length(response_chosen) < 20 THEN -0.1 ELSE 0.0 END)"
+_ADVANTAGE = "round(CASE WHEN n > 1 AND sd > 1e-12 THEN (x - m) / sd ELSE 0 END, 6) AS advantage"
+
+
+def _rewards(spark, d, **columns):
     key = F.col("pref_id").cast("string")
-    x = _pref(spark, d).withColumn("r0", (_hash(key, F.lit("b")) % 200) / 100.0).withColumn("r1", evaluate.length_guard(F.col("response_chosen"), F.length("response_chosen")))
-    return evaluate.group_scaled(x, "split", [F.col("r0"), F.col("r1")], [1.0, 0.1]).select("pref_id", F.round("reward", 6).alias("reward"), F.round("advantage", 6).alias("advantage"))
+    return _pref(spark, d, r0=(_hash(key, F.lit("b")) % 200) / 100.0, r1=evaluate.length_guard(F.col("response_chosen"), F.length("response_chosen")), **columns)
+
+
+@query(f"""WITH {PREF}, r AS MATERIALIZED (SELECT pref_id, {S.nospace("coalesce(question, '')")} AS k, {_REWARD} AS x FROM pref), g AS (SELECT k, count(*) AS n, avg(x) AS m, stddev_samp(x) AS sd FROM r GROUP BY k)
+SELECT pref_id, round(x, 6) AS reward, {_ADVANTAGE} FROM r JOIN g ON g.k = r.k""")
+def group_advantage(spark, d):
+    """Rewards scaled within the prompt."""
+    x = _rewards(spark, d, k=dedup.digest(nospace(F.coalesce("question", F.lit("")))))
+    return evaluate.group_scaled(x, "k", [F.col("r0"), F.col("r1")], [1.0, 0.1]).select("pref_id", F.round("reward", 6).alias("reward"), F.round("advantage", 6).alias("advantage"))
+
+
+@query(f"""WITH {PREF}, r AS MATERIALIZED (SELECT pref_id, split AS k, {_REWARD} AS x FROM pref), g AS (SELECT k, count(*) AS n, avg(x) AS m, stddev_samp(x) AS sd FROM r GROUP BY k)
+SELECT pref_id, round(x, 6) AS reward, {_ADVANTAGE} FROM r JOIN g ON g.k = r.k""")
+def split_advantage(spark, d):
+    """Rewards scaled within the split: groups of a third of all rows and more."""
+    return evaluate.group_scaled(_rewards(spark, d, k=F.col("split")), "k", [F.col("r0"), F.col("r1")], [1.0, 0.1]).select("pref_id", F.round("reward", 6).alias("reward"), F.round("advantage", 6).alias("advantage"))

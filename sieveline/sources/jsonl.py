@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.normalize import is_blank, strip
 from ..session import cut_lineage
@@ -26,9 +29,24 @@ def dense_ordinals(df: DataFrame, order: str, name: str = "ord") -> DataFrame:
     for p in sorted(counts):
         offsets[p] = total
         total += counts[p]
-    table = F.create_map(*[F.lit(x) for p, o in offsets.items() for x in (p, o)]) if offsets else None
-    offset = table[F.col("_p")] if table is not None else F.lit(0)
-    return tagged.withColumn(name, offset + F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33) + 1).drop("_p", "_m")
+    table = df.sparkSession.createDataFrame(list(offsets.items()), "_p int, _o long")  # one row per partition
+    return tagged.join(F.broadcast(table), "_p").withColumn(name, F.col("_o") + F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33) + 1).drop("_p", "_m", "_o")
+
+
+def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """The rows with ``name``: the sum of ``value`` over the rows up to their own in the order of a unique column.
+
+    Rows are range-partitioned; the total of each range (one number per partition reaches the driver) is where the next
+    one starts. Null values count 0."""
+    by = cut_lineage(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(order)).withColumn("_p", F.spark_partition_id()))
+    totals = {r["_p"]: r["n"] for r in by.groupBy("_p").agg(F.coalesce(F.sum(value), F.lit(0)).alias("n")).collect()}
+    starts, total = [], 0
+    for p in sorted(totals):
+        starts.append((p, total))
+        total += totals[p]
+    table = df.sparkSession.createDataFrame(starts, "_p int, _o long")
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    return by.withColumn("_s", own).join(F.broadcast(table), "_p").withColumn(name, F.col("_s") + F.col("_o")).drop("_p", "_s", "_o")
 
 
 def read_lines(spark: SparkSession, path: str, *, line_mode: str = "universal") -> DataFrame:
@@ -51,10 +69,10 @@ def _number(lines: DataFrame) -> DataFrame:
     counts = tagged.groupBy("block").agg(F.count("*").alias("n"), F.min("_m").alias("first")).collect()
     offsets, total = [], 0
     for r in sorted(counts, key=lambda r: r.block):
-        offsets += [F.lit(r.block), F.lit(total - r["first"])]
+        offsets.append((r.block, total - r["first"]))
         total += r.n
-    table = F.create_map(*offsets) if offsets else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
-    return tagged.select((table[F.col("block")] + F.col("_m") + 1).cast("long").alias("ord"), "line")
+    table = lines.sparkSession.createDataFrame(offsets, "block long, _o long")  # one row per split of the file
+    return tagged.join(F.broadcast(table), "block").select((F.col("_o") + F.col("_m") + 1).cast("long").alias("ord"), "line")
 
 
 def _text_field(value: Column, name: str) -> Column:
@@ -108,6 +126,51 @@ def read_subjects(spark: SparkSession, root: str, subjects: list[str] | None = N
     return spark.read.parquet(*paths).withColumn("subject", F.element_at(F.split(F.input_file_name(), "/"), -2))
 
 
+def read_splits(spark: SparkSession, paths: dict[str, str], keep: list[str]) -> DataFrame:
+    """Records of several JSONL files (split name to path) as texts of the kept columns, and ``split``. Other columns are
+    never parsed into the result; a kept column that a record lacks is null."""
+    schema, out = ", ".join(f"`{c}` string" for c in keep), None
+    for name, path in paths.items():
+        part = spark.read.schema(schema).json(path).withColumn("split", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def read_results(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Rows (run, metric, value) of nested result documents, one JSON object per file: every number, named by its path
+    with dots; truth values and texts are no metrics, an array's members are named by their place from 0."""
+    out = None
+    for name, path in paths.items():
+        doc = spark.read.text(path, wholetext=True).select(F.lit(name).alias("run"), F.col("value").alias("doc"))
+        out = doc if out is None else out.unionByName(doc)
+    return out.select("run", F.explode(_metrics("doc")).alias("metric", "value"))
+
+
+@F.udf(T.MapType(T.StringType(), T.DoubleType()))
+def _metrics(text: str) -> dict[str, float]:
+    found: dict[str, float] = {}
+
+    def walk(x, at: str) -> None:
+        if isinstance(x, dict):
+            for k, v in x.items():
+                walk(v, f"{at}.{k}" if at else k)
+        elif isinstance(x, list):
+            for k, v in enumerate(x):
+                walk(v, f"{at}.{k}" if at else str(k))
+        elif isinstance(x, (int, float)) and not isinstance(x, bool):
+            found[at] = float(x)
+
+    walk(json.loads(text), "")
+    return found
+
+
+def require_columns(df: DataFrame, *names: str) -> DataFrame:
+    """The frame, if it has the columns; else an error that names those it lacks."""
+    if lacking := [n for n in names if n not in df.columns]:
+        raise ValueError(f"missing columns {lacking}; there are {df.columns}")
+    return df
+
+
 def first_valid(df: DataFrame, valid: Column, n: int, order: str = "ord") -> DataFrame:
     """The first n valid rows in order; all of them for n <= 0."""
     rows = df.where(valid)
@@ -121,4 +184,4 @@ def launcher_flags(text: Column) -> Column:
     return F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["k"]), F.create_map(e["k"], e["v"])))
 
 
-__all__ = ["dense_ordinals", "first_valid", "launcher_flags", "read_json_array", "read_jsonl", "read_lines", "read_subjects", "validate_lines"]
+__all__ = ["dense_ordinals", "first_valid", "launcher_flags", "read_json_array", "read_jsonl", "read_lines", "read_results", "read_splits", "read_subjects", "require_columns", "running_sum", "validate_lines"]

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import io
 import json
 import os
 import tarfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,18 +64,58 @@ def set_fingerprint(df: DataFrame, row: Column) -> DataFrame:
     return df.agg(F.count("*").alias("records"), *[part(k).alias(f"s{k}") for k in range(4)]).select("records", F.sha2(F.concat_ws(":", *[F.coalesce(F.col(f"s{k}"), F.lit(0)).cast("string") for k in range(4)]), 256).alias("digest"))
 
 
+def copy_bytes(source: str, target: str) -> str:
+    """Copies a file byte for byte, through a neighbour that is renamed; returns its SHA-256. An existing target is an
+    error."""
+    if os.path.exists(target):
+        raise FileExistsError(target)
+    digest = hashlib.sha256()
+    with open(source, "rb") as src, open(f"{target}.tmp", "wb") as out:
+        while chunk := src.read(1 << 20):
+            digest.update(chunk)
+            out.write(chunk)
+    os.replace(f"{target}.tmp", target)
+    return digest.hexdigest()
+
+
+def gated(df: DataFrame, hashes: DataFrame, expected: DataFrame, key: str = "path") -> DataFrame:
+    """The frame, if every expected file is there with its hash; else an error with the first files that aren't."""
+    require_empty(hash_gate(hashes, expected, key), "files differ from what is expected")
+    return df
+
+
+def block_hashes(blocks: DataFrame, ids: str, keys: list[str]) -> DataFrame:
+    """Rows (keys, sha256): the hash of each block of ids as a buffer of little-endian 64-bit integers."""
+
+    @F.arrow_udf("string")
+    def hashed(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else hashlib.sha256(np.asarray(x, dtype="<i8").tobytes()).hexdigest() for x in column.to_pylist()], pa.string())
+
+    return blocks.select(*keys, hashed(F.col(ids).cast("array<bigint>")).alias("sha256"))
+
+
+def identity_differences(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (key, left, right, problem) of two one-row identities: every key whose values differ (nulls are equal), as
+    texts; a side of no or several rows gives one row with key null and says so in ``problem``. No rows: they agree."""
+    one = lambda d: d.agg(F.count("*").alias("n"), *[F.min(F.struct(F.col(k).cast("string").alias("v"))).alias(k) for k in keys])
+    both = one(left).select(*[F.col(c).alias(f"l_{c}") for c in ("n", *keys)]).crossJoin(one(right).select(*[F.col(c).alias(f"r_{c}") for c in ("n", *keys)]))  # one row each
+    side = lambda s, n: F.when(F.col(n) == 0, f"the {s} side is empty").when(F.col(n) > 1, f"the {s} side has several rows")
+    faulty = F.struct(F.lit(None).cast("string").alias("key"), F.col("l_n").cast("string").alias("left"), F.col("r_n").cast("string").alias("right"), F.coalesce(side("left", "l_n"), side("right", "r_n")).alias("problem"))
+    per = [F.struct(F.lit(k).alias("key"), F.col(f"l_{k}.v").alias("left"), F.col(f"r_{k}.v").alias("right"), F.lit("values differ").alias("problem")) for k in keys]
+    rows = F.when(faulty["problem"].isNotNull(), F.array(faulty)).otherwise(F.filter(F.array(*per), lambda x: ~x["left"].eqNullSafe(x["right"])))
+    return both.select(F.inline(rows))
+
+
 def same_identity(left: DataFrame, right: DataFrame, keys: list[str]) -> bool:
     """Whether two one-row identities agree on the keys, nulls included."""
-    cond = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    both = left.alias("l").join(right.alias("r"), cond[0] if len(cond) == 1 else _all(cond))
-    return both.limit(1).count() == 1
+    return not identity_differences(left, right, keys).take(1)
 
 
-def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
+def _digest_of(stream) -> str:
+    digest = hashlib.sha256()
+    while chunk := stream.read(1 << 20):
+        digest.update(chunk)
+    return digest.hexdigest()
 
 
 def package(root: str, members: list[str], path: str) -> list[dict]:
@@ -82,19 +123,17 @@ def package(root: str, members: list[str], path: str) -> list[dict]:
     archive is read again and checked; returns the manifest (name, bytes, sha256)."""
     if os.path.exists(path):
         raise FileExistsError(path)
-    manifest, raw = [], io.BytesIO()
-    with tarfile.open(fileobj=raw, mode="w", format=tarfile.PAX_FORMAT) as tar:
+    manifest = []
+    with open(path, "wb") as f, gzip.GzipFile(filename="", mode="wb", fileobj=f, mtime=0) as z, tarfile.open(fileobj=z, mode="w|", format=tarfile.PAX_FORMAT) as tar:
         for name in sorted(members):
-            with open(os.path.join(root, name), "rb") as f:
-                data = f.read()
             info = tarfile.TarInfo(name)
-            info.size, info.mode = len(data), 0o644
-            tar.addfile(info, io.BytesIO(data))
-            manifest.append({"name": name, "bytes": len(data), "sha256": hashlib.sha256(data).hexdigest()})
-    with open(path, "wb") as f, gzip.GzipFile(filename="", mode="wb", fileobj=f, mtime=0) as z:
-        z.write(raw.getvalue())
-    with tarfile.open(path, "r:gz") as tar:
-        again = [{"name": m.name, "bytes": m.size, "sha256": hashlib.sha256(tar.extractfile(m).read()).hexdigest()} for m in tar.getmembers()]
+            info.size, info.mode = os.path.getsize(os.path.join(root, name)), 0o644
+            with open(os.path.join(root, name), "rb") as member:
+                tar.addfile(info, member)
+            with open(os.path.join(root, name), "rb") as member:
+                manifest.append({"name": name, "bytes": info.size, "sha256": hashlib.file_digest(member, "sha256").hexdigest()})
+    with tarfile.open(path, "r|gz") as tar:
+        again = [{"name": m.name, "bytes": m.size, "sha256": _digest_of(tar.extractfile(m))} for m in tar]
     if again != manifest:
         raise ValueError(f"{path} doesn't hold what was put in")
     return manifest

@@ -262,3 +262,150 @@ def test_launcher_flags(spark):
 def test_json_round_trip(tmp_path):
     sinks.write_json({"a": "ü"}, str(tmp_path / "d.json"))
     assert json.loads((tmp_path / "d.json").read_text(encoding="utf-8")) == {"a": "ü"}
+
+
+def test_running_sums_over_ranges(spark):
+    rnd = random.Random(8)
+    rows = [(i * 3, rnd.choice([None, *range(20)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "o long, v long").repartition(7)
+    got = {r.o: r.s for r in jsonl.running_sum(df, "o", "v", "s").collect()}
+    total, want = 0, {}
+    for o, v in rows:
+        total += v or 0
+        want[o] = total
+    assert got == want
+    assert jsonl.running_sum(df.limit(0), "o", "v", "s").count() == 0
+
+
+def test_packed_blocks_against_a_list(spark):
+    rnd = random.Random(9)
+    docs = [(i, "".join(rnd.choice("abc") for _ in range(rnd.choice([0, 1, 5, 40, 700])))) for i in range(1, 60)]
+    got = {(r.batch, r.block): r.ids for r in tokens.pack_blocks(spark.createDataFrame(docs, "ord long, t string"), "ord", tokens.code_points(F.col("t")), block=32, batch=10).collect()}
+    want = {}
+    for b in range(6):
+        ids = [ord(c) for o, t in docs if (o - 1) // 10 == b for c in t]
+        for k in range(len(ids) // 32):
+            want[b, k] = ids[32 * k : 32 * k + 32]
+    assert got == want
+
+
+def test_readers_of_splits_results_and_subjects(spark, tmp_path):
+    for n, text in (("a", '{"x":"1","y":"2","z":3}\n{"x":"4"}\n'), ("b", '{"y":"5"}\n')):
+        (tmp_path / f"{n}.jsonl").write_text(text)
+    got = jsonl.read_splits(spark, {n: str(tmp_path / f"{n}.jsonl") for n in "ab"}, ["x", "y"])
+    assert got.columns == ["x", "y", "split"] and rows_of(got, "x", "y", "split") == sorted([("1", "2", "a"), ("4", None, "a"), (None, "5", "b")], key=repr)
+    (tmp_path / "r.json").write_text('{"eval": {"loss": 2.5, "ok": true, "name": "x"}, "steps": [10, {"n": 3}]}')
+    metrics = jsonl.read_results(spark, {"base": str(tmp_path / "r.json")})
+    assert rows_of(metrics, "run", "metric", "value") == [("base", "eval.loss", 2.5), ("base", "steps.0", 10.0), ("base", "steps.1.n", 3.0)]
+    for subject in ("law", "art"):
+        spark.createDataFrame([(1, subject)], "id int, q string").write.parquet(str(tmp_path / "sub" / subject))
+    assert rows_of(jsonl.read_subjects(spark, str(tmp_path / "sub")), "id", "q", "subject") == [(1, "art", "art"), (1, "law", "law")]
+    assert jsonl.read_subjects(spark, str(tmp_path / "sub"), ["law"]).count() == 1
+    df = spark.createDataFrame([(3, True), (1, False), (2, True)], "ord int, ok boolean")
+    assert [r.ord for r in jsonl.first_valid(df, F.col("ok"), 1).collect()] == [2] and jsonl.first_valid(df, F.col("ok"), 0).count() == 2
+    assert [r.ord for r in sample.head(df, 2, "ord").collect()] == [1, 2] and sample.head(df.limit(0), 2, "ord").count() == 0
+    assert jsonl.require_columns(df, "ok") is df
+    with pytest.raises(ValueError, match="prompt"):
+        jsonl.require_columns(df, "prompt")
+
+
+def test_identities_copies_and_gates(spark, tmp_path):
+    one = spark.createDataFrame([("x", None, 3)], "a string, b string, c int")
+    other = spark.createDataFrame([("x", "q", 3)], "a string, b string, c int")
+    assert sinks.same_identity(one, one, ["a", "b", "c"]) and not sinks.same_identity(one, other, ["a", "b"])
+    assert rows_of(sinks.identity_differences(one, other, ["a", "b", "c"]), "key", "left", "right", "problem") == [("b", None, "q", "values differ")]
+    assert sinks.identity_differences(one.limit(0), one, ["a"]).first().problem == "the left side is empty"
+    assert sinks.identity_differences(one, one.unionAll(other), ["a"]).first().problem == "the right side has several rows"
+    src = tmp_path / "v.jsonl"
+    src.write_bytes(b"\xef\xbb\xbfraw\r\n")
+    assert sinks.copy_bytes(str(src), str(tmp_path / "w")) == hashlib.sha256(src.read_bytes()).hexdigest()
+    assert (tmp_path / "w").read_bytes() == src.read_bytes()
+    with pytest.raises(FileExistsError):
+        sinks.copy_bytes(str(src), str(tmp_path / "w"))
+    hashes = sinks.file_hashes(spark, str(src))
+    right = hashes.select("path", "sha256")
+    assert sinks.gated(one, hashes, right) is one
+    with pytest.raises(ValueError, match="differ"):
+        sinks.gated(one, hashes, right.withColumn("sha256", F.lit("0")))
+    with pytest.raises(ValueError, match="kept"):
+        sinks.require_empty(one, "kept")
+    sinks.require_empty(one.limit(0), "kept")
+    blocks = spark.createDataFrame([(0, [1, 2]), (1, []), (2, None)], "block int, ids array<int>")
+    assert rows_of(sinks.block_hashes(blocks, "ids", ["block"]), "block", "sha256") == [(0, hashlib.sha256(np.array([1, 2], dtype="<i8").tobytes()).hexdigest()), (1, hashlib.sha256(b"").hexdigest()), (2, None)]
+
+
+def test_manual_exclusion_table(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (None, "c")], "o long, t string")
+    table = spark.createDataFrame([(1, "bad"), (1, "awful"), (9, "gone"), (None, "x"), (2, None)], "ordinal long, reason string")
+    assert rows_of(dedup.excluded_by(df, "o", table), "o", "t", "manual") == sorted([(1, "a", "awful"), (2, "a", None), (None, "c", None)], key=repr)
+
+
+def test_reviews_examples_and_shapes(spark):
+    links = spark.createDataFrame([(5, 6, 0.9), (1, 2, 0.99), (1, 9, 0.97)], "class_a long, class_b long, similarity double")
+    assert rows_of(neardup.bounded_examples(links, 2), "class_a", "class_b") == [(1, 2), (1, 9)]
+    out = spark.createDataFrame([(2, "x"), (2, "y")], "id long, reason string")
+    assert rows_of(neardup.review_decisions(links, out), "class_b", "excluded", "decision") == [(2, [2], "excluded"), (6, [], "kept_for_review"), (9, [], "kept_for_review")]
+    df = spark.createDataFrame([(1, " ok ", 0.5, "y", 0.25, None)], "id int, a_text string, a_score double, b_text string, b_score double, extra string")
+    assert df.select(reshape.completion(F.col("a_text"), "</s>")).first()[0] == "ok</s>"
+    assert rows_of(reshape.branches(df, ["id"], ["a", "b"], ["text", "score"]), "id", "branch", "text", "score") == [(1, "a", " ok ", 0.5), (1, "b", "y", 0.25)]
+    enc = tokens.with_tokenizer(lambda texts: [[len(w) for w in t.split()] for t in texts])
+    assert [r[0] for r in spark.createDataFrame([(1, "a bb"), (2, None)], "i int, t string").orderBy("i").select(enc(F.col("t"))).collect()] == [[1, 2], []]
+    assert tokens.extrapolate(10.0, 5, 50) == 100.0
+    change = spark.createDataFrame([(2.0, 3.0), (0.0, 1.0)], "a double, b double").select(evaluate.percent_change(F.col("a"), F.col("b")).alias("p")).collect()
+    assert [r.p for r in change] == [50.0, None]
+    assert evaluate.text_report({"loss": 1.5}, {"loss": 1.0}).split() == ["loss", "1.5000", "+50.0000%"] and evaluate.text_report({"loss": 1.5}).split() == ["loss", "1.5000"]
+    plans = tokens.step_plans(spark.createDataFrame([(28946,)], "n long"), "n", batch=2, accumulation=4, warmup_ratio=0.05).first()
+    assert (plans.effective_batch, plans.steps, plans.warmup_steps) == (8, 3619, 181)
+    with pytest.raises(Exception, match="no samples"):
+        tokens.step_plans(spark.createDataFrame([(0,)], "n long"), "n", batch=2, accumulation=4, warmup_ratio=0.05).collect()
+
+
+def test_prompt_splits(spark):
+    train = spark.createDataFrame([(i, f"p{i}") for i in range(30)], "o long, p string")
+    valid = spark.createDataFrame([(i, f"v{i}") for i in range(9, 0, -1)], "o long, p string")
+    got = sample.split_prompts(train, valid, F.col("p"), "o", train_size=10, eval_size=3, seed="s")
+    want = sorted(range(30), key=lambda i: hashlib.sha256(f"sp{i}".encode()).hexdigest())[:10]
+    assert sorted(r.o for r in got.where("split = 'train'").collect()) == sorted(want)
+    assert sorted(r.o for r in got.where("split = 'validation'").collect()) == [1, 2, 3]
+
+
+def test_hot_keys_in_salted_joins(spark):
+    left = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}", "x") for i in range(300)] + [(900, None, "y")], "i long, k string, v string")
+    flagged = decontaminate.overlap_flag(left, F.col("k"), spark.createDataFrame([("hot",), ("hot",), ("",), (None,)], "k string"), F.col("k"), "seen")
+    assert flagged.count() == 301 and flagged.where("seen").count() == 200
+    scaled = evaluate.group_scaled(left, "k", [F.col("i").cast("double")], [1.0])
+    assert scaled.count() == 300 and abs(scaled.where("k = 'hot'").agg(F.avg("advantage")).first()[0]) < 1e-9
+
+
+def test_streams_deduplicate_within_a_watermark(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    rows = ["1,2024-01-01T00:00:00", "1,2024-01-01T00:00:30", "2,2024-01-01T00:01:00"]
+    (src / "1.csv").write_text("\n".join(rows))
+    stream = stateless.deduplicated(spark.readStream.schema("k string, at timestamp").csv(str(src)), "k", "at", "10 minutes")
+    q = stream.writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.k for r in spark.table("once").collect()) == ["1", "2"]
+
+
+def test_checkpoints_need_a_shared_folder(spark, monkeypatch):
+    from sieveline import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Frame:
+        class sparkSession:
+            sparkContext = Context()
+
+            class conf:
+                @staticmethod
+                def get(name, default):
+                    return default
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.cut_lineage(Frame())
