@@ -44,21 +44,31 @@ def letters_of(code: int) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", chr(code)).casefold()) if c.isalnum())
 
 
+def _hashes(codes: np.ndarray) -> np.ndarray:
+    return mix64(codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def weight_of(code: int) -> int:
     """Sum of a hash of each of the character's letters, modulo 2^64."""
-    h = mix64(np.array([ord(c) for c in letters_of(code)] or [0], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return int(h.sum()) if letters_of(code) else 0
+    return int(_hashes(code_points(letters_of(code))).sum(dtype=np.uint64))
+
+
+def _all_weights() -> np.ndarray:
+    held = [letters_of(c) for c in range(0x10000)]
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_hashes(code_points("".join(held))), dtype=np.uint64)))
+    end = np.cumsum(list(map(len, held)))
+    return sums[end] - sums[end - list(map(len, held))]
 
 
 class Table:
     """One value per code point; built when first used."""
 
-    def __init__(self, rule, kind):
-        self.rule, self.kind, self.values, self.beyond = rule, kind, None, {}
+    def __init__(self, rule, kind, build=None):
+        self.rule, self.kind, self.build, self.values, self.beyond = rule, kind, build, None, {}
 
     def __call__(self, codes: np.ndarray) -> np.ndarray:
         if self.values is None:
-            self.values = np.fromiter((self.rule(c) for c in range(0x10000)), self.kind, 0x10000)
+            self.values = self.build() if self.build else np.fromiter((self.rule(c) for c in range(0x10000)), self.kind, 0x10000)
         high = codes > 0xFFFF
         if not high.any():
             return self.values[codes]
@@ -74,7 +84,7 @@ class Table:
 FOLD = Table(fold_of, np.uint32)
 CLASS = Table(class_of, np.uint8)
 LETTERS = Table(lambda c: len(letters_of(c)), np.uint8)
-WEIGHT = Table(weight_of, np.uint64)
+WEIGHT = Table(weight_of, np.uint64, _all_weights)
 LOWER = Table(lambda c: ord(x) if not 0xD800 <= c < 0xE000 and len(x := chr(c).lower()) == 1 else c, np.uint32)
 
 

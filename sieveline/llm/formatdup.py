@@ -1,19 +1,26 @@
 """Problem 2: records that differ only in white space, case, width, punctuation or field order.
 
-Progressive partition refinement: every record gets cheap order-free invariants (stripped length and letter
-histogram per field); only classes of several members are read again and refined by the costlier ordered key.
+Progressive partition refinement. Classes of equal stripped length come first, those of one member drop out; then
+classes of equal letter histogram within them; only records whose class still has several members are read again and
+refined by the ordered key. Length and histogram are sums over the characters, so they are counted in numpy over whole
+batches, without normalising or sorting a text.
 """
 
 from __future__ import annotations
 
 import json
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import alnum_key, batches_of, salted_lookup
+from .codes import LETTERS, WEIGHT, Block, chunks
+from .shared import alnum_key, batches_of, columns_of, cut, mix64, salted_join
+
+#: Slots of the stripped lengths: longer records share slots, which only spares less work.
+LENGTH_SLOTS = 1 << 16
 
 
 def _json_fields(payload: str | None) -> list[tuple[str, str]] | None:
@@ -43,13 +50,27 @@ def _records(batch: pa.RecordBatch, fields: list[str], payload: bool):
                 yield i, list(zip(fields, values))
 
 
-def _invariants(fields: list[tuple[str, str | None]]) -> tuple[int, int]:
-    total, parts = 0, []
-    for name, text in fields:
-        if key := alnum_key(text):
-            total += len(key)
-            parts.append(f"{name}\x00{len(key)}\x00{''.join(sorted(key))}")
-    return total, xxhash.xxh3_64_intdigest("\x01".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
+def invariants(records: list[list[tuple[str, str | None]]]) -> tuple[np.ndarray, np.ndarray]:
+    """(stripped length, hash of the letter histograms of the fields) of each record. Both are sums over the letters of
+    the fully decomposed text, so records that are equal up to formatting have equal ones. Empty fields add nothing."""
+    owner, names, texts = [], [], []
+    for k, fields in enumerate(records):
+        for name, text in fields:
+            if text:
+                owner.append(k)
+                names.append(name)
+                texts.append(text)
+    total, hist = np.zeros(len(records), dtype=np.int64), np.zeros(len(records), dtype=np.uint64)
+    salt = {n: np.uint64(xxhash.xxh3_64_intdigest(n.encode("utf-8", "surrogatepass"))) for n in set(names)}
+    owner = np.array(owner, dtype=np.int64)
+    for lo, hi in chunks(list(map(len, texts))):
+        block = Block(texts[lo:hi])
+        n = np.add.reduceat(LETTERS(block.codes).astype(np.int64), block.starts)
+        h = np.add.reduceat(WEIGHT(block.codes), block.starts)
+        of_name = np.array([salt[x] for x in names[lo:hi]], dtype=np.uint64)
+        np.add.at(total, owner[lo:hi], n)
+        np.add.at(hist, owner[lo:hi], np.where(n > 0, mix64(mix64(h ^ of_name) + n.astype(np.uint64)), np.uint64(0)))
+    return total, hist
 
 
 def _ordered_key(fields: list[tuple[str, str | None]]) -> bytes:
@@ -67,18 +88,32 @@ def format_duplicates(df: DataFrame, id_col: str, fields: list[str], *, payload:
 
     def cheap(batches):
         for b in batches:
-            out = [(i, *_invariants(f)) for i, f in _records(b, spare, payload)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], ["id", "n", "hist"])
+            found = list(_records(b, spare, payload))
+            n, h = invariants([f for _, f in found])
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array(n), pa.array(h.view(np.int64))], ["id", "n", "hist"])
 
     def exact(batches):
         for b in batches:
             out = [(i, _ordered_key(f)) for i, f in _records(b, spare, payload)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["id", "key"])
 
-    first = rows.mapInArrow(cheap, "id long, n long, hist long")
-    # A class may be one third of all rows: min and max of the id combine before the shuffle, no class is gathered.
+    # 24 bytes a record; the texts aren't read again for the next two steps.
+    first = cut(rows.mapInArrow(cheap, "id long, n long, hist long"))
+    slot = F.pmod("n", F.lit(LENGTH_SLOTS))
+    # 1. Lengths: at most LENGTH_SLOTS counters reach the driver.
+    several = np.zeros(LENGTH_SLOTS, dtype=bool)
+    several[columns_of(first.groupBy(slot.alias("slot")).agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("slot"))["slot"]] = True
+    several = df.sparkSession.sparkContext.broadcast(several)
+
+    def refined(batches):
+        for b in batches:
+            yield b.filter(pa.array(several.value[b.column(1).to_numpy() % LENGTH_SLOTS]))
+
+    first = first.mapInArrow(refined, "id long, n long, hist long")
+    # 2. Histograms. A class may be one third of all rows: min and max combine before the shuffle, no class is gathered.
     classes = first.groupBy("n", "hist").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("n", "hist")
-    members = salted_lookup(first, classes, ["n", "hist"]).select("id").distinct()
-    second = rows.join(members, "id", "left_semi").mapInArrow(exact, "id long, key binary").distinct()
+    members = salted_join(first, classes, ["n", "hist"], "left_semi").select("id").distinct()
+    # 3. The ordered key, of members only.
+    second = rows.join(members.hint("merge"), "id", "left_semi").mapInArrow(exact, "id long, key binary").distinct()
     groups = second.groupBy("key").agg(F.min("id").alias("keep_id"), F.count("*").alias("copies")).where("copies > 1")
-    return salted_lookup(second, groups, ["key"]).select("id", "keep_id", "copies")
+    return salted_join(second, groups, ["key"]).select("id", "keep_id", "copies")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import unicodedata
 
 import numpy as np
@@ -11,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import salted_join  # noqa: F401  (used by the operators)
+from ..session import cut_lineage as cut  # noqa: F401
+
 NOT_ALNUM = re.compile(r"[\W_]+")
 NOT_ALNUM_ASCII = re.compile(r"[^a-z0-9]+")
 
@@ -19,14 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder; a temporary one only where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def alnum_key(text: str | None) -> str:
     """Letters and digits only, with width, case, white space and punctuation taken away; null gives ''."""
     if not text:
@@ -99,12 +93,3 @@ def bounded_sample(df: DataFrame, keys: list[str], n: int, *, of: DataFrame) ->
     bound = min(1.0, 2.0 * n / max(1, of.count()))
     h = F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
     return df.withColumn("_h", h).where(F.col("_h") <= F.lit(int(bound * (1 << 40)))).orderBy("_h", *keys).limit(n).drop("_h")
-
-
-def salted_lookup(rows: DataFrame, groups: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
-    """Inner join of many rows with one row per group, where one group may hold a third of all rows.
-
-    The rows of a group are spread over ``salts`` partitions, the group's single row is repeated as often."""
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), F.lit(salts)).cast("int"))
-    right = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"]).drop("_salt")

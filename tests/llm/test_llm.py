@@ -58,6 +58,18 @@ def test_format_duplicates_against_brute_force(spark):
     assert formatdup.format_duplicates(df.limit(0), "rid", ["q", "e", "a"]).count() == 0
 
 
+def test_invariants_hold_under_formatting():
+    texts = ["Crème brûlée, 3×!", "한국어 문장", "カタカナ ﾀﾞ", "ﬁne Straße", "İstanbul ½", "देवनागरी लिपि", "𝐁old 𠀀", "", "e\u0301a", "ไทย กำ"]
+    forms = [lambda t: t, str.upper, lambda t: unicodedata.normalize("NFD", t), lambda t: unicodedata.normalize("NFKC", t), lambda t: " ".join(t) if t.isascii() else t + "。 ", str.casefold]
+    for t in texts:
+        for f in forms:
+            if alnum_key(f(t)) == alnum_key(t):
+                a, b = (formatdup.invariants([[("x", v)]]) for v in (t, f(t)))
+                assert a[0][0] == b[0][0] and a[1][0] == b[1][0], (t, f(t))
+    n, h = formatdup.invariants([[("x", "ab"), ("y", None)], [("x", "ba")], [("y", "ab")], [("x", "a"), ("y", "b")], []])
+    assert n.tolist() == [2, 2, 2, 2, 0] and h[0] == h[1] and len(set(h.tolist())) == 4
+
+
 def test_format_duplicates_of_json(spark):
     lines = ['{"a":"x","b":""}', '{ "b":"" , "a":"X!"}', '{"a":"x"', "null", "[1]", "", None, '{"a":"x","c":null}', '{"a":1}', '{"a":"1"}']
     df = spark.createDataFrame(list(enumerate(lines)), "i long, p string")
