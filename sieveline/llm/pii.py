@@ -1,37 +1,45 @@
 """Problem 4: personal information in free text.
 
-Mentions are proposed by shape (mail addresses, telephone and identity numbers, postal addresses, names) and labelled
-by a skip-chain conditional random field: the evidence of a mention's own context, and potentials between mentions
-of a text that repeat or share a name, over which loopy belief propagation passes messages until they agree. The
-weights are trained here on mentions of a bounded sample whose context leaves no doubt.
+A skip-chain conditional random field labels tokens (none, e-mail, telephone number, identity number, address, name).
+Its tokens are those of the passages around every place that has the shape of a mention; neighbours in a passage are
+chained by transitions, and distant tokens of a text that are equal or similar share a potential that wants equal
+labels. Loopy belief propagation passes messages over both until they agree. A place is a mention if its tokens' marginals
+say so. The field is trained here by the likelihood of a bounded sample's texts: places whose context leaves no doubt
+are observed, all others are summed over.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .crf import FeatureIndex
+from .crf import FeatureIndex, Sparse
 from .shared import batches_of, bounded_sample
 
-#: Rows (those of lowest hash, with a proposal) on which weights are trained.
-SAMPLE_ROWS = 4000
-#: Rounds of loopy belief propagation and damping of its messages.
-ROUNDS, DAMPING = 12, 0.3
-#: Probability from which a proposal is a mention.
+#: Rows (those of lowest hash) on which the field is trained, steps of training, and rounds of messages in a step.
+SAMPLE_ROWS, STEPS, STEP_ROUNDS = 4000, 50, 3
+#: Rounds of loopy belief propagation when labelling, and damping of its messages.
+ROUNDS, DAMPING = 14, 0.2
+#: Mean marginal probability from which a place is a mention.
 ACCEPT = 0.5
+#: Tokens of context on either side of a place.
+CONTEXT = 4
 
-#: Where training starts and what it is drawn to: weights of evidence that a sample may lack.
-PRIOR = {"against": -6.0, "repeat": -1.0, "unchecked": -0.5, "person_name-no-cue": -1.5, "person_name-cue": 2.0, "shape-id-cn": 1.0, "shape-mail": 2.0}
-
+KINDS = ["", "email", "phone", "id_number", "address", "person_name"]
+_LABEL = {k: i for i, k in enumerate(KINDS)}
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person_name": "[PERSON_NAME]"}
 
+#: Where training starts and what it is drawn to: weights of a place's features for its kind against none.
+PRIOR = {"place": 2.5, "against": -8.0, "unchecked": -1.5, "no-cue": -0.7, "cue": 1.5, "behind": 1.0, "name-no-cue": -4.5, "common": -4.0, "institution": -3.0, "part": 2.0, "repeat": 1.0}
+#: Weight of a context token for none, of equal neighbouring labels, and of the same kind at linked tokens.
+PRIOR_CONTEXT, PRIOR_SAME, PRIOR_LINK = 3.0, 0.5, 5.0
+
 # One character for one, so that offsets hold: full-width forms, blanks and dashes.
 _PLAIN = {0xFF01 + k: 0x21 + k for k in range(94)} | dict.fromkeys(map(ord, "\xa0　    \t"), " ") | dict.fromkeys(map(ord, "‐‑‒–—−"), "-")
 
@@ -104,16 +112,21 @@ _NOT_NAME = re.compile(
 
 
 @dataclass
-class Mention:
+class Place:
+    """A stretch of a text that has the shape of a mention."""
+
     start: int
     end: int
     kind: str
+    shape: str
     features: list[str]
     sure: int | None = None  # 1 or 0 where the context leaves no doubt
-    links: list[int] = field(default_factory=list)
     p: float = 0.0
 
 
+_INSTITUTION = re.compile(r"\s?(?:Clinic|Hospital|Institute|University|Centre|Center|Foundation|Trust|College|School|sign|test|syndrome|disease|Klinik|Zeichen|signe|signo|hospital|clínica|clinique|симптом|больниц|医院|诊所|征)")
+
+
 def _id_check(digits: str) -> bool:
     """Check digit of an eighteen-character identity number (ISO 7064 MOD 11-2)."""
     return "10X98765432"[sum(int(d) * 2 ** (17 - k) for k, d in enumerate(digits[:17])) % 11] == digits[17].upper()
@@ -128,148 +141,333 @@ _LITERALS_OF = {"mail": ("@", "at"), "plus": ("+",), "cn-street": tuple("路街
 _DIGIT = re.compile(r"\d")
 
 
-def propose(text: str) -> list[Mention]:
-    """Every proposed mention of the text, in order of place."""
+_CN_LEAD = re.compile("(?:请)?(?:寄到|送到|寄往|送往|住址为|住址是|住址|地址为|地址是|地址|家住|住在|位于|现住|搬到|来自|送至|寄至)$")
+
+
+def _cn_start(plain: str, a: int, z: int) -> int:
+    """First character of a Chinese address: after the last leading verb that the shape has swallowed."""
+    for k in range(min(z, a + 8), max(-1, a - 1), -1):
+        if _CN_LEAD.search(plain[max(0, k - 5) : k]):
+            return k
+    return a
+
+
+def propose(text: str) -> tuple[str, list[Place]]:
+    """(text with full-width forms and blanks made plain, every place in order)."""
     plain = text if text.isascii() else text.translate(_PLAIN)
     digits = len(_DIGIT.findall(plain))
-    out: list[Mention] = []
+    out: list[Place] = []
     for kind, shape, pattern in _SHAPES:
         if digits < _DIGITS_OF.get(shape, 0) or (shape in _LITERALS_OF and not any(map(plain.__contains__, _LITERALS_OF[shape]))):
             continue
         for m in pattern.finditer(plain):
             a, z = m.span("m" if "m" in pattern.groupindex else 0)
-            before, after = plain[max(0, a - 24) : a], plain[z : z + 16]
-            cue = _CUES[kind].search(before)
-            behind = _AFTER.get(kind)
-            behind = behind is not None and behind.match(after) is not None
-            if kind == "person_name":
-                if shape in ("latin-name", "ru-name") and not cue and not behind:
-                    continue
-                if shape == "latin-name":
-                    if _NOT_NAME.search(plain[a:z]):
-                        continue
-            if kind == "address" and shape == "cn-street":
+            if shape == "cn-street":
                 a = _cn_start(plain, a, z)
-                before = plain[max(0, a - 24) : a]
-                cue = _CUES[kind].search(before[-6:])
+            before, after = plain[max(0, a - 24) : a], plain[z : z + 16]
+            cue = _CUES[kind].search(before[-6:] if shape == "cn-street" else before) is not None
+            behind = kind in _AFTER and _AFTER[kind].match(after) is not None
             against = _AGAINST.search(before) is not None
-            names = [f"shape-{shape}", f"{kind}-cue" if cue else f"{kind}-no-cue"]
+            names = ["place", f"shape-{shape}"]
+            if kind == "person_name":
+                names.append("name-cue" if cue or behind else "name-no-cue")
+                common = shape == "latin-name" and _NOT_NAME.search(plain[a:z]) is not None
+                if common:
+                    names.append("common")
+                if _INSTITUTION.match(after):
+                    names.append("institution")
+            else:
+                names.append("cue" if cue else "no-cue")
+                common = False
+            if cue:
+                names.append(f"{kind}-cue")
             if behind:
-                names.append(f"{kind}-behind")
+                names += ["behind", f"{kind}-behind"]
             if against:
                 names.append("against")
             if shape == "id-cn":
                 names.append("checked" if _id_check(re.sub(r"[- ]", "", m[0])) else "unchecked")
-            sure = 0 if against else 1 if cue and (behind or kind not in ("phone",)) else None
-            out.append(Mention(a, z, kind, names, sure))
-    if not out:
-        return out
-    out.sort(key=lambda x: (x.start, -x.end))
-    known = defaultdict(list)
-    for x in out:
-        if x.kind == "person_name":
-            known[plain[x.start : x.end]].append(x)
-    covered = [(x.start, x.end) for x in out]
-    for name in list(known):
-        if len(name) < 2:
+            if against or common:
+                sure = 0
+            elif kind == "person_name":
+                sure = 1 if (cue or behind) and "institution" not in names else None
+            else:
+                sure = 1 if cue and (behind or kind != "phone") else None
+            out.append(Place(a, z, kind, shape, names, sure))
+    if out:
+        _again(plain, out)
+        out.sort(key=lambda x: (x.start, -x.end))
+    return plain, out
+
+
+def _again(plain: str, out: list[Place]) -> None:
+    """Adds the other places where a cued name stands, whole or in part."""
+    named = [x for x in out if x.kind == "person_name" and "name-cue" in x.features]
+    wanted = {plain[x.start : x.end]: "repeat" for x in named if x.end - x.start > 1}
+    for x in named:
+        if plain[x.start].isalpha() and not _WIDE.match(plain[x.start]):
+            for part in _WORD.findall(plain[x.start : x.end]):
+                if len(part) > 2:
+                    wanted.setdefault(part, "part")
+    if not wanted:
+        return
+    taken = sorted((x.start, x.end) for x in out)
+    starts = [a for a, _ in taken]
+    reach = list(np.maximum.accumulate([z for _, z in taken]))
+    new: list[tuple[int, int, str]] = []
+    pattern = re.compile("|".join(map(re.escape, sorted(wanted, key=len, reverse=True))))
+    for m in pattern.finditer(plain):
+        a, z = m.span()
+        if not _WIDE.match(plain[a]) and (plain[a - 1 : a].isalnum() or plain[z : z + 1].isalnum()):
             continue
-        at = plain.find(name)
-        while at >= 0:
-            end = at + len(name)
-            whole = not (name[0].isascii() and (plain[at - 1 : at].isalnum() or plain[end : end + 1].isalnum()))
-            if whole and all(end <= a or at >= z for a, z in covered):
-                known[name].append(x := Mention(at, end, "person_name", ["repeat"], None))
-                out.append(x)
-                covered.append((at, end))
-            at = plain.find(name, end)
-    out.sort(key=lambda x: (x.start, -x.end))
-    same = defaultdict(list)
-    for k, x in enumerate(out):
-        same[x.kind, re.sub(r"[\W_]+", "", plain[x.start : x.end]).lower()].append(k)
-    for group in same.values():  # a chain through equal mentions: their number is linear, not quadratic
-        for i, j in zip(group, group[1:]):
-            out[i].links.append(j)
-            out[j].links.append(i)
-    return out
+        k = bisect_left(starts, z)  # places that begin before the end; the farthest that one of them reaches
+        if k and reach[k - 1] > a:
+            continue
+        new.append((a, z, wanted[m[0]]))
+    for a, z, how in new:
+        names = ["place", "name-no-cue", how]
+        if _INSTITUTION.match(plain[z : z + 16]):
+            names.append("institution")
+        out.append(Place(a, z, "person_name", how, names))
 
 
-_CN_UNIT = re.compile(f"{_HAN}{{2,3}}?(?:省|自治区|[市州]|[区县旗]|[镇乡])")
-_CN_LEAD = re.compile("(?:请)?(?:寄到|送到|寄往|送往|住址为|住址是|住址|地址为|地址是|地址|家住|住在|位于|现住|搬到|来自|送至|寄至)$")
+_WORD = re.compile(r"[^\W\d_]+")
+_WIDE = re.compile("[⺀-鿿぀-ヿ가-힣]")
+_TOKEN = re.compile(r"[⺀-鿿぀-ヿ가-힣]|[^\W\d_⺀-鿿぀-ヿ가-힣]+|\d+|[^\w\s]|_")
 
 
-def _cn_start(plain: str, a: int, z: int) -> int:
-    """First character of a Chinese address: after the last leading verb that the shape has swallowed."""
-    for k in range(min(z, a + 8), max(-1, a - 1), -1):
-        if _CN_LEAD.search(plain[max(0, k - 5) : k]):
-            return k
-    return a
+def _class_of(token: str) -> str:
+    if token[0].isdigit():
+        return f"digits{min(len(token), 12)}"
+    if token.isalpha():
+        return "han" if _WIDE.match(token) else "upper" if token.isupper() and len(token) > 1 else "capital" if token[0].isupper() else "lower"
+    return "mark"
 
 
-def _propagate(mentions: list[Mention], unary: np.ndarray, strength: float) -> None:
-    """Loopy belief propagation over the links of one text; unary: log-odds of being a mention."""
-    n = len(mentions)
-    msgs = {(i, j): 0.0 for i, x in enumerate(mentions) for j in x.links}
-    if msgs:
-        same, other = np.exp(strength), 1.0
-        for _ in range(ROUNDS):
-            new = {}
-            for i, j in msgs:
-                odds = unary[i] + sum(msgs[k, i] for k in mentions[i].links if k != j)
-                p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-                new[i, j] = float(np.log((p * same + (1 - p) * other) / (p * other + (1 - p) * same)))
-            msgs = {e: DAMPING * msgs[e] + (1 - DAMPING) * v for e, v in new.items()}
-    for i in range(n):
-        mentions[i].p = float(1 / (1 + np.exp(-np.clip(unary[i] + sum(msgs[k, i] for k in mentions[i].links), -30, 30))))
-
-
-def _train(texts: list[str]) -> tuple[FeatureIndex, np.ndarray, float]:
-    """(features, weights of the log-odds, strength of a link) by penalised logistic regression on sure mentions."""
-    index, xs, ys, agree, differ = FeatureIndex(), [], [], 1, 1
-    for t in texts:
-        mentions = propose(t)
-        for x in mentions:
-            if x.sure is not None:
-                xs.append(index(x.features))
-                ys.append(x.sure)
-                for j in x.links:
-                    if mentions[j].sure is not None:
-                        agree, differ = agree + (mentions[j].sure == x.sure), differ + (mentions[j].sure != x.sure)
+@dataclass
+class Passages:
+    """The tokens of several texts' passages: a graph for the field."""
+
+    features: list[list[str]] = field(default_factory=list)
+    allowed: list[tuple[int, ...]] = field(default_factory=list)  # labels that training allows; () is any
+    chain: list[tuple[int, int]] = field(default_factory=list)
+    links: list[tuple[int, int]] = field(default_factory=list)
+    places: list[list[tuple[Place, range]]] = field(default_factory=list)  # of each text, with their tokens
+
+    def add(self, text: str) -> None:
+        plain, places = propose(text)
+        self.places.append([])
+        if not places:
+            return
+        # Passages: places and their context, joined where they meet.
+        spans: list[list[int]] = []
+        for x in places:
+            a, z = max(0, x.start - 24), min(len(plain), x.end + 24)
+            if spans and a <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], z)
             else:
-                index(x.features)
+                spans.append([a, z])
+        k = 0
+        same = defaultdict(list)
+        for a, z in spans:
+            tokens = [(a + m.start(), a + m.end(), m[0]) for m in _TOKEN.finditer(plain[a:z])]
+            mine = []
+            while k < len(places) and places[k].start < z:
+                mine.append(places[k])
+                k += 1
+            starts = [t[0] for t in tokens]
+            held: list[list[Place]] = [[] for _ in tokens]
+            near = np.zeros(len(tokens) + 1, dtype=bool)
+            ranges = []
+            for x in mine:
+                lo, hi = bisect_left(starts, x.start), bisect_left(starts, x.end)
+                ranges.append((lo, hi))
+                x.features += [f"word-before-{tokens[lo - 1][2].lower()}" if lo else "word-before", f"word-after-{tokens[hi][2].lower()}" if hi < len(tokens) else "word-after"]
+                near[max(0, lo - CONTEXT) : hi + CONTEXT] = True
+                for t in range(lo, hi):
+                    held[t].append(x)
+            number, last = {}, None
+            for t, (_, _, word) in enumerate(tokens):
+                if not near[t]:
+                    last = None
+                    continue
+                node = number[t] = len(self.features)
+                cls = _class_of(word)
+                low = word.lower()
+                names = [f"{'in' if held[t] else 'by'}-{cls}"]
+                allowed: tuple[int, ...] = (0,)
+                if held[t]:
+                    kinds = {_LABEL[x.kind] for x in held[t]}
+                    sures = {(_LABEL[x.kind], x.sure) for x in held[t]}
+                    for x in held[t]:
+                        names += [f"{n}|{x.kind}" for n in x.features]
+                    if any(v == 1 for _, v in sures):
+                        allowed = tuple({k2 for k2, v in sures if v == 1})
+                    elif all(v == 0 for _, v in sures):
+                        allowed = (0,)
+                    else:
+                        allowed = (0, *kinds)
+                    if len(low) > 1 and cls in ("capital", "upper") or len(low) > 5 and cls.startswith("digits"):
+                        same[low[:5] if len(low) > 5 and cls != "digits" else low].append(node)
+                else:
+                    names += ["context", f"word-{low}"]
+                self.features.append(names)
+                self.allowed.append(allowed)
+                if last is not None:
+                    self.chain.append((last, node))
+                last = node
+            for x, (lo, hi) in zip(mine, ranges):
+                if hi > lo:
+                    self.places[-1].append((x, range(number[lo], number[hi - 1] + 1)))
+                    if x.kind == "person_name" and _WIDE.match(plain[x.start]):  # names of scripts without words, as wholes
+                        same["=" + plain[x.start : x.end]].append(number[lo])
+        # A chain through equal and similar tokens: the number of links is linear.
+        for group in same.values():
+            self.links += [(i, j) for i, j in zip(group, group[1:]) if j - i > 1]
+
+
+@dataclass
+class Field:
+    index: FeatureIndex
+    weights: np.ndarray
+    transitions: np.ndarray
+    link: float
+
+
+def _potentials(transitions: np.ndarray, link: float) -> tuple[np.ndarray, np.ndarray]:
+    same = np.eye(len(KINDS))
+    same[0, 0] = 0  # that two tokens are no mention says nothing of either
+    return np.exp(np.clip(transitions, -8, 8)), np.exp(link * same)
+
+
+class Graph:
+    """Messages over the chain and link edges of a set of tokens, all edges at once."""
+
+    def __init__(self, chain: list[tuple[int, int]], links: list[tuple[int, int]], n: int):
+        self.n, self.n_chain = n, len(chain)
+        e = np.array(chain + links, dtype=np.int64).reshape(-1, 2)
+        self.a, self.b = e[:, 0], e[:, 1]
+        self.to = np.concatenate((self.b, self.a))
+        self.order = np.argsort(self.to, kind="stable")
+        self.sorted_to = self.to[self.order]
+        self.log = np.zeros((2 * len(e), len(KINDS)))  # messages to b, then to a
+
+    def _beliefs(self, unary: np.ndarray) -> np.ndarray:
+        out = unary.copy()
+        if len(self.to):
+            first = np.flatnonzero(np.concatenate(([True], self.sorted_to[1:] != self.sorted_to[:-1])))
+            out[self.sorted_to[first]] += np.add.reduceat(self.log[self.order], first, axis=0)
+        return out
+
+    def run(self, unary: np.ndarray, transitions: np.ndarray, link: float, rounds: int):
+        """(marginals of the tokens, expected transitions, expected agreement of links)."""
+        t, s = _potentials(transitions, link)
+        m, c = len(self.a), self.n_chain
+        for _ in range(rounds if m else 0):
+            belief = self._beliefs(unary)
+            out = belief[np.concatenate((self.a, self.b))] - np.concatenate((self.log[m:], self.log[:m]))
+            out = np.exp(out - out.max(axis=1, keepdims=True))
+            new = np.concatenate((out[:c] @ t, out[c:m] @ s, out[m : m + c] @ t.T, out[m + c :] @ s))
+            new = np.log(np.maximum(new / new.sum(axis=1, keepdims=True), 1e-30))
+            self.log = DAMPING * self.log + (1 - DAMPING) * new
+        belief = self._beliefs(unary)
+        p = np.exp(belief - belief.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        if not m:
+            return p, np.zeros_like(t), 0.0
+        left, right = belief[self.a] - self.log[m:], belief[self.b] - self.log[:m]
+        left, right = (np.exp(x - x.max(axis=1, keepdims=True)) for x in (left, right))
+        z = np.einsum("ei,ij,ej->e", left[:c], t, right[:c])
+        expected = np.einsum("ei,ej->ij", left[:c] / np.maximum(z, 1e-300)[:, None], right[:c]) * t
+        agree = (left[c:] * right[c:])[:, 1:].sum(axis=1) * np.exp(link)
+        total = np.einsum("ei,ij,ej->e", left[c:], s, right[c:])
+        return p, expected, float((agree / np.maximum(total, 1e-300)).sum())
+
+
+def train(texts: list[str]) -> Field:
+    """The field of greatest likelihood of the observed labels, drawn to the prior; unobserved labels are summed over:
+    the gradient is what is expected with the observed labels held, less what is expected without them."""
+    passages = Passages()
+    for t in texts:
+        passages.add(t)
+    index = FeatureIndex()
+    counts = defaultdict(int)
+    for names in passages.features:
+        for x in names:
+            counts[x] += 1
+    rare = {x for x, k in counts.items() if k < 3 and x.startswith("word-")}  # words met once or twice say nothing
+    flat = [index([x for x in names if x not in rare]) for names in passages.features]
+    for kind in KINDS[1:]:
+        for shape in [*(s for k, s, _ in SHAPES if k == kind), "repeat", "part"]:
+            index([f"shape-{shape}|{kind}"])
+        for name in PRIOR:
+            index([f"{name}|{kind}"])
+    index(["context"])
     index.freeze()
-    prior = np.zeros(len(index) + 1)
-    for name, value in PRIOR.items():
-        if name in index.ids:
-            prior[index.ids[name]] = value
-    w = prior.copy()
-    if xs:
-        item = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
-        feat = np.concatenate([np.asarray(x) for x in xs])
-        y = np.array(ys, dtype=float)
-        for _ in range(300):
-            z = np.full(len(xs), w[-1])
-            np.add.at(z, item, w[feat])
-            g = y - 1 / (1 + np.exp(-z))
-            gw = np.zeros_like(w)
-            np.add.at(gw, feat, g[item])
-            gw[-1] = g.sum()
-            w += 2.0 * (gw / len(xs) - 1e-3 * (w - prior))
-    return index, w, float(np.clip(np.log(agree / differ), 0.5, 3.0))
-
-
-def label(text: str, model: tuple[FeatureIndex, np.ndarray, float]) -> list[Mention]:
-    """The mentions of the text, none overlapping another."""
-    mentions = propose(text)
-    if not mentions:
-        return []
-    index, w, strength = model
-    unary = np.array([w[-1] + w[index(x.features)].sum() + (1.0 if "shape-" in x.features[0] else -1.0) for x in mentions])
-    _propagate(mentions, unary, strength)
-    taken: list[Mention] = []
-    for x in sorted(mentions, key=lambda x: (x.p < ACCEPT, -(x.end - x.start), -x.p, x.start)):
-        if x.p >= ACCEPT and all(x.end <= y.start or x.start >= y.end for y in taken):
-            taken.append(x)
-    return sorted(taken, key=lambda x: x.start)
+    prior = np.zeros((len(index), len(KINDS)))
+    for name, i in index.ids.items():
+        feature, _, kind = name.partition("|")
+        if kind and feature in PRIOR:
+            prior[i, _LABEL[kind]] = PRIOR[feature]
+        elif kind and feature.startswith("shape-"):
+            prior[i] = np.where(np.arange(len(KINDS)) == 0, 0.0, np.where(np.arange(len(KINDS)) == _LABEL[kind], 0.0, -1.0))
+    prior[index.ids["context"], 0] = PRIOR_CONTEXT
+    t0 = PRIOR_SAME * np.eye(len(KINDS))
+    w, t, link = prior.copy(), t0.copy(), PRIOR_LINK
+    n = len(flat)
+    if not n:
+        return Field(index, w, t, link)
+    lengths = np.fromiter(map(len, flat), np.int64, n)
+    feats = Sparse(np.repeat(np.arange(n), lengths), np.concatenate([np.asarray(f, dtype=np.int64) for f in flat]), n, len(index))
+    barred = np.full((n, len(KINDS)), -30.0)
+    for i, labels in enumerate(passages.allowed):
+        barred[i, list(labels)] = 0.0
+    free, held = (Graph(passages.chain, passages.links, n) for _ in range(2))
+    moments = [(np.zeros_like(w), np.zeros_like(w)), (np.zeros_like(t), np.zeros_like(t))]
+    texts_n = max(1, sum(map(bool, passages.places)))
+    for step in range(1, STEPS + 1):
+        unary = feats.scores(w)
+        p, et, el = free.run(unary, t, link, STEP_ROUNDS)
+        q, ct, cl = held.run(unary + barred, t, link, STEP_ROUNDS)
+        for x, g, x0, (m, v) in ((w, feats.gradient(q - p), prior, moments[0]), (t, ct - et, t0, moments[1])):
+            g = g / texts_n - 2e-3 * (x - x0)
+            m *= 0.9
+            m += 0.1 * g
+            v *= 0.999
+            v += 0.001 * g * g
+            x += 0.08 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
+        link = float(np.clip(link + 0.5 * ((cl - el) / texts_n - 2e-3 * (link - PRIOR_LINK)), 0.0, 8.0))
+    return Field(index, w, t, link)
+
+
+def label(texts: list[str], model: Field, *, links: bool = True) -> list[list[Place]]:
+    """The mentions of each text, none overlapping another. ``links``: whether distant tokens pass messages."""
+    passages = Passages()
+    for text in texts:
+        passages.add(text)
+    n = len(passages.features)
+    if not n:
+        return [[] for _ in texts]
+    flat = [model.index(names) for names in passages.features]
+    lengths = np.fromiter(map(len, flat), np.int64, n)
+    feats = Sparse(np.repeat(np.arange(n), lengths), np.concatenate([np.asarray(f, dtype=np.int64) for f in flat]), n, len(model.weights))
+    p, _, _ = Graph(passages.chain, passages.links if links else [], n).run(feats.scores(model.weights), model.transitions, model.link, ROUNDS)
+    out = []
+    for places in passages.places:
+        for x, tokens in places:
+            x.p = float(p[tokens.start : tokens.stop, _LABEL[x.kind]].mean())
+        taken: list[tuple[int, int]] = []
+        chosen = []
+        for x, _ in sorted(places, key=lambda y: (-(y[0].end - y[0].start), -y[0].p, y[0].start)):
+            if x.p < ACCEPT:
+                continue
+            k = bisect_left(taken, (x.start, x.end))
+            if (k and taken[k - 1][1] > x.start) or (k < len(taken) and taken[k][0] < x.end):
+                continue
+            taken.insert(k, (x.start, x.end))
+            chosen.append(x)
+        out.append(sorted(chosen, key=lambda x: x.start))
+    return out
 
 
 def personal_information(texts: DataFrame) -> DataFrame:
@@ -279,23 +477,24 @@ def personal_information(texts: DataFrame) -> DataFrame:
     for each, otherwise unchanged. Null and empty texts and null ids are left out, a row delivered twice counts once,
     texts are read whole, an empty table gives none."""
     sc = texts.sparkSession.sparkContext
-    texts = texts.where("row_id IS NOT NULL AND text IS NOT NULL").select("tbl", "row_id", "text")
-    hinted = texts.where(F.col("text").rlike(r"@|＠|\d{3}[- ]?\d{3}|Mrs|Dr\.|Frau|Mme|Sra|ул\.|家属|患者|收件人|医师|联系人|担当"))
-    sample = [r.text for r in bounded_sample(hinted, ["tbl", "row_id"], SAMPLE_ROWS, of=texts).select("text").collect()]
-    model = sc.broadcast(_train(sample))
+    rows = texts.where("row_id IS NOT NULL AND text IS NOT NULL").select("tbl", "row_id", "text")
+    sample = [r.text for r in bounded_sample(rows, ["tbl", "row_id"], SAMPLE_ROWS, of=texts).select("text").collect()]
+    model = sc.broadcast(train(sample))
 
     def find(batches):
         kinds = pa.list_(pa.struct([("kind", pa.string()), ("start_at", pa.int64()), ("end_at", pa.int64())]))
         for b in batches:
             out = []
-            for tbl, i, t in zip(*batches_of(b, ["tbl", "row_id", "text"])):
-                if found := label(t, model.value):
-                    parts, last = [], 0
-                    for x in found:
-                        parts += (t[last : x.start], PLACEHOLDERS[x.kind])
-                        last = x.end
-                    out.append((tbl, i, [{"kind": x.kind, "start_at": x.start, "end_at": x.end} for x in found], "".join(parts) + t[last:]))
+            tbl, ids, held = batches_of(b, ["tbl", "row_id", "text"])
+            for k in range(0, len(held), 1000):
+                for j, found in enumerate(label(held[k : k + 1000], model.value), k):
+                    if found:
+                        parts, last, t = [], 0, held[j]
+                        for x in found:
+                            parts += (t[last : x.start], PLACEHOLDERS[x.kind])
+                            last = x.end
+                        out.append((tbl[j], ids[j], [{"kind": x.kind, "start_at": x.start, "end_at": x.end} for x in found], "".join(parts) + t[last:]))
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int64(), kinds, pa.string()))], ["tbl", "row_id", "mentions", "redacted"])
 
-    return texts.mapInArrow(find, "tbl string, row_id long, mentions array<struct<kind:string,start_at:long,end_at:long>>, redacted string").dropDuplicates(["tbl", "row_id"])
+    return rows.mapInArrow(find, "tbl string, row_id long, mentions array<struct<kind:string,start_at:long,end_at:long>>, redacted string").dropDuplicates(["tbl", "row_id"])

@@ -328,14 +328,50 @@ SAMPLES = [
 
 def test_every_shape_is_proposed_alone():
     assert {shape for shape, _ in SAMPLES} == {shape for _, shape, _ in pii.SHAPES}
-    missed = [(shape, t) for shape, t in SAMPLES if not any(f"shape-{shape}" in x.features for x in pii.propose(t))]
+    missed = [(shape, t) for shape, t in SAMPLES if not any(f"shape-{shape}" in x.features for x in pii.propose(t)[1])]
     assert not missed
 
 
-def test_repeated_names_share_their_label():
-    text = "Mrs. Orrin Quornby came. Later Orrin Quornby left, and Orrin Quornby slept."
-    model = pii._train(["Mrs. Orrin Quornby lives here. Call +1 555 555 0126 and ask for Odette Tressler."] * 20)
-    assert [text[m.start : m.end] for m in pii.label(text, model)] == ["Orrin Quornby"] * 3
+def _personal_field():
+    texts = ["Mrs. Orrin Quornby lives here. Call +1 555 555 0126 and ask for Odette Tressler.", "A positive Marlowick Sign was seen. Lot 25181702206 is used.", "请联系家属沈岚留下的号码161-7457-9458。", "Herr Jonas Albrecht wohnt Lindenweg 4, 10115 Berlin.", "The Blue Ward was closed. Serial 882663964640520477 matches.", "证件号110105194912310021，批号110105194912310021。", "She lives at 70 Mallow Court, Port Ellery.", "Elle habite au 3 rue des Lilas, 69001 Lyon.", "Vive en Calle del Sol 5, Sevilla.", "Он проживает: ул. Заревая, д. 14, кв. 5."]
+    return pii.train(texts * 30)
+
+
+def test_links_change_labels():
+    model = _personal_field()
+    alone = "she said that Tamsin Orwelle came, and Tamsin Orwelle left; Orwelle slept well."
+    text = f"Mrs. Tamsin Orwelle called; {alone}"
+    found = lambda t, **k: [t[m.start : m.end] for m in pii.label([t], model, **k)[0]]
+    assert found(alone) == []  # nothing says that it is a name
+    assert found(text) == ["Tamsin Orwelle"] * 3 + ["Orwelle"]
+    assert found(text, links=False) == ["Tamsin Orwelle"]
+
+
+def test_places_are_weighed():
+    model = _personal_field()
+    for t in ("A positive Marlowick Sign was seen.", "Dr. Blue Ward was full.", "批号110105194912310021。"):
+        assert pii.propose(t)[1] and pii.label([t], model)[0] == [], t
+    for t in ("12 Oak Terrace, Leeds", "14 avenue Victor Hugo, 75016 Paris", "Lindenallee 12, 10115 Berlin", "Plaza Mayor 4, Madrid", "проспект Мира, д. 5, кв. 7"):
+        (m,) = pii.label([t], model)[0]
+        assert (m.kind, t[m.start : m.end]) == ("address", t)
+
+
+def test_marginals_of_a_tree_are_exact():
+    rnd = np.random.default_rng(3)
+    unary, t = rnd.normal(size=(4, 6)), rnd.normal(size=(6, 6))
+    p, expected, agree = pii.Graph([(0, 1), (1, 2)], [(2, 3)], 4).run(unary, t, 0.7, 200)
+    joint = unary[0][:, None, None, None] + unary[1][None, :, None, None] + unary[2][None, None, :, None] + unary[3] + t[:, :, None, None] + t[None, :, :, None] + 0.7 * np.diag([0, 1, 1, 1, 1, 1])[None, None]
+    joint = np.exp(joint - joint.max())
+    joint /= joint.sum()
+    for k in range(4):
+        assert np.allclose(p[k], joint.sum(axis=tuple(a for a in range(4) if a != k)))
+    assert np.allclose(expected, joint.sum(axis=(2, 3)) + joint.sum(axis=(0, 3)))
+    assert np.isclose(agree, np.trace(joint.sum(axis=(0, 1))[1:, 1:]))
+
+
+def test_many_mentions_cost_no_square():
+    text = " ".join(f"Mrs. Orrin Quornby, +1 555 555 {k:04d};" for k in range(3000))
+    assert len(pii.label([text], _personal_field())[0]) == 6000
 
 
 @pytest.mark.parametrize("items, capacity, sep", [([(i, 1 + (i * 37) % 90) for i in range(400)] + [(900, 1000), (901, None), (902, 0), (None, 5), (3, 111 - 50)], 100, 1), ([(i, 50) for i in range(99)], 100, 0), ([(1, 7)], 4, 1)])
