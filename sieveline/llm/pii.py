@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .codes import chunks
 from .crf import FeatureIndex, Sparse
-from .shared import batches_of, bounded_sample
+from .shared import batches_of, bounded_sample, code_points
 
 #: Rows (those of lowest hash) on which the field is trained, steps of training, and rounds of messages in a step.
 SAMPLE_ROWS, STEPS, STEP_ROUNDS = 4000, 50, 3
@@ -152,9 +153,25 @@ def _cn_start(plain: str, a: int, z: int) -> int:
     return a
 
 
-def propose(text: str) -> tuple[str, list[Place]]:
-    """(text with full-width forms and blanks made plain, every place in order)."""
-    plain = text if text.isascii() else text.translate(_PLAIN)
+_PLAIN_CODES = np.arange(0x10000, dtype=np.uint32)
+_PLAIN_CODES[list(_PLAIN)] = [c if isinstance(c, int) else ord(c) for c in _PLAIN.values()]
+
+
+def plain_texts(texts: list[str]) -> list[str]:
+    """The texts with full-width forms, blanks and dashes made plain, character by character."""
+    out = []
+    for lo, hi in chunks(list(map(len, texts))):
+        codes = code_points("".join(texts[lo:hi]))
+        whole = np.where(codes > 0xFFFF, codes, _PLAIN_CODES[np.minimum(codes, 0xFFFF)]).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        at = 0
+        for t in texts[lo:hi]:
+            out.append(whole[at : at + len(t)])
+            at += len(t)
+    return out
+
+
+def propose(plain: str) -> list[Place]:
+    """Every place of a plain text, in order."""
     digits = len(_DIGIT.findall(plain))
     out: list[Place] = []
     for kind, shape, pattern in _SHAPES:
@@ -197,7 +214,7 @@ def propose(text: str) -> tuple[str, list[Place]]:
     if out:
         _again(plain, out)
         out.sort(key=lambda x: (x.start, -x.end))
-    return plain, out
+    return out
 
 
 def _again(plain: str, out: list[Place]) -> None:
@@ -254,8 +271,8 @@ class Passages:
     links: list[tuple[int, int]] = field(default_factory=list)
     places: list[list[tuple[Place, range]]] = field(default_factory=list)  # of each text, with their tokens
 
-    def add(self, text: str) -> None:
-        plain, places = propose(text)
+    def add(self, plain: str) -> None:
+        places = propose(plain)
         self.places.append([])
         if not places:
             return
@@ -388,7 +405,7 @@ def train(texts: list[str]) -> Field:
     """The field of greatest likelihood of the observed labels, drawn to the prior; unobserved labels are summed over:
     the gradient is what is expected with the observed labels held, less what is expected without them."""
     passages = Passages()
-    for t in texts:
+    for t in plain_texts(texts):
         passages.add(t)
     index = FeatureIndex()
     counts = defaultdict(int)
@@ -443,8 +460,8 @@ def train(texts: list[str]) -> Field:
 def label(texts: list[str], model: Field, *, links: bool = True) -> list[list[Place]]:
     """The mentions of each text, none overlapping another. ``links``: whether distant tokens pass messages."""
     passages = Passages()
-    for text in texts:
-        passages.add(text)
+    for t in plain_texts(texts):
+        passages.add(t)
     n = len(passages.features)
     if not n:
         return [[] for _ in texts]
