@@ -92,11 +92,12 @@ def _leaks(spark, d):
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs that the alignment accepts and whose uninterrupted run is exactly long enough."""
     return _leaks(spark, d).where("run >= need").select("tbl", "row_id", "item_id")
 
 
 def p5_alignments(spark: SparkSession, d: str) -> DataFrame:
-    """Every text that an item's rare seed joins, with the longest run and the alignment score (edited copies too)."""
+    """Every text that holds an item or an edited copy of one, by alignment score, with the longest run."""
     return _leaks(spark, d)
 
 

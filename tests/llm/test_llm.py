@@ -147,10 +147,51 @@ def test_leaks_against_brute_force(spark):
     assert leak.leaks(d, t.limit(0)).count() == 0
 
 
+def _local(a, b):
+    best, prev = 0, [0] * (len(b) + 1)
+    for x in a:
+        now = [0]
+        for j, y in enumerate(b, 1):
+            now.append(max(0, prev[j - 1] + (2 if x == y else -1), prev[j] - 1, now[-1] - 1))
+        best, prev = max(best, *now), now
+    return best
+
+
 def test_smith_waterman():
     a, b = code_points("xxabcdefyy"), code_points("abcxdef")
-    assert leak.smith_waterman([a], [a])[0] == 20
-    assert leak.smith_waterman([a, b], [b, b]).tolist() == [11, 14]
+    assert leak.smith_waterman([a], [a], [0])[0] == 20
+    assert leak.smith_waterman([a, b], [b, b], [2, 0]).tolist() == [11, 14]
+    rnd = random.Random(5)
+    for _ in range(40):
+        x, y = ("".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 40))) for _ in range(2))
+        assert leak.smith_waterman([code_points(x)], [code_points(y)], [rnd.randrange(-3, 4)])[0] == _local(x, y)
+
+
+def test_rarest_of_windows():
+    rnd = np.random.default_rng(4)
+    for _ in range(50):
+        n = rnd.integers(0, 9, size=int(rnd.integers(1, 40)))
+        w = int(rnd.integers(1, len(n) + 1))
+        assert set(leak.rarest_of_windows(n, w)) == {int(i + n[i : i + w].argmin()) for i in range(len(n) - w + 1)}
+
+
+def test_edited_copies_are_aligned(spark):
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(3, 9))) for _ in range(300)]
+    items = [(i, " ".join(rnd.choice(words) for _ in range(14))) for i in range(60)]
+    docs, planted = [], set()
+    for i in range(240):
+        t = [rnd.choice(words) for _ in range(40)]
+        if i % 2:
+            k, copy = i % 60, list(items[i % 60][1])
+            for _ in range(len(copy) // 15):  # an edit every fifteen letters
+                at = rnd.randrange(len(copy))
+                copy[at : at + 1] = rnd.choice([[], ["z"], [copy[at], "y"]])
+            t.insert(9, "".join(copy))
+            planted.add((i, k))
+        docs.append(("d", i, " ".join(t)))
+    got = {(r.row_id, r.item_id) for r in leak.leaks(spark.createDataFrame(docs, "tbl string, row_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(got & planted) >= 0.9 * len(planted) and got <= planted, (len(got & planted), len(planted), got - planted)
 
 
 def _distance(a, b):
