@@ -13,21 +13,43 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import batches_of, cut
+from .shared import batches_of, columns_of, cut
 
 #: Classes of length from which patterns are built, lengths of a pattern at most, and the fill a pattern needs.
 CLASSES, LARGEST_PATTERN, LEAST_FILL = 24, 4, 0.97
 
 
-def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """x >= 0 that brings a @ x near b, by multiplicative updates (a and b are non-negative)."""
-    x = np.full(a.shape[1], max(b.sum(), 1e-9) / max(a.sum(), 1e-9))
-    top, gram = a.T @ b, a.T @ a
-    for _ in range(rounds):
-        x *= top / np.maximum(gram @ x, 1e-12)
+def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
+    """x >= 0 that minimises |a @ x - b|, by the active-set method: columns enter while the gradient wants them and
+    leave when they would become negative; it ends when no column can improve."""
+    n = a.shape[1]
+    x, passive = np.zeros(n), np.zeros(n, dtype=bool)
+    w = a.T @ b
+    limit = tolerance * max(1.0, float(np.abs(w).max(initial=0)))
+    for _ in range(10 * n + 10):
+        free = np.where(passive, -np.inf, w)
+        k = int(free.argmax()) if n else -1
+        if k < 0 or free[k] <= limit:
+            break
+        passive[k] = True
+        while True:
+            s = np.zeros(n)
+            s[passive] = np.linalg.lstsq(a[:, passive], b, rcond=None)[0]
+            if s[passive].min(initial=1.0) > 0:
+                x = s
+                break
+            low = passive & (s <= 0)
+            step = (x[low] / np.maximum(x[low] - s[low], 1e-300)).min()
+            x = x + step * (s - x)
+            passive &= x > 1e-12
+            x[~passive] = 0.0
+            if not passive.any():
+                break
+        w = a.T @ (b - a @ x)
+        w[k] = 0.0 if not passive[k] else w[k]  # a column that leaves at once isn't tried again in this round
     return x
 
 
@@ -157,35 +179,50 @@ def pack(items: DataFrame, capacity: int, sep: int, *, partitions: int | None =
     whole = F.floor((F.col("length") - 1) / F.lit(capacity))
     parts = items.select("id", F.explode(F.sequence(F.lit(0), whole.cast("int"))).alias("part"), "length")
     parts = cut(parts.select("id", "part", F.least(F.lit(capacity).cast("long"), F.col("length") - F.col("part") * F.lit(capacity)).cast("long").alias("length")))
-    # Ranks within a length by counts per partition: a length of a third of all items is never gathered.
-    numbered = parts.withColumn("pid", F.spark_partition_id())
-    counted = numbered.groupBy("pid", "length").agg(F.count("*").alias("n")).collect()  # partitions x lengths, both bounded
-    histogram, starts = defaultdict(int), {}
-    for r in sorted(counted, key=lambda r: r.pid):
-        starts[r.pid, r.length] = histogram[r.length]
-        histogram[r.length] += r.n
-    shared = sc.broadcast((_places(plan(dict(histogram), capacity, sep)), starts))
+    # Ranks within a length: the place within the partition, and the count of the partitions before, which stays a table
+    # (of partitions times lengths). A length of a third of all items is never gathered.
+    def placed_in_partition(batches):
+        seen: dict[int, int] = {}
+        for b in batches:
+            own = []
+            for length in b.column(b.schema.get_field_index("length")).to_pylist():
+                k = seen.get(length, 0)
+                seen[length] = k + 1
+                own.append(k)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int64())], [*b.schema.names, "own"])
+
+    numbered = parts.withColumn("pid", F.spark_partition_id()).mapInArrow(placed_in_partition, "id long, part int, length long, pid int, own long")
+    per = numbered.groupBy("length", "pid").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per.select("length", "pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    counts = columns_of(per.groupBy("length").agg(F.sum("n").alias("n")))  # at most ``capacity`` rows
+    histogram = dict(zip(counts["length"].tolist(), counts["n"].tolist()))
+    shared = sc.broadcast(_places(plan(histogram, capacity, sep)))  # bounded by the capacity, as the plan is
 
     def deal(batches):
-        places, starts = shared.value
-        seen: dict[int, int] = {}
+        places = shared.value
         for b in batches:
-            ids, part, lengths, pids = batches_of(b, ["id", "part", "length", "pid"])
+            ids, part, lengths, ranks = batches_of(b, ["id", "part", "length", "rank"])
             containers, slots = [], []
-            for length, pid in zip(lengths, pids):
-                rank = seen.get(length, starts[pid, length])
-                seen[length] = rank + 1
+            for length, rank in zip(lengths, ranks):
                 first, base, slot = places[length]
                 k = int(np.searchsorted(first, rank, side="right")) - 1
                 containers.append(int(base[k] + rank - first[k]))
                 slots.append(int(slot[k]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(part, pa.int32()), pa.array(lengths, pa.int64()), pa.array(containers, pa.int64()), pa.array(slots, pa.int32())], ["id", "part", "length", "container", "place"])
 
-    return numbered.mapInArrow(deal, "id long, part int, length long, container long, place int")
+    ranked = numbered.join(starts.hint("merge"), ["length", "pid"]).select("id", "part", "length", (F.col("start") + F.col("own")).alias("rank"))
+    return ranked.mapInArrow(deal, "id long, part int, length long, container long, place int")
 
 
 def fill(placed: DataFrame, capacity: int, sep: int) -> DataFrame:
-    """One row (containers, items, tokens, used, fill): how well the containers are filled; used counts separators."""
+    """One row (containers, items, tokens, used, fullest, fill, lower_bound, gap): how well the containers are filled; used
+    counts separators. lower_bound: containers that any packing needs, the greater of what the total takes (each item
+    but one of a container brings a separator) and of the items of which no two fit together; gap: how far above it
+    the containers are, as a share."""
     per = placed.groupBy("container").agg(F.count("*").alias("n"), F.sum("length").alias("tokens"))
     total = per.agg(F.count("*").alias("containers"), F.coalesce(F.sum("n"), F.lit(0)).alias("items"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.col("tokens") + (F.col("n") - 1) * sep), F.lit(0)).alias("used"), F.max(F.col("tokens") + (F.col("n") - 1) * sep).alias("fullest"))
-    return total.withColumn("fill", F.col("used") / (F.col("containers") * F.lit(capacity)))
+    large = placed.agg(F.count_if(F.col("length") * 2 + sep > capacity).alias("large"))
+    total = total.crossJoin(large).withColumn("fill", F.col("used") / (F.col("containers") * F.lit(capacity)))  # one row each
+    bound = F.greatest(F.ceil((F.col("tokens") + F.col("items") * sep) / F.lit(capacity + sep)), F.col("large"))
+    return total.withColumn("lower_bound", bound).withColumn("gap", F.col("containers") / F.col("lower_bound") - 1).drop("large")

@@ -18,6 +18,7 @@ from .pii import personal_information
 from .sentences import split_sentences
 from .shared import cut, table
 from .tokens import count_tokens
+from .topics import with_topics
 
 
 def _texts(spark: SparkSession, d: str, *parts: tuple[str, str, str]) -> DataFrame:
@@ -117,7 +118,13 @@ def p6_overlap_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lengths(spark, d):
-    return count_tokens(table(spark, d, "documents").select("doc_id", "source", "lang", F.when(F.col("text").rlike("^[^\\n。.!?！？]{1,40}\\n"), "titled").otherwise("plain").alias("topic"), "text"))
+    return count_tokens(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def _mixable(spark, d):
+    """Documents with source, language, topic and tokens, counted once."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.lower(F.trim("lang")).alias("lang"), "text")
+    return cut(count_tokens(with_topics(docs, of=docs)))
 
 
 def _packed(spark, d, finish):
@@ -139,12 +146,12 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mix(_lengths(spark, d), table(spark, d, "mix_targets"))
+    return mix(_mixable(spark, d), table(spark, d, "mix_targets"))
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    targets = table(spark, d, "mix_targets")
-    return shares(mix(_lengths(spark, d), targets), targets)
+    targets, docs = table(spark, d, "mix_targets"), _mixable(spark, d)
+    return shares(mix(docs, targets), targets, docs.select("source", "tokens"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

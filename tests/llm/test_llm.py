@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.llm import crf, crosssplit, formatdup, garble, leak, mixing, packing, pairs, pii, queries
+from sieveline.llm import crf, crosssplit, formatdup, garble, leak, mixing, packing, pairs, pii, queries, topics
 from sieveline.llm.languages import language
 from sieveline.llm.sentences import sentences, split_sentences
 from sieveline.llm.shared import alnum_key, code_points, gram_hashes, gram_hashes_many
@@ -448,11 +448,54 @@ def test_mixture_meets_shares_and_caps(spark):
     rows = m.collect()
     assert all(1 <= r.repeats <= (1 if r.mix_id == 1 else 3) for r in rows)
     assert len({(r.mix_id, r.doc_id) for r in rows}) == len(rows)
-    for r in mixing.shares(m, t).collect():
+    for r in mixing.shares(m, t, d.select("source", "tokens")).collect():
         assert r.actual_share == pytest.approx(r.target_share, abs=0.01)
+        assert r.tokens <= r.source_tokens * r.max_repeats
+        assert r.shortfall == pytest.approx(max(0, 1 - r.mixture_tokens / r.budget))
     assert mixing.mix(d.limit(0), t).count() == 0 and mixing.mix(d, t.limit(0)).count() == 0
 
 
+def test_caps_belong_to_sources(spark):
+    docs = [(i, "ab"[i % 2], "en", "t", 10) for i in range(400)]
+    targets = [(1, "a", 0.8, 4, 3.0), (1, "b", 0.2, 1, 3.0)]
+    d = spark.createDataFrame(docs, "doc_id long, source string, lang string, topic string, tokens long")
+    t = spark.createDataFrame(targets, "mix_id int, source string, target_share double, max_repeats int, budget_ratio double")
+    m = mixing.mix(d, t)
+    most = {r.source: r.m for r in m.groupBy("source").agg(F.max("repeats").alias("m")).collect()}
+    assert most == {"a": 4, "b": 1}
+    got = {r.source: r for r in mixing.shares(m, t, d.select("source", "tokens")).collect()}
+    assert got["a"].tokens == 8000 and got["b"].tokens == 2000 and got["a"].shortfall == pytest.approx(1 - 10000 / 12000)
+
+
+def test_topics_come_from_words(spark):
+    rnd = random.Random(3)
+    fields = [["court", "judge", "appeal", "verdict", "statute"], ["goal", "match", "referee", "striker", "league"], ["flour", "oven", "dough", "butter", "sugar"]]
+    docs = [(i, "en", " ".join(rnd.choice(fields[i % 3]) for _ in range(30))) for i in range(300)] + [(900, None, None), (901, "en", "...")]
+    df = spark.createDataFrame(docs, "doc_id long, lang string, text string")
+    got = {r.doc_id: r.topic for r in topics.with_topics(df, of=df).collect()}
+    assert got[900] is None and got[901] is None
+    for a in range(3):  # no topic holds two fields
+        for b in range(a):
+            assert not {got[i] for i in range(300) if i % 3 == a} & {got[i] for i in range(300) if i % 3 == b}
+
+
+def test_nonnegative_least_squares():
+    rnd = np.random.default_rng(2)
+    for _ in range(20):
+        a, x = rnd.random((12, 6)), np.maximum(rnd.normal(size=6), 0)
+        assert np.allclose(packing.nonnegative_least_squares(a, a @ x), x, atol=1e-6)
+        b = rnd.normal(size=12)
+        y = packing.nonnegative_least_squares(a, b)
+        g = a.T @ (b - a @ y)  # at the optimum no gradient points inwards
+        assert (y >= 0).all() and (g <= 1e-6).all() and np.allclose(g[y > 1e-9], 0, atol=1e-6)
+
+
+def test_fill_reports_a_bound(spark):
+    placed = packing.pack(spark.createDataFrame([(i, n) for i, n in enumerate([60, 60, 60, 30, 30])], "id long, length long"), 100, 1)
+    r = packing.fill(placed, 100, 1).first()
+    assert (r.containers, r.lower_bound, r.gap) == (3, 3, 0.0)
+
+
 SENTENCES = [
     ["The dose is approx. 4.5 mg.", "See Fig. 3 for Dr. Lane.", "Stop!"],
     ["“Start now. Then rest, all right?” said the nurse.", "It is 5 p.m."],
