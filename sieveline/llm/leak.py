@@ -3,7 +3,8 @@
 Rare n-gram seeds join texts to items; a Smith-Waterman alignment around the best seed scores every joined pair, and
 edited copies are accepted by that score. The longest uninterrupted run of letters and digits is measured exactly.
 
-Items may be as many as texts: their n-grams, the seeds and the pairs are tables, and texts are scanned once.
+Items may be as many as texts: their n-grams, the seeds and the pairs are tables. Texts are read
+twice, however many the items: to count the items' n-grams, and to find the seeds.
 """
 
 from __future__ import annotations
@@ -134,41 +135,44 @@ def leaks(corpora: DataFrame, items: DataFrame, *, item_id: str = "item_id", ite
     sizes = {r.q: r.n for r in held.groupBy("q").agg(F.count("*").alias("n")).collect()}  # seed lengths: at most four
     bits = int(np.clip(np.ceil(np.log2(16 * max(1, sum(sizes.values())))), 12, MOST_FILTER_BITS))
 
-    def slots(batches):
+    def filter_of(keys: DataFrame):
+        """Filter of the keys, of at most 2^bits slots, and its bits."""
+        bits = int(np.clip(np.ceil(np.log2(16 * max(1, keys.count()))), 12, MOST_FILTER_BITS))
+
+        def slots(batches):
+            for b in batches:
+                own = np.array(b.column(0).to_numpy()).view(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(_probes(own, bits))))], ["slot"])
+
+        taken = np.zeros(1 << bits, dtype=bool)
+        taken[columns_of(keys.mapInArrow(slots, "slot long").distinct())["slot"]] = True
+        return sc.broadcast((taken, bits))
+
+    def hits(texts: list[str], taken: np.ndarray, bits: int):
+        """(row, position, key) of the texts' n-grams that pass the filter."""
+        row, pos, key = [], [], []
+        for q in sorted(sizes):
+            r, p, h = gram_hashes_many(texts, q)
+            h = _key(h, q)
+            first, second = _probes(h, bits)
+            ok = taken[first]
+            ok[ok] = taken[second[ok]]
+            row.append(r[ok])
+            pos.append(p[ok])
+            key.append(h[ok])
+        return (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((row, np.int64), (pos, np.int64), (key, np.uint64)))
+
+    of_items = filter_of(held.select("key"))
+
+    def count(batches):
         for b in batches:
-            keys = np.array(b.column(0).to_numpy()).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(_probes(keys, bits))))], ["slot"])
+            _, _, key = hits(list(map(alnum_key, batches_of(b, ["text"])[0])), *of_items.value)
+            keys, n = np.unique(key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(as_signed(keys), pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
 
-    taken = np.zeros(1 << bits, dtype=bool)
-    taken[columns_of(held.select("key").mapInArrow(slots, "slot long").distinct())["slot"]] = True  # at most 2^bits rows
-    taken = sc.broadcast(taken)
-
-    def scan(batches):
-        kind = pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int32())]))
-        for b in batches:
-            tbl, ids, raw = batches_of(b, ["tbl", "row_id", "text"])
-            texts = list(map(alnum_key, raw))
-            row, pos, key = [], [], []
-            for q in sorted(sizes):
-                r, p, h = gram_hashes_many(texts, q)
-                h = _key(h, q)
-                first, second = _probes(h, bits)
-                ok = taken.value[first]
-                ok[ok] = taken.value[second[ok]]
-                row.append(r[ok])
-                pos.append(p[ok])
-                key.append(h[ok])
-            row, pos, key = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (row, pos, key))
-            order = np.argsort(row, kind="stable")
-            some, n = np.unique(row, return_counts=True)
-            hits = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.StructArray.from_arrays([pa.array(key[order].astype(np.uint64).view(np.int64)), pa.array(pos[order].astype(np.int32))], ["key", "pos"]))
-            pick = some.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([tbl[k] for k in pick], pa.string()), pa.array([ids[k] for k in pick], pa.int64()), pa.array([texts[k] for k in pick], pa.string()), hits.cast(kind)], ["tbl", "row_id", "norm", "hits"])
-
-    # The only reading of the corpus: texts that hold an n-gram of some item, with the places.
-    met = cut(rows.mapInArrow(scan, "tbl string, row_id long, norm string, hits array<struct<key:long,pos:int>>").dropDuplicates(["tbl", "row_id"]))
-    places = met.select("tbl", "row_id", F.explode("hits").alias("h")).select("tbl", "row_id", "h.key", "h.pos")
-    counted = held.join(places.groupBy("key").agg(F.count("*").alias("n")).hint("merge"), "key", "left")
+    # First reading of the corpus: how often it has the items' n-grams.
+    frequent = rows.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = held.join(frequent.hint("merge"), "key", "left")
     lists = counted.groupBy("item_id", "q").agg(F.array_sort(F.collect_list(F.struct("at", "key", F.coalesce("n", F.lit(0)).alias("n")))).alias("grams"))  # an item's own n-grams
 
     def rare(batches):
@@ -182,6 +186,23 @@ def leaks(corpora: DataFrame, items: DataFrame, *, item_id: str = "item_id", ite
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["key", "item_id", "at"])
 
     seeds = cut(lists.mapInArrow(rare, "key long, item_id long, at int"))
+    of_seeds = filter_of(seeds.select("key").distinct())
+
+    def scan(batches):
+        kind = pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int32())]))
+        for b in batches:
+            tbl, ids, raw = batches_of(b, ["tbl", "row_id", "text"])
+            texts = list(map(alnum_key, raw))
+            row, pos, key = hits(texts, *of_seeds.value)
+            order = np.argsort(row, kind="stable")
+            some, n = np.unique(row, return_counts=True)
+            found = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.StructArray.from_arrays([pa.array(as_signed(key[order]), pa.int64()), pa.array(pos[order].astype(np.int32))], ["key", "pos"]))
+            pick = some.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([tbl[k] for k in pick], pa.string()), pa.array([ids[k] for k in pick], pa.int64()), pa.array([texts[k] for k in pick], pa.string()), found.cast(kind)], ["tbl", "row_id", "norm", "hits"])
+
+    # Second reading: texts that hold a seed, with its places.
+    met = cut(rows.mapInArrow(scan, "tbl string, row_id long, norm string, hits array<struct<key:long,pos:int>>"))
+    places = met.select("tbl", "row_id", F.explode("hits").alias("h")).select("tbl", "row_id", "h.key", "h.pos")
     pairs = salted_join(places, seeds, ["key"], spread=["tbl", "row_id"]).groupBy("tbl", "row_id", "item_id").agg(F.collect_set(F.col("pos") - F.col("at")).alias("shifts"))
     pairs = pairs.join(met.select("tbl", "row_id", "norm").hint("merge"), ["tbl", "row_id"])
     pairs = salted_join(pairs, own.withColumnRenamed("norm", "item"), ["item_id"], spread=["tbl", "row_id"])
@@ -200,4 +221,4 @@ def leaks(corpora: DataFrame, items: DataFrame, *, item_id: str = "item_id", ite
             yield pa.RecordBatch.from_arrays([pa.array(tbl, pa.string()), pa.array(ids, pa.int64()), pa.array(of, pa.int64()), pa.array([r for r, _ in found], pa.int32()), pa.array([_half(len(i)) for i in wanted], pa.int32()), pa.array(score)], ["tbl", "row_id", "item_id", "run", "need", "score"])
 
     aligned = pairs.select("tbl", "row_id", "item_id", "shifts", "norm", "item").mapInArrow(align, "tbl string, row_id long, item_id long, run int, need int, score double")
-    return aligned.where(F.col("score") >= LEAST_SCORE)
+    return aligned.where(F.col("score") >= LEAST_SCORE).dropDuplicates(["tbl", "row_id", "item_id"])
