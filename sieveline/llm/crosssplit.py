@@ -1,9 +1,9 @@
 """Problem 6: the same or almost the same texts in a training split and in evaluation splits.
 
-Texts are reduced to letters and digits and to one row per distinct text. Of each evaluation text, so many disjoint
-rare n-grams are taken that one of them must be whole in every text near enough; their hashes are partitioned and met
-by those of training texts, which are scanned once. The edit distance decides, and the containment of the evaluation
-text's n-grams is reported and held against its lower bound.
+Texts are reduced to letters and digits and to one row per distinct text. Each evaluation text is cut into segments, of
+which every one gives its rarest n-gram; their hashes are partitioned and met by those of training texts, which are
+scanned once. Containment decides which pairs go on: as an edit touches one segment at most, so many of the n-grams
+must be in the training text, each at a place that the edits allow. The edit distance is an exact check of what is left.
 """
 
 from __future__ import annotations
@@ -14,14 +14,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import alnum_key, as_signed, batches_of, code_points, columns_of, cut, gram_hashes, gram_hashes_many
+from .shared import alnum_key, as_signed, batches_of, columns_of, cut, gram_hashes_many, salted_join
 
-#: Code points of an n-gram of the containment, and of a window by which texts meet.
-GRAM, WINDOW = 5, 7
-#: Counters of the sketch of window frequencies (2 MB) and bits of the filter of taken windows, whatever the corpus.
-SKETCH_BITS, FILTER_BITS = 19, 22
-#: Longs of the bitmap of letter pairs that accompanies a text.
-BITMAP_WORDS = 4
+#: Letters of an n-gram, and segments beyond those that edits may touch (fewer in texts too short for them).
+WINDOW, SPARE = 7, 2
+#: Counters of the sketch of n-gram frequencies (2 MB), bits of the filter of taken n-grams at most (16 MB).
+SKETCH_BITS, MOST_FILTER_BITS = 19, 24
+#: Rows of an n-gram (by the sketch) that one task takes.
+HOT = 20_000
 
 
 def edits_allowed(n: int, share: float) -> int:
@@ -29,38 +29,21 @@ def edits_allowed(n: int, share: float) -> int:
     return int(share * int(n / (1 - share)) + 1e-9)
 
 
-def rarest_windows(cost: np.ndarray, wanted: int) -> list[int]:
-    """Starts of ``wanted`` disjoint windows of least total cost; cost[i] is that of the window that starts at i.
-
-    An edit touches at most one of disjoint windows: of k + 1, one is whole in every text within k edits."""
-    n = len(cost)
-    big = np.int64(1) << 50
-    best = np.full((n + WINDOW, wanted + 1), big, dtype=np.int64)  # best[i, j]: j windows among the first i letters
-    best[:, 0] = 0
-    took = np.zeros((n + WINDOW, wanted + 1), dtype=bool)
-    for i in range(WINDOW, n + WINDOW):
-        with_last = best[i - WINDOW, :-1] + cost[i - WINDOW]
-        took[i, 1:] = with_last < best[i - 1, 1:]
-        best[i, 1:] = np.where(took[i, 1:], with_last, best[i - 1, 1:])
-    out, i, j = [], n + WINDOW - 1, wanted
-    while j and i >= WINDOW:
-        if took[i, j]:
-            out.append(i - WINDOW)
-            i, j = i - WINDOW, j - 1
-        else:
-            i -= 1
-    if j:
-        raise ValueError("the text is too short for that many windows")
-    return out[::-1]
-
-
-def _bitmaps(texts: list[str]) -> pa.Array:
-    """Per text, which of 64 * BITMAP_WORDS slots its letter pairs fall into."""
-    row, _, h = gram_hashes_many(texts, 2)
-    held = np.zeros((len(texts), 64 * BITMAP_WORDS), dtype=bool)
-    held[row, (h % np.uint64(64 * BITMAP_WORDS)).astype(np.int64)] = True
-    words = np.packbits(held, axis=1).view(np.int64).reshape(-1)
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, BITMAP_WORDS), pa.int32()), pa.array(words))
+def segments(n: int, share: float) -> tuple[int, int]:
+    """(segments of a text of n letters, how many of their n-grams must be in a text near enough)."""
+    edits = edits_allowed(n, share)
+    wanted = min(edits + 1 + SPARE, n // WINDOW)
+    if wanted <= edits:
+        raise ValueError("the text is too short for that many segments")
+    return wanted, wanted - edits
+
+
+def rarest_windows(cost: np.ndarray, wanted: int) -> np.ndarray:
+    """The start of the cheapest n-gram in each of ``wanted`` segments of a text; cost[i] is that of the n-gram that
+    starts at i. Segments are disjoint, so an edit touches at most one of the n-grams. Linear in the text."""
+    n = len(cost) + WINDOW - 1
+    edges = np.arange(wanted + 1) * n // wanted
+    return np.array([a + int(cost[a : z - WINDOW + 1].argmin()) for a, z in zip(edges[:-1], edges[1:])], dtype=np.int64)
 
 
 def _keyed(batches):
@@ -78,8 +61,9 @@ def cross_split(texts: DataFrame, *, train: str = "train", share: float = 0.08,
 
     members: (tbl, key, id, split, source), key standing for all texts of the same letters and digits. links:
     (tbl, eval_key, train_key, edits, containment) between different texts of an evaluation split and of ``train``
-    that differ in at most ``share`` of the longer one's letters and digits; no link is dropped. Texts under
-    ``shortest`` letters and digits (which must leave room for the windows, see edits_allowed), null ids and null splits take no part; an empty table gives empty results."""
+    that differ in at most ``share`` of the longer one's letters and digits; no link is dropped. containment: the share of
+    the evaluation text's taken n-grams that the training text has. Texts under ``shortest`` letters and digits (which
+    must leave room for the n-grams, see segments), null ids and null splits take no part; an empty table gives empty results."""
     spark = texts.sparkSession
     keyed = texts.where("id IS NOT NULL AND split IS NOT NULL AND text IS NOT NULL").select("tbl", "id", "split", "source", "text").mapInArrow(_keyed, "tbl string, id long, split string, source string, key binary, norm string, n int")
     keyed = keyed.where(F.col("n") >= shortest)
@@ -95,7 +79,7 @@ def cross_split(texts: DataFrame, *, train: str = "train", share: float = 0.08,
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["slot", "n"])
 
-    # At most 2^SKETCH_BITS rows. The sketch only steers which windows are taken; no choice of them loses a pair.
+    # At most 2^SKETCH_BITS rows. The sketch only steers which n-grams are taken; no choice of them loses a pair.
     slots = columns_of(distinct.select("norm").mapInArrow(sketch, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")))
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
     counts[slots["slot"]] = np.minimum(slots["n"], 2**31 - 1)
@@ -104,70 +88,87 @@ def cross_split(texts: DataFrame, *, train: str = "train", share: float = 0.08,
     def chosen(batches):
         for b in batches:
             tbl, key, norm = batches_of(b, ["tbl", "key", "norm"])
-            rows, hashes = [], []
+            row, pos, h = gram_hashes_many(norm, WINDOW)
+            cost = counts.value[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+            ends = np.cumsum(np.bincount(row, minlength=len(norm)))
+            rows, at, needs, wants = [], [], [], []
             for i, t in enumerate(norm):
-                h = gram_hashes(code_points(t), WINDOW)
-                picked = rarest_windows(counts.value[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], edits_allowed(len(t), share) + 1)
-                rows += [i] * len(picked)
-                hashes.append(h[picked])
-            pick = pa.array(rows, pa.int64())
-            grams = as_signed(np.concatenate(hashes)) if hashes else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(tbl, pa.string()).take(pick), pa.array(key, pa.binary()).take(pick), pa.array([len(t) for t in norm], pa.int32()).take(pick), pa.array(grams), _bitmaps(norm).take(pick)], ["tbl", "eval_key", "n_e", "gram", "e"])
-
-    left = cut(distinct.where("in_eval").select("tbl", "key", "norm").mapInArrow(chosen, "tbl string, eval_key binary, n_e int, gram long, e array<long>").distinct())
-
-    def bits(batches):
+                wanted, need = segments(len(t), share)
+                lo = int(ends[i - 1]) if i else 0
+                at.append(lo + rarest_windows(cost[lo : int(ends[i])], wanted))
+                rows += [i] * wanted
+                needs += [need] * wanted
+                wants += [wanted] * wanted
+            at = np.concatenate(at) if at else np.zeros(0, np.int64)
+            # A hot n-gram is met in several parts: the training rows of each lie in one of them.
+            parts = 1 + cost[at] // HOT
+            rows, needs, wants = (np.repeat(np.array(x, dtype=t), parts) for x, t in ((rows, np.int64), (needs, np.int32), (wants, np.int32)))
+            part = np.arange(len(rows)) - np.repeat(np.cumsum(parts) - parts, parts)
+            at = np.repeat(at, parts)
+            pick, n = pa.array(rows), np.array(list(map(len, norm)), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(tbl, pa.string()).take(pick), pa.array(as_signed(h[at])), pa.array(part.astype(np.int32)), pa.array(key, pa.binary()).take(pick), pa.array(n[rows]), pa.array(pos[at].astype(np.int32)), pa.array(needs), pa.array(wants)], ["tbl", "gram", "part", "eval_key", "n_e", "p_e", "need", "wanted"])
+
+    left = cut(distinct.where("in_eval").select("tbl", "key", "norm").mapInArrow(chosen, "tbl string, gram long, part int, eval_key binary, n_e int, p_e int, need int, wanted int"))
+    bits = int(np.clip(np.ceil(np.log2(16 * max(1, left.count()))), 12, MOST_FILTER_BITS))
+
+    def probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+    def taken(batches):
         for b in batches:
             h = np.array(b.column(0).to_numpy()).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64))], ["bit"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(probes(h))))], ["bit"])
 
-    # At most 2^FILTER_BITS rows: training windows that no evaluation text has taken never leave their task.
-    held = np.zeros(1 << FILTER_BITS, dtype=bool)
-    held[columns_of(left.select("gram").mapInArrow(bits, "bit long").distinct())["bit"]] = True
+    # At most 2^bits rows: training n-grams that no evaluation text has taken never leave their task.
+    held = np.zeros(1 << bits, dtype=bool)
+    held[columns_of(left.select("gram").mapInArrow(taken, "bit long").distinct())["bit"]] = True
     held = spark.sparkContext.broadcast(held)
 
     def windows(batches):
         for b in batches:
             tbl, key, norm = batches_of(b, ["tbl", "key", "norm"])
-            row, _, h = gram_hashes_many(norm, WINDOW)
-            ok = held.value[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
-            pick = pa.array(row[ok], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(tbl, pa.string()).take(pick), pa.array(key, pa.binary()).take(pick), pa.array([len(t) for t in norm], pa.int32()).take(pick), pa.array(as_signed(h[ok])), _bitmaps(norm).take(pick)], ["tbl", "train_key", "n_t", "gram", "t"])
-
-    right = distinct.where("in_train").select("tbl", "key", "norm").mapInArrow(windows, "tbl string, train_key binary, n_t int, gram long, t array<long>").distinct()
+            row, pos, h = gram_hashes_many(norm, WINDOW)
+            first, second = probes(h)
+            ok = held.value[first]
+            ok[ok] = held.value[second[ok]]
+            row, pos, h = row[ok], pos[ok], h[ok]
+            parts = 1 + counts.value[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] // HOT
+            salt = np.array([int.from_bytes(k[:6], "little") for k in key], dtype=np.int64)
+            pick, n = pa.array(row), np.array(list(map(len, norm)), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(tbl, pa.string()).take(pick), pa.array(as_signed(h)), pa.array((salt[row] % parts).astype(np.int32)), pa.array(key, pa.binary()).take(pick), pa.array(n[row]), pa.array(pos.astype(np.int32))], ["tbl", "gram", "part", "train_key", "n_t", "p_t"])
+
+    right = distinct.where("in_train").select("tbl", "key", "norm").mapInArrow(windows, "tbl string, gram long, part int, train_key binary, n_t int, p_t int")
     most = F.floor(F.greatest("n_e", "n_t") * share + 1e-9)
-    # An edit changes at most two letter pairs on either side, so the bitmaps of near texts differ in few places.
-    apart = F.bit_count(F.col("e")[0].bitwiseXOR(F.col("t")[0]))
-    for k in range(1, BITMAP_WORDS):
-        apart = apart + F.bit_count(F.col("e")[k].bitwiseXOR(F.col("t")[k]))
-    near = (F.abs(F.col("n_e") - F.col("n_t")) <= most) & (F.col("eval_key") != F.col("train_key")) & (apart <= 4 * most)
-    pairs = left.join(right, ["tbl", "gram"]).where(near).select("tbl", "eval_key", "train_key").distinct()
+    near = (F.abs(F.col("n_e") - F.col("n_t")) <= most) & (F.abs(F.col("p_e") - F.col("p_t")) <= most) & (F.col("eval_key") != F.col("train_key"))
+    met = left.join(right.hint("merge"), ["tbl", "gram", "part"]).where(near)
+    # A training text that has an n-gram twice within reach counts it once.
+    pairs = met.groupBy("tbl", "eval_key", "train_key").agg(F.size(F.collect_set("p_e")).alias("held"), F.first("need").alias("need"), F.first("wanted").alias("wanted")).where("held >= need")
+    pairs = pairs.select("tbl", "eval_key", "train_key", (F.col("held") / F.col("wanted")).alias("containment"))
     norm = distinct.select("tbl", "key", "norm")
-    pairs = pairs.join(norm.withColumnsRenamed({"key": "eval_key", "norm": "a"}), ["tbl", "eval_key"]).join(norm.withColumnsRenamed({"key": "train_key", "norm": "b"}), ["tbl", "train_key"])
-
-    def contained(batches):
-        for b in batches:
-            a, t = batches_of(b, ["a", "b"])
-            share_of = []
-            for x, y in zip(a, t):
-                gx, gy = ({s[i : i + GRAM] for i in range(len(s) - GRAM + 1)} for s in (x, y))
-                share_of.append(len(gx & gy) / len(gx))
-            ok = [s >= 1 - int(share * max(len(x), len(y)) + 1e-9) * GRAM / max(1, len({x[i : i + GRAM] for i in range(len(x) - GRAM + 1)})) - 1e-9 for s, x, y in zip(share_of, a, t)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(share_of, pa.float64())], [*b.schema.names, "containment"]).filter(pa.array(ok, pa.bool_()))
-
-    # The banded distance is native and costs less than the containment of n-grams, so it comes first.
+    pairs = pairs.join(norm.withColumnsRenamed({"key": "eval_key", "norm": "a"}).hint("merge"), ["tbl", "eval_key"]).join(norm.withColumnsRenamed({"key": "train_key", "norm": "b"}).hint("merge"), ["tbl", "train_key"])
     pairs = pairs.withColumn("most", F.floor(F.greatest(F.length("a"), F.length("b")) * share + 1e-9).cast("int"))
-    pairs = pairs.withColumn("edits", F.expr("levenshtein(a, b, most)")).where("edits >= 0")
-    links = pairs.select("tbl", "eval_key", "train_key", "edits", "a", "b").mapInArrow(contained, "tbl string, eval_key binary, train_key binary, edits int, a string, b string, containment double")
+    links = pairs.withColumn("edits", F.expr("levenshtein(a, b, most)")).where("edits >= 0")
     return members, links.select("tbl", "eval_key", "train_key", "edits", "containment")
 
 
+def overlap_classes(members: DataFrame, links: DataFrame, *, train: str = "train") -> DataFrame:
+    """Rows (tbl, class_id, split, records, exact, near): every class of equal texts of an evaluation split that overlaps
+    with training, by its smallest record; how many records of the split it stands for, how many training records are
+    equal, and how many different training texts are almost equal. Copies aren't expanded into pairs."""
+    e = members.where(F.col("split") != train).groupBy("tbl", "key", "split").agg(F.min("id").alias("class_id"), F.countDistinct("id").alias("records")).withColumnRenamed("key", "eval_key")
+    exact = members.where(F.col("split") == train).groupBy("tbl", F.col("key").alias("eval_key")).agg(F.countDistinct("id").alias("exact"))
+    near = links.groupBy("tbl", "eval_key").agg(F.countDistinct("train_key").alias("near"))
+    out = e.join(exact.hint("merge"), ["tbl", "eval_key"], "left").join(near.hint("merge"), ["tbl", "eval_key"], "left").fillna(0, ["exact", "near"])
+    return out.where("exact + near > 0").select("tbl", "class_id", "split", "records", "exact", "near")
+
+
 def overlap_pairs(members: DataFrame, links: DataFrame, *, train: str = "train") -> DataFrame:
     """Rows (tbl, train_id, eval_id, split, source): every overlap, expanded from the texts to their records."""
     t = members.where(F.col("split") == train).select("tbl", F.col("key").alias("train_key"), F.col("id").alias("train_id"))
     e = members.where(F.col("split") != train).select("tbl", F.col("key").alias("eval_key"), F.col("id").alias("eval_id"), "split", "source")
     same = e.select("tbl", "eval_key", F.col("eval_key").alias("train_key")).distinct()
-    return e.join(links.select("tbl", "eval_key", "train_key").unionByName(same), ["tbl", "eval_key"]).join(t, ["tbl", "train_key"]).select("tbl", "train_id", "eval_id", "split", "source").distinct()
+    linked = salted_join(t, links.select("tbl", "eval_key", "train_key").unionByName(same), ["tbl", "train_key"], spread=["train_id"])
+    return salted_join(linked.select("tbl", "eval_key", "train_id"), e, ["tbl", "eval_key"], spread=["train_id"]).select("tbl", "train_id", "eval_id", "split", "source").distinct()
 
 
 def overlap_counts(members: DataFrame, links: DataFrame, *, train: str = "train") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .crosssplit import cross_split, overlap_counts, overlap_pairs
+from .crosssplit import cross_split, overlap_classes, overlap_counts, overlap_pairs
 from .formatdup import format_duplicates
 from .garble import garbled
 from .leak import leaks
@@ -117,6 +117,10 @@ def p6_overlap_counts(spark: SparkSession, d: str) -> DataFrame:
     return overlap_counts(*cross_split(_turns(spark, d)))
 
 
+def p6_overlap_classes(spark: SparkSession, d: str) -> DataFrame:
+    return overlap_classes(*cross_split(_turns(spark, d)))
+
+
 def _lengths(spark, d):
     return count_tokens(table(spark, d, "documents").select("doc_id", "text"))
 

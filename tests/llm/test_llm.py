@@ -225,14 +225,24 @@ def test_cross_split_against_brute_force(spark):
     assert got == want and want
     counts = crosssplit.overlap_counts(members, links).agg(F.sum("records").alias("n"), F.sum("near").alias("m")).first()
     assert counts.m <= counts.n
+    classes = crosssplit.overlap_classes(members, links).collect()
+    by_class = {}
+    for i, j in want:
+        by_class.setdefault(j, set()).add(i)
+    assert {r.class_id for r in classes} <= set(by_class) and sum(r.records for r in classes) == len(by_class)
     m, k = crosssplit.cross_split(df.limit(0))
     assert crosssplit.overlap_pairs(m, k).count() == 0
 
 
 def test_rarest_windows():
     cost = np.array([5, 1, 9, 9, 9, 9, 9, 9, 0, 2, 7, 7, 7, 7, 7, 3])
-    picked = crosssplit.rarest_windows(cost, 2)
-    assert picked == [1, 8]
+    assert crosssplit.rarest_windows(cost, 2).tolist() == [1, 15]
+    assert crosssplit.rarest_windows(np.arange(14), 1).tolist() == [0]
+    for n in range(20, 400):
+        wanted, need = crosssplit.segments(n, 0.08)
+        at = crosssplit.rarest_windows(np.zeros(n - crosssplit.WINDOW + 1), wanted)
+        assert len(at) == wanted and (np.diff(at) >= crosssplit.WINDOW).all() and at[-1] + crosssplit.WINDOW <= n
+        assert need == wanted - crosssplit.edits_allowed(n, 0.08) >= 1
 
 
 def test_chain_field_learns():
