@@ -1,9 +1,10 @@
 """Problem 6: the same or almost the same texts in a training split and in evaluation splits.
 
-Texts are reduced to letters and digits and to one row per distinct text. Each evaluation text is cut into segments, of
-which every one gives its rarest n-gram; their hashes are partitioned and met by those of training texts, which are
-scanned once. Containment decides which pairs go on: as an edit touches one segment at most, so many of the n-grams
-must be in the training text, each at a place that the edits allow. The edit distance is an exact check of what is left.
+Texts are reduced to letters and digits and to one row per distinct text. Of each evaluation text so many disjoint rare
+n-grams are taken that edits can't touch all; their hashes are partitioned and met by those of training texts, which
+are scanned once. Containment decides which pairs go on: as an edit touches one of the n-grams at most, a known number
+of them must be in the training text, each at a place that the edits allow. The edit distance is an exact check of what
+is left.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .shared import alnum_key, as_signed, batches_of, columns_of, cut, gram_hashes_many, salted_join
 
-#: Letters of an n-gram, and segments beyond those that edits may touch (fewer in texts too short for them).
-WINDOW, SPARE = 7, 2
+#: Letters of an n-gram, n-grams beyond those that edits may touch (fewer in texts too short for them), and letters over
+#: which the choice of n-grams is weighed together.
+WINDOW, SPARE, BLOCK = 6, 2, 512
 #: Counters of the sketch of n-gram frequencies (2 MB), bits of the filter of taken n-grams at most (16 MB).
 SKETCH_BITS, MOST_FILTER_BITS = 19, 24
 #: Rows of an n-gram (by the sketch) that one task takes.
@@ -29,21 +31,42 @@ def edits_allowed(n: int, share: float) -> int:
     return int(share * int(n / (1 - share)) + 1e-9)
 
 
-def segments(n: int, share: float) -> tuple[int, int]:
-    """(segments of a text of n letters, how many of their n-grams must be in a text near enough)."""
+def windows_wanted(n: int, share: float) -> tuple[int, int]:
+    """(n-grams taken of a text of n letters, how many of them must be in a text near enough)."""
     edits = edits_allowed(n, share)
     wanted = min(edits + 1 + SPARE, n // WINDOW)
     if wanted <= edits:
-        raise ValueError("the text is too short for that many segments")
+        raise ValueError("the text is too short for that many n-grams")
     return wanted, wanted - edits
 
 
 def rarest_windows(cost: np.ndarray, wanted: int) -> np.ndarray:
-    """The start of the cheapest n-gram in each of ``wanted`` segments of a text; cost[i] is that of the n-gram that
-    starts at i. Segments are disjoint, so an edit touches at most one of the n-grams. Linear in the text."""
+    """Starts of ``wanted`` disjoint n-grams of least total cost; cost[i] is that of the n-gram that starts at i. An
+    edit touches at most one of them. Texts beyond BLOCK letters are cut into blocks that share the number out, so
+    work and memory grow with the text."""
     n = len(cost) + WINDOW - 1
-    edges = np.arange(wanted + 1) * n // wanted
-    return np.array([a + int(cost[a : z - WINDOW + 1].argmin()) for a, z in zip(edges[:-1], edges[1:])], dtype=np.int64)
+    if n > BLOCK:
+        blocks = -(-n // BLOCK)
+        edges = np.arange(blocks + 1) * n // blocks
+        own = np.diff(np.arange(blocks + 1) * wanted // blocks)
+        if all(k * WINDOW <= z - a for k, a, z in zip(own, edges[:-1], edges[1:])):
+            return np.concatenate([a + rarest_windows(cost[a : z - WINDOW + 1], int(k)) for k, a, z in zip(own, edges[:-1], edges[1:])])
+    big = np.int64(1) << 50
+    best = np.full((n + 1, wanted + 1), big, dtype=np.int64)  # best[i, j]: j n-grams among the first i letters
+    best[:, 0] = 0
+    took = np.zeros((n + 1, wanted + 1), dtype=bool)
+    for i in range(WINDOW, n + 1):
+        with_last = best[i - WINDOW, :-1] + cost[i - WINDOW]
+        took[i, 1:] = with_last < best[i - 1, 1:]
+        best[i, 1:] = np.where(took[i, 1:], with_last, best[i - 1, 1:])
+    out, i, j = [], n, wanted
+    while j:
+        if took[i, j]:
+            out.append(i - WINDOW)
+            i, j = i - WINDOW, j - 1
+        else:
+            i -= 1
+    return np.array(out[::-1], dtype=np.int64)
 
 
 def _keyed(batches):
@@ -63,7 +86,7 @@ def cross_split(texts: DataFrame, *, train: str = "train", share: float = 0.08,
     (tbl, eval_key, train_key, edits, containment) between different texts of an evaluation split and of ``train``
     that differ in at most ``share`` of the longer one's letters and digits; no link is dropped. containment: the share of
     the evaluation text's taken n-grams that the training text has. Texts under ``shortest`` letters and digits (which
-    must leave room for the n-grams, see segments), null ids and null splits take no part; an empty table gives empty results."""
+    must leave room for the n-grams, see windows_wanted), null ids and null splits take no part; an empty table gives empty results."""
     spark = texts.sparkSession
     keyed = texts.where("id IS NOT NULL AND split IS NOT NULL AND text IS NOT NULL").select("tbl", "id", "split", "source", "text").mapInArrow(_keyed, "tbl string, id long, split string, source string, key binary, norm string, n int")
     keyed = keyed.where(F.col("n") >= shortest)
@@ -93,7 +116,7 @@ def cross_split(texts: DataFrame, *, train: str = "train", share: float = 0.08,
             ends = np.cumsum(np.bincount(row, minlength=len(norm)))
             rows, at, needs, wants = [], [], [], []
             for i, t in enumerate(norm):
-                wanted, need = segments(len(t), share)
+                wanted, need = windows_wanted(len(t), share)
                 lo = int(ends[i - 1]) if i else 0
                 at.append(lo + rarest_windows(cost[lo : int(ends[i])], wanted))
                 rows += [i] * wanted

@@ -235,13 +235,16 @@ def test_cross_split_against_brute_force(spark):
 
 
 def test_rarest_windows():
-    cost = np.array([5, 1, 9, 9, 9, 9, 9, 9, 0, 2, 7, 7, 7, 7, 7, 3])
-    assert crosssplit.rarest_windows(cost, 2).tolist() == [1, 15]
-    assert crosssplit.rarest_windows(np.arange(14), 1).tolist() == [0]
-    for n in range(20, 400):
-        wanted, need = crosssplit.segments(n, 0.08)
-        at = crosssplit.rarest_windows(np.zeros(n - crosssplit.WINDOW + 1), wanted)
-        assert len(at) == wanted and (np.diff(at) >= crosssplit.WINDOW).all() and at[-1] + crosssplit.WINDOW <= n
+    w = crosssplit.WINDOW
+    rnd = np.random.default_rng(6)
+    for _ in range(20):
+        cost = rnd.integers(0, 9, size=15)
+        at = crosssplit.rarest_windows(cost, 2)
+        assert at[1] - at[0] >= w and cost[at].sum() == min(cost[a] + cost[b] for a in range(15) for b in range(a + w, 15))
+    for n in (20, 21, 33, 60, 100, 511, 512, 513, 2000, 30000):
+        wanted, need = crosssplit.windows_wanted(n, 0.08)
+        at = crosssplit.rarest_windows(np.zeros(n - w + 1, dtype=np.int64), wanted)
+        assert len(at) == wanted and (np.diff(at) >= w).all() and at[-1] + w <= n
         assert need == wanted - crosssplit.edits_allowed(n, 0.08) >= 1
 
 
