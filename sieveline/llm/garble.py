@@ -2,15 +2,18 @@
 
 1. Document frequencies of characters and frequencies of neighbouring characters are counted over the whole corpus.
 2. Stretches that turn into frequent characters when re-encoded by a wrong codec and decoded by the right one become
-   candidates. Each is restored on trial and, with its neighbouring ASCII text (digits masked), looked up among the
-   clean runs of the corpus that stand between the same ASCII text: its near-twins. A codec pair that is confirmed
-   by such aligned twins is learned.
-3. Learned pairs are applied to every record; pairs without twins only where far more likely text results. What carries the marks
-   of a lossy decoding is reported as not recoverable.
+   candidates. Each is restored on trial and its line joined with clean near-twins: lines of the same text once
+   non-ASCII characters are stripped (and digits masked), aligned run by run. A codec pair is learned if its restored
+   runs equal the aligned ones more often than chance lets them, which is measured by joining the same runs with
+   other lines' stripped texts.
+3. Learned pairs are applied to every record; a pair without twins of its own only if a learned one shares a codec with
+   it, and only where far more likely text results. What carries the marks of a lossy decoding is reported as not
+   recoverable.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -27,8 +30,8 @@ from .shared import batches_of, code_points, columns_of, cut
 COMMON_SHARE = 0.004
 #: In small corpora, texts that must contain it.
 LEAST_TEXTS = 6
-#: Aligned twins (distinct contexts) that make a codec pair learned.
-MIN_TWINS = 3
+#: A codec pair is learned if as many aligned twins as it has would come by chance with less than this probability.
+CHANCE = 1e-4
 #: Log likelihood that a restored stretch must gain under a learned pair, and under one without twins.
 GAIN_LEARNED, GAIN_OTHER = 4.0, 14.0
 #: Slots of the sketch of neighbouring characters: 8 MB, whatever the corpus.
@@ -76,7 +79,6 @@ PAIRS = [
 ]
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
-_TOKEN = re.compile(r"[\x00-\x7f]+|[^\x00-\x7f]+")
 _DIGITS = re.compile(r"\d+")
 #: What the lead byte and the next byte of a UTF-8 character become under Latin, Cyrillic and Macintosh codecs.
 _LEAD_AND_TRAIL = re.compile("[Â-ô][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|[В-Яа-п][\xa0-\xbfЂ-ЏђёѓєѕіїјљњћќўџҐґ‘’“”„†‡•–—…‰‹›€™№]|[√‡‚≈ƒ¬Œœ][^\x00-\x7f]")
@@ -237,37 +239,59 @@ def candidates(text: str, abc: Alphabet):
                     yield k, a, z, new, gain
 
 
-def _slot(left: str, run: str, right: str) -> int:
-    """Hash of a run between its neighbouring ASCII texts, digits masked."""
-    return xxhash.xxh3_64_intdigest(f"{_DIGITS.sub('0', left[-24:])}\x00{run}\x00{_DIGITS.sub('0', right[:24])}".encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
-def _slots(text: str, restored: tuple[int, int, str] | None = None):
-    """Slots of all non-ASCII runs of a clean text, or of the one that holds the restored stretch."""
-    if restored:
-        lo, hi, new = restored
-        a, z = lo, hi
-        while a > 0 and text[a - 1] > "\x7f":
-            a -= 1
-        while z < len(text) and text[z] > "\x7f":
-            z += 1
-        whole = text[max(0, a - 24) : a] + text[a:lo] + new + text[hi:z] + text[z : z + 24]
-        tokens, reach = _TOKEN.findall(whole), (max(0, a - 24), lo)
-        at = 0
-        for i, t in enumerate(tokens):
-            if t > "\x7f" and at + len(t) > lo - reach[0] and at < lo - reach[0] + len(new):
-                yield _slot(tokens[i - 1] if i else "", t, tokens[i + 1] if i + 1 < len(tokens) else "")
-            at += len(t)
-    else:
-        tokens = _TOKEN.findall(text)
-        for i, t in enumerate(tokens):
-            if t > "\x7f":
-                yield _slot(tokens[i - 1] if i else "", t, tokens[i + 1] if i + 1 < len(tokens) else "")
-
-
-def restore(text: str, tried: list[tuple], learned: set[int]) -> tuple[str, int, bool]:
+def _stripped(line: str) -> str:
+    """The line without non-ASCII characters (a mark stands where a run of them was), digits masked."""
+    return _DIGITS.sub("0", _RUN.sub("\x01", line))
+
+
+def _slot(stripped: str, place: int, run: str) -> int:
+    """Hash of a run, its place in the line, and the line's stripped text."""
+    return xxhash.xxh3_64_intdigest(f"{stripped}\x00{place}\x00{run}".encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _slots(text: str):
+    """Slots of all non-ASCII runs of a clean text."""
+    for line in text.split("\n"):
+        if not line.isascii():
+            stripped = _stripped(line)
+            for k, run in enumerate(_RUN.findall(line)):
+                yield _slot(stripped, k, run)
+
+
+def _restored_runs(text: str, lo: int, hi: int, new: str) -> tuple[str, list[tuple[int, str]]]:
+    """(stripped text, [(place, run)]) of the line of a stretch restored on trial: the runs that hold what is new."""
+    a, z = text.rfind("\n", 0, lo) + 1, text.find("\n", hi)
+    line = text[a:lo] + new + (text[hi:] if z < 0 else text[hi:z])
+    return _stripped(line), [(k, m[0]) for k, m in enumerate(_RUN.finditer(line)) if m.start() < lo - a + len(new) and m.end() > lo - a]
+
+
+def learned_pairs(counts: dict[int, tuple[int, int]], chance: tuple[int, int]) -> set[int]:
+    """The pairs whose aligned twins aren't chance. counts: (tried slots, of which have a twin) of each pair; chance: the
+    same of all pairs' runs under other lines' stripped texts."""
+    rate = (chance[1] + 0.5) / (chance[0] + 100)  # where chance was hardly tried, one in two hundred
+    out = set()
+    for k, (tried, equal) in counts.items():
+        mean = tried * rate
+        term, tail = math.exp(-mean), 1.0
+        for n in range(equal):  # the probability of as many or more, by the Poisson law
+            tail -= term
+            term *= mean / (n + 1)
+            if tail < CHANCE:
+                break
+        if equal and tail < CHANCE:
+            out.add(k)
+    return out
+
+
+def related(learned: set[int]) -> set[int]:
+    """The pairs that share their wrong or their right codec with a learned one."""
+    wrong, right = {PAIRS[k][0] for k in learned}, {PAIRS[k][1] for k in learned}
+    return {k for k, (w, r) in enumerate(PAIRS) if w in wrong or r in right}
+
+
+def restore(text: str, tried: list[tuple], learned: set[int], others: set[int]) -> tuple[str, int, bool]:
     """Of the candidates: (text with the accepted stretches restored, their number, whether lossy marks remain)."""
-    found = sorted(((k in learned, gain, hi - lo, -k, lo, hi, new) for k, lo, hi, new, gain in tried if gain >= (GAIN_LEARNED if k in learned else GAIN_OTHER)), reverse=True)
+    found = sorted(((k in learned, gain, hi - lo, -k, lo, hi, new) for k, lo, hi, new, gain in tried if k in learned and gain >= GAIN_LEARNED or k in others and gain >= GAIN_OTHER), reverse=True)
     taken: list[tuple[int, int, str]] = []
     for *_, lo, hi, new in found:
         if all(hi <= a or lo >= z for a, z, _ in taken):
@@ -298,7 +322,7 @@ def garbled(texts: DataFrame) -> DataFrame:
 
     def suspects(batches):
         for b in batches:
-            out, clean = [], set()
+            out, clean, before = [], set(), None
             for tbl, i, t in zip(*batches_of(b, ["tbl", "row_id", "text"])):
                 if t.isascii():
                     continue
@@ -307,26 +331,34 @@ def garbled(texts: DataFrame) -> DataFrame:
                     continue
                 tried = [c for c in candidates(t, abc.value) if c[4] >= GAIN_LEARNED]
                 if tried or _LOST.search(t):
-                    slots = [(s, k) for k, lo, hi, new, _ in tried for s in _slots(t, (lo, hi, new))]
+                    slots = []
+                    for k, lo, hi, new, _ in tried:
+                        stripped, runs = _restored_runs(t, lo, hi, new)
+                        slots += [(_slot(stripped, n, run), k) for n, run in runs]
+                        if before not in (None, stripped):  # what chance gives: the runs under another line's stripped text
+                            slots += [(_slot(before, n, run), -1) for n, run in runs]
+                        before = stripped
                     out.append((tbl, i, t, [dict(zip(("pair", "lo", "hi", "new", "gain"), c)) for c in tried], [s for s, _ in slots], [k for _, k in slots]))
             out.append((None, None, None, None, list(clean), None))
             types = (pa.string(), pa.int64(), pa.string(), _TRIED, pa.list_(pa.int64()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], ["tbl", "row_id", "text", "tried", "slots", "kinds"])
 
-    # Suspects with their candidates, and (without a row_id) the contexts of clean texts, each once in a batch.
+    # Suspects with their candidates, and (without a row_id) the slots of clean texts, each once in a batch.
     held = cut(texts.mapInArrow(suspects, "tbl string, row_id long, text string, tried array<struct<pair:int,lo:int,hi:int,new:string,gain:double>>, slots array<long>, kinds array<int>"))
     clean = held.where("row_id IS NULL").select(F.explode("slots").alias("slot")).distinct()
     held = held.where("row_id IS NOT NULL")
-    # A context that stands in many texts costs one row on either side.
+    # A line that stands in many texts costs one row on either side.
     tried = held.select(F.explode(F.arrays_zip("slots", "kinds")).alias("z")).select("z.slots", "z.kinds").distinct().toDF("slot", "pair")
-    twins = tried.join(clean, "slot").groupBy("pair").count()
-    learned = sc.broadcast({r.pair for r in twins.collect() if r["count"] >= MIN_TWINS})
+    twins = tried.join(clean.withColumn("twin", F.lit(1)).hint("merge"), "slot", "left").groupBy("pair").agg(F.count("*").alias("tried"), F.count("twin").alias("equal"))
+    counts = {r.pair: (r.tried, r.equal) for r in twins.collect()}  # one row per codec pair
+    own = learned_pairs({k: v for k, v in counts.items() if k >= 0}, counts.get(-1, (0, 0)))
+    learned = sc.broadcast((own, related(own)))
 
     def apply(batches):
         for b in batches:
             out = []
             for tbl, i, t, tried in zip(*batches_of(b, ["tbl", "row_id", "text", "tried"])):
-                fixed, n, lost = restore(t, [tuple(c.values()) for c in tried], learned.value)
+                fixed, n, lost = restore(t, [tuple(c.values()) for c in tried], *learned.value)
                 if n or lost:
                     out.append((tbl, i, fixed, n, lost))
             cols = list(zip(*out)) or [()] * 5

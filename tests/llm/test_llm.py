@@ -109,6 +109,22 @@ def test_frequent_lossy_marks_stay_garbled(spark):
     assert got == {1000 + i: True for i in range(40)}
 
 
+def test_pairs_are_learned_by_rate_against_chance():
+    assert garble.learned_pairs({0: (50, 5), 1: (50, 0)}, (1000, 0)) == {0}
+    assert garble.learned_pairs({0: (10**9, 300)}, (10**9, 290)) == set()  # as often as chance, however often
+    assert garble.learned_pairs({0: (10**9, 900)}, (10**9, 290)) == {0}
+    assert garble.learned_pairs({0: (1, 1)}, (0, 0)) == set()
+    k = garble.PAIRS.index(("latin", "utf-8"))
+    assert garble.PAIRS.index(("cp1250", "utf-8")) in garble.related({k}) and garble.PAIRS.index(("big5", "gbk")) not in garble.related({k})
+
+
+def test_twins_are_lines_stripped_of_other_characters():
+    clean, bad = "Größe: 12 cm, Gefäß\nx", "GrÃ¶ÃŸe: 7 cm, Gefäß"
+    lo = bad.index("Ã")
+    stripped, runs = garble._restored_runs(bad, lo, lo + 4, "öß")
+    assert {garble._slot(stripped, k, r) for k, r in runs} <= set(garble._slots(clean)) and runs == [(0, "öß")]
+
+
 def test_garbled_of_nothing(spark):
     assert garble.garbled(spark.createDataFrame([], "tbl string, row_id long, text string")).count() == 0
 
