@@ -2,10 +2,10 @@
 
 1. Document frequencies of characters and frequencies of neighbouring characters are counted over the whole corpus.
 2. Stretches that turn into frequent characters when re-encoded by a wrong codec and decoded by the right one become
-   candidates. Each is restored on trial and its line joined with clean near-twins: lines of the same text once
-   non-ASCII characters are stripped (and digits masked), aligned run by run. A codec pair is learned if its restored
+   candidates. Each is restored on trial and its sentence joined with clean near-twins: sentences of the same text
+   once non-ASCII characters are stripped (and digits masked), aligned run by run. A codec pair is learned if its restored
    runs equal the aligned ones more often than chance lets them, which is measured by joining the same runs with
-   other lines' stripped texts.
+   other sentences' stripped texts.
 3. Learned pairs are applied to every record; a pair without twins of its own only if a learned one shares a codec with
    it, and only where far more likely text results. What carries the marks of a lossy decoding is reported as not
    recoverable.
@@ -80,6 +80,9 @@ PAIRS = [
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _DIGITS = re.compile(r"\d+")
+#: What parts the sentences that are aligned with each other, and how far back one begins at most.
+_UNIT = re.compile("[\n。！？!?]")
+REACH = 2000
 #: What the lead byte and the next byte of a UTF-8 character become under Latin, Cyrillic and Macintosh codecs.
 _LEAD_AND_TRAIL = re.compile("[Â-ô][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|[В-Яа-п][\xa0-\xbfЂ-ЏђёѓєѕіїјљњћќўџҐґ‘’“”„†‡•–—…‰‹›€™№]|[√‡‚≈ƒ¬Œœ][^\x00-\x7f]")
 _ODD_CASE = re.compile("[А-ЯЁ]{4}|[а-яё][А-ЯЁ]")
@@ -239,35 +242,42 @@ def candidates(text: str, abc: Alphabet):
                     yield k, a, z, new, gain
 
 
-def _stripped(line: str) -> str:
-    """The line without non-ASCII characters (a mark stands where a run of them was), digits masked."""
-    return _DIGITS.sub("0", _RUN.sub("\x01", line))
+def _stripped(unit: str) -> str:
+    """The sentence without non-ASCII characters (a mark stands where a run of them was), digits masked."""
+    return _DIGITS.sub("0", _RUN.sub("\x01", unit))
 
 
 def _slot(stripped: str, place: int, run: str) -> int:
-    """Hash of a run, its place in the line, and the line's stripped text."""
+    """Hash of a run, its place in its sentence, and the sentence's stripped text."""
     return xxhash.xxh3_64_intdigest(f"{stripped}\x00{place}\x00{run}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def _slots(text: str):
     """Slots of all non-ASCII runs of a clean text."""
-    for line in text.split("\n"):
-        if not line.isascii():
-            stripped = _stripped(line)
-            for k, run in enumerate(_RUN.findall(line)):
+    for unit in _UNIT.split(text):
+        if not unit.isascii():
+            stripped = _stripped(unit)
+            for k, run in enumerate(_RUN.findall(unit)):
                 yield _slot(stripped, k, run)
 
 
-def _restored_runs(text: str, lo: int, hi: int, new: str) -> tuple[str, list[tuple[int, str]]]:
-    """(stripped text, [(place, run)]) of the line of a stretch restored on trial: the runs that hold what is new."""
-    a, z = text.rfind("\n", 0, lo) + 1, text.find("\n", hi)
-    line = text[a:lo] + new + (text[hi:] if z < 0 else text[hi:z])
-    return _stripped(line), [(k, m[0]) for k, m in enumerate(_RUN.finditer(line)) if m.start() < lo - a + len(new) and m.end() > lo - a]
+def _restored_runs(text: str, lo: int, hi: int, new: str) -> list[tuple[str, int, str]]:
+    """(stripped sentence, place, run) of the runs that hold what a stretch becomes when it is restored on trial."""
+    ends = [m.end() for m in _UNIT.finditer(text, max(0, lo - REACH), lo)]
+    after = _UNIT.search(text, hi)
+    a, z = ends[-1] if ends else max(0, lo - REACH), after.start() if after else len(text)
+    whole, at, out = text[a:lo] + new + text[hi:z], 0, []
+    for unit in _UNIT.split(whole):
+        if at < lo - a + len(new) and at + len(unit) > lo - a:
+            stripped = _stripped(unit)
+            out += [(stripped, k, m[0]) for k, m in enumerate(_RUN.finditer(unit)) if at + m.start() < lo - a + len(new) and at + m.end() > lo - a]
+        at += len(unit) + 1
+    return out
 
 
 def learned_pairs(counts: dict[int, tuple[int, int]], chance: tuple[int, int]) -> set[int]:
     """The pairs whose aligned twins aren't chance. counts: (tried slots, of which have a twin) of each pair; chance: the
-    same of all pairs' runs under other lines' stripped texts."""
+    same of all pairs' runs under other sentences' stripped texts."""
     rate = (chance[1] + 0.5) / (chance[0] + 100)  # where chance was hardly tried, one in two hundred
     out = set()
     for k, (tried, equal) in counts.items():
@@ -333,11 +343,11 @@ def garbled(texts: DataFrame) -> DataFrame:
                 if tried or _LOST.search(t):
                     slots = []
                     for k, lo, hi, new, _ in tried:
-                        stripped, runs = _restored_runs(t, lo, hi, new)
-                        slots += [(_slot(stripped, n, run), k) for n, run in runs]
-                        if before not in (None, stripped):  # what chance gives: the runs under another line's stripped text
-                            slots += [(_slot(before, n, run), -1) for n, run in runs]
-                        before = stripped
+                        for stripped, n, run in _restored_runs(t, lo, hi, new):
+                            slots.append((_slot(stripped, n, run), k))
+                            if before not in (None, stripped):  # what chance gives: the run under another stripped sentence
+                                slots.append((_slot(before, n, run), -1))
+                            before = stripped
                     out.append((tbl, i, t, [dict(zip(("pair", "lo", "hi", "new", "gain"), c)) for c in tried], [s for s, _ in slots], [k for _, k in slots]))
             out.append((None, None, None, None, list(clean), None))
             types = (pa.string(), pa.int64(), pa.string(), _TRIED, pa.list_(pa.int64()), pa.list_(pa.int32()))
@@ -347,7 +357,7 @@ def garbled(texts: DataFrame) -> DataFrame:
     held = cut(texts.mapInArrow(suspects, "tbl string, row_id long, text string, tried array<struct<pair:int,lo:int,hi:int,new:string,gain:double>>, slots array<long>, kinds array<int>"))
     clean = held.where("row_id IS NULL").select(F.explode("slots").alias("slot")).distinct()
     held = held.where("row_id IS NOT NULL")
-    # A line that stands in many texts costs one row on either side.
+    # A sentence that stands in many texts costs one row on either side.
     tried = held.select(F.explode(F.arrays_zip("slots", "kinds")).alias("z")).select("z.slots", "z.kinds").distinct().toDF("slot", "pair")
     twins = tried.join(clean.withColumn("twin", F.lit(1)).hint("merge"), "slot", "left").groupBy("pair").agg(F.count("*").alias("tried"), F.count("twin").alias("equal"))
     counts = {r.pair: (r.tried, r.equal) for r in twins.collect()}  # one row per codec pair

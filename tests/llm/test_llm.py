@@ -118,11 +118,13 @@ def test_pairs_are_learned_by_rate_against_chance():
     assert garble.PAIRS.index(("cp1250", "utf-8")) in garble.related({k}) and garble.PAIRS.index(("big5", "gbk")) not in garble.related({k})
 
 
-def test_twins_are_lines_stripped_of_other_characters():
-    clean, bad = "Größe: 12 cm, Gefäß\nx", "GrÃ¶ÃŸe: 7 cm, Gefäß"
+def test_twins_are_sentences_stripped_of_other_characters():
+    clean, bad = "Größe: 12 cm, Gefäß\nx", "Mehr! GrÃ¶ÃŸe: 7 cm, Gefäß"
     lo = bad.index("Ã")
-    stripped, runs = garble._restored_runs(bad, lo, lo + 4, "öß")
-    assert {garble._slot(stripped, k, r) for k, r in runs} <= set(garble._slots(clean)) and runs == [(0, "öß")]
+    runs = garble._restored_runs("x\n" + bad[6:], 2 + lo - 6, 6 + lo - 6, "öß")
+    assert {garble._slot(*x) for x in runs} <= set(garble._slots(clean)) and [r for *_, r in runs] == ["öß"]
+    spanning = garble._restored_runs("ab?? 1", 0, 2, "甲。乙")
+    assert [r for *_, r in spanning] == ["甲", "乙"]
 
 
 def test_garbled_of_nothing(spark):
