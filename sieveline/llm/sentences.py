@@ -1,9 +1,10 @@
 """Problem 9: sentence boundaries across languages and scripts.
 
-A pushdown automaton reads each line: its stack holds the open quotations and brackets (only those that are closed
-again on the line), its states the list marker at the line's start and how an open quotation was introduced.
-Full stops are weighed by a trie of abbreviations; every script has its own terminators; Thai, which has none, is cut
-at the spaces between clauses.
+A pushdown automaton reads a text line by line. One stack holds the open list levels (their indents, marks and last
+numbers), which say whether a number that begins a line counts an item; within a line another holds the open
+quotations and brackets (only those that are closed again on the line), and states say how an open quotation was
+introduced. Full stops are weighed by a trie of abbreviations; every script has its own terminators; Thai, which has
+none, is cut at the spaces between clauses.
 """
 
 from __future__ import annotations
@@ -54,6 +55,9 @@ _ABBREVIATIONS = _trie(INNER, "inner", _trie(EITHER, "either", {}))
 _EVENT = re.compile("[" + re.escape("".join(set(PAIRS) | CLOSING | TERMINATORS | {"."}) ) + "]|(?<=[฀-๿])[  　\t]+(?=[฀-๿])")
 _LINE = re.compile(r"[^\n\r\x0b\x0c\x85  ]+")
 _MARKER = re.compile(r"[\s　]*(?:[-*•·]\s*|[(（]?\s*(?:\d{1,4}|[A-Za-z]|[ivxIVX]{1,5}|[一二三四五六七八九十]{1,3})\s*(?:[.)）、．](?!\d))\s*|[①-⑳]\s*)+")
+_NUMBER = re.compile(r"\d+")
+#: Numbers that a list may leave out and go on.
+SKIPPED = 50
 _WIDE = re.compile("[⺀-鿿豈-﫿＀-￯　-〿]")
 _BLANK = " \t 　     ​﻿"
 #: Thai words that go on with the clause after a space.
@@ -88,6 +92,38 @@ def _matched(line: str, events: list[tuple[int, str]]) -> dict[int, int]:
     return pairs
 
 
+class Levels:
+    """The open list levels of a text, outermost first: (indent, form of the mark, last number or None)."""
+
+    def __init__(self):
+        self.stack: list[tuple[int, str, int | None]] = []
+
+    def body(self, line: str) -> int:
+        """Where the words of the line begin: behind its list marks, or at 0. Opens, continues and closes levels.
+
+        A mark of up to two digits, letters or signs always counts; a longer number (it may be a year) only where it goes
+        on with an open level's numbers."""
+        indent = len(line) - len(line.lstrip(" \t　"))
+        marker = _MARKER.match(line)
+        while self.stack and self.stack[-1][0] > indent:
+            self.stack.pop()
+        if not marker or marker.end() >= len(line) or not marker[0].strip():
+            return 0
+        mark = marker[0].strip()
+        digits = _NUMBER.search(mark)
+        number = int(digits[0]) if digits else None
+        form = mark if number is None else "number"  # whatever its brackets and stops, a list goes on
+        here = next((x for x in reversed(self.stack) if x[1] == form), None)
+        if number is not None and len(digits[0]) > 2 and (here is None or here[2] is None or not here[2] < number <= here[2] + SKIPPED + 1):
+            return 0
+        while self.stack and self.stack[-1][0] >= indent and self.stack[-1][1] != form:
+            self.stack.pop()
+        if self.stack and self.stack[-1][:2] == (indent, form):
+            self.stack.pop()
+        self.stack.append((indent, form, number))
+        return marker.end()
+
+
 def _abbreviation(line: str, i: int, start: int) -> str | None:
     """'inner' or 'either' if a known abbreviation ends at the full stop at i; also initials of names."""
     node, k, found = _ABBREVIATIONS, i - 1, None
@@ -161,12 +197,12 @@ def sentences(text: str) -> list[tuple[int, int]]:
         if z > a:
             out.append((a, z))
 
+    levels = Levels()
     for m in _LINE.finditer(text):
         base, line = m.start(), m[0]
         events = [(e.start(), e[0]) for e in _EVENT.finditer(line)]
         pairs = _matched(line, [e for e in events if e[1] in PAIRS or e[1] in CLOSING])
-        marker = _MARKER.match(line)
-        body = marker.end() if marker and marker.end() < len(line) else 0
+        body = levels.body(line)
         begin, first, skip = 0, body, body  # begin of the sentence, of its words, and where reading goes on
         for i, c in events:
             if i < skip:

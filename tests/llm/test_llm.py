@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm import crf, crosssplit, formatdup, garble, leak, mixing, packing, pairs, pii, queries, topics
 from sieveline.llm.languages import language
-from sieveline.llm.sentences import sentences, split_sentences
+from sieveline.llm.sentences import Levels, sentences, split_sentences
 from sieveline.llm.shared import alnum_key, code_points, gram_hashes, gram_hashes_many
 
 
@@ -553,6 +553,16 @@ def test_sentences_without_blanks():
     assert sentences("") == [] and sentences(" \n\t") == []
 
 
+def test_list_levels_tell_numbers_of_items():
+    levels = Levels()
+    lines = ["1. one", "  a) inner", "  b) inner", "2. two", "2024. A year ended it.", "99. far", "100. next", "902. not due", "- sign"]
+    assert [levels.body(x) > 0 for x in lines] == [True, True, True, True, False, True, True, False, True]
+    text = "99. First. Second.\n100. Third."
+    assert [text[a:z] for a, z in sentences(text)] == ["99. First.", "Second.", "100. Third."]
+    text = "The war ended in\n1945. Then came peace."
+    assert [text[a:z] for a, z in sentences(text)] == ["The war ended in", "1945.", "Then came peace."]
+
+
 def test_sentences_cover_all_but_blanks(spark):
     rnd = random.Random(9)
     rows = [(i, "".join(rnd.choice("ab. 。！“”\n()A1，") for _ in range(200))) for i in range(50)] + [(90, None), (91, ""), (92, "x" * 100000)]
