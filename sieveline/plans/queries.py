@@ -11,7 +11,8 @@ from ..functions import jsontext
 from ..functions.normalize import alnum, collapse, is_blank, nospace, strip
 from ..operators import decontaminate, dedup, evaluate, flags, neardup, reshape, sample, stats, tokens
 from ..session import cut_lineage
-from ..sources.jsonl import dense_ordinals, validate_lines
+from ..sources import sinks
+from ..sources.jsonl import dense_ordinals, first_valid, validate_lines
 from ..sources.sinks import set_fingerprint
 from . import sqltext as S
 
@@ -747,3 +748,92 @@ SELECT pref_id, round(x, 6) AS reward, {_ADVANTAGE} FROM r JOIN g ON g.k = r.k""
 def split_advantage(spark, d):
     """Rewards scaled within the split: groups of a third of all rows and more."""
     return evaluate.group_scaled(_rewards(spark, d, k=F.col("split")), "k", [F.col("r0"), F.col("r1")], [1.0, 0.1]).select("pref_id", F.round("reward", 6).alias("reward"), F.round("advantage", 6).alias("advantage"))
+
+
+# --- readers' limits, fingerprints, identities, branches and scores: the operators that the queries above leave out --------
+@query("SELECT conv_id FROM sft_chat WHERE coalesce(len(conversations) >= 2 AND len(list_filter(conversations, lambda t: t IS NULL OR t.role IS NULL OR t.value IS NULL)) = 0, false) ORDER BY conv_id LIMIT 50")
+def first_valid_dialogues(spark, d):
+    chat = _t(spark, d, "sft_chat").select("conv_id", flags.valid_dialogue(F.col("conversations")).alias("ok"))
+    return first_valid(chat, F.col("ok"), 50, "conv_id").select("conv_id")
+
+
+@query(f"""WITH p AS (SELECT conv_id, split, {_FIRST} AS prompt FROM sft_chat), t AS (SELECT conv_id, 'train' AS split FROM p WHERE split = 'train' ORDER BY sha256('11' || prompt), conv_id LIMIT 100), v AS (SELECT conv_id, 'validation' AS split FROM p WHERE split = 'valid' ORDER BY conv_id LIMIT 40)
+SELECT * FROM t UNION ALL SELECT * FROM v""")
+def prompt_splits(spark, d):
+    """The training prompts of lowest seeded hash, and the head of the validation prompts in their order."""
+    p = _t(spark, d, "sft_chat").select("conv_id", F.col("split").alias("s"), reshape.first_turn(F.col("conversations"), reshape.HUMAN).alias("prompt"))
+    part = lambda s: p.where(F.col("s") == s).drop("s")
+    return sample.split_prompts(part("train"), part("valid"), F.col("prompt"), "conv_id", train_size=100, eval_size=40, seed="11").select("conv_id", "split")
+
+
+@query("SELECT count(*) AS records, sha256(string_agg(coalesce(text, '') || chr(10), '' ORDER BY item_id)) AS fingerprint FROM heldout_texts")
+def ordered_fingerprint(spark, d):
+    """The order-dependent hash of a held-out set, which is serial by nature: its rows stream through the driver."""
+    held = _t(spark, d, "heldout_texts").select("item_id", "text")
+    return held.agg(F.count("*").alias("records")).withColumn("fingerprint", F.lit(sinks.ordered_fingerprint(held, ["item_id"], F.col("text"))))
+
+
+@query("""WITH i AS (SELECT split, count(*) AS records, max(length(text)) AS longest, count(DISTINCT lang) AS langs FROM heldout_texts GROUP BY split), v AS (SELECT * FROM i WHERE split = 'valid'), t AS (SELECT * FROM i WHERE split = 'test')
+SELECT key, l AS left, r AS right, 'values differ' AS problem FROM (SELECT unnest(['records', 'longest', 'langs']) AS key, unnest([v.records, v.longest, v.langs])::VARCHAR AS l, unnest([t.records, t.longest, t.langs])::VARCHAR AS r FROM v, t) WHERE l IS DISTINCT FROM r""")
+def identity_differences(spark, d):
+    side = lambda s: _t(spark, d, "heldout_texts").where(F.col("split") == s).agg(F.count("*").alias("records"), F.max(F.length("text")).alias("longest"), F.countDistinct("lang").alias("langs"))
+    return sinks.identity_differences(side("valid"), side("test"), ["records", "longest", "langs"])
+
+
+_LE = "printf('%02x%02x%02x0000000000', unicode(c) % 256, (unicode(c) // 256) % 256, unicode(c) // 65536)"
+
+
+@query(f"""WITH {_DENSE}, w AS (SELECT (o - 1) // 1000 AS batch, string_agg(text || chr(4), '' ORDER BY o) AS a FROM k GROUP BY 1), n AS (SELECT batch, a, unnest(range(length(a) // 256)) AS block FROM w)
+SELECT batch, block, sha256(unhex(array_to_string(list_transform(string_split(substr(a, block * 256 + 1, 256), ''), lambda c: {_LE}), ''))) AS sha256 FROM n""")
+def packed_block_hashes(spark, d):
+    ids = F.concat(tokens.code_points(F.col("text")), F.array(F.lit(4)))
+    blocks = tokens.pack_blocks(_kept(spark, d), "ord", ids).withColumn("block", F.col("block").cast("long"))
+    return sinks.block_hashes(blocks, "ids", ["batch", "block"])
+
+
+@query(f"""{_DOC_LINKS(LOOSE_THRESHOLD)}, e AS (SELECT unnest([{', '.join(str(k) for k, _ in MANUAL)}]) AS id) SELECT class_a, class_b, CASE WHEN class_a IN (SELECT id FROM e) OR class_b IN (SELECT id FROM e) THEN 'excluded' ELSE 'kept_for_review' END AS decision FROM links""")
+def neardup_decisions(spark, d):
+    excluded = spark.createDataFrame(MANUAL, "id long, reason string")
+    return neardup.review_decisions(_near_docs(spark, d, LOOSE_THRESHOLD)[1], excluded).select("class_a", "class_b", "decision")
+
+
+@query(f"""WITH {PREF} SELECT pref_id, 'chosen' AS branch, sha256({S.strip('response_chosen')} || '</s>') AS completion_sha256, length(response_chosen) AS chars FROM pref UNION ALL SELECT pref_id, 'rejected', sha256({S.strip('response_rejected')} || '</s>'), length(response_rejected) FROM pref""")
+def response_branches(spark, d):
+    """Both responses of a record as rows, each with its end mark."""
+    wide = {}
+    for b in ("chosen", "rejected"):
+        text = F.col(f"response_{b}")
+        wide |= {f"{b}_completion_sha256": F.sha2(reshape.completion(text, "</s>"), 256), f"{b}_chars": F.length(text).cast("long")}
+    return reshape.branches(_pref(spark, d, **wide), ["pref_id"], ["chosen", "rejected"], ["completion_sha256", "chars"])
+
+
+@query(f"""WITH {PREF} SELECT source, round((avg(length(response_chosen)) / avg(length(response_rejected)) - 1) * 100, 6) AS percent FROM pref GROUP BY source""")
+def length_change(spark, d):
+    x = _pref(spark, d, source=F.col("source"), a=F.length("response_rejected"), b=F.length("response_chosen")).groupBy("source").agg(F.avg("a").alias("a"), F.avg("b").alias("b"))
+    return x.select("source", F.round(evaluate.percent_change(F.col("a"), F.col("b")), 6).alias("percent"))
+
+
+_RUN = f"SELECT doc_id, ({_H('doc_id::VARCHAR', repr('loss'))} % 4000) / 1000.0 AS l, {_H('doc_id::VARCHAR', repr('ppl'))} % 9 AS k FROM documents"
+
+
+@query(f"WITH x AS ({_RUN}), y AS (SELECT doc_id, l, CASE WHEN k = 0 THEN exp(l) * 1.01 WHEN k = 1 THEN NULL ELSE exp(l) END AS p FROM x) SELECT doc_id FROM y WHERE p IS NULL OR abs(exp(l) - p) > 1e-6 * greatest(abs(p), exp(l))")
+def inconsistent_perplexities(spark, d):
+    key = F.col("doc_id").cast("string")
+    x = _docs(spark, d).select("doc_id", ((_hash(key, F.lit("loss")) % 4000) / 1000.0).alias("l"), (_hash(key, F.lit("ppl")) % 9).alias("k"))
+    x = x.withColumn("p", F.when(F.col("k") == 0, F.exp("l") * 1.01).when(F.col("k") != 1, F.exp("l")))
+    return evaluate.consistency(x, F.col("l"), F.col("p")).select("doc_id")
+
+
+@query(f"WITH {PREF} SELECT pref_id, round((length(coalesce(response_chosen, '')) + 1.0) / (length(coalesce(question, '')) + 1.0), 6) AS score FROM pref")
+def scored_responses(spark, d):
+    """The scoring protocol: a function from a batch of inputs to a column of numbers."""
+    rows = _pref(spark, d, q=F.length(F.coalesce("question", F.lit(""))), r=F.length(F.coalesce("response_chosen", F.lit(""))))
+    return evaluate.scored(rows, ["q", "r"], lambda b: (b.r + 1.0) / (b.q + 1.0)).select("pref_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT doc_id, length(text)::BIGINT AS ids, CASE WHEN text = '' THEN NULL ELSE unicode(text)::BIGINT END AS first_id FROM documents WHERE text IS NOT NULL")
+def tokenized(spark, d):
+    """A tokenizer is a batch encoder behind a column function."""
+    ids = tokens.with_tokenizer(lambda texts: [list(map(ord, t)) for t in texts])
+    x = _docs(spark, d).where("text IS NOT NULL").select("doc_id", ids(F.col("text")).alias("x"))
+    return x.select("doc_id", F.size("x").cast("long").alias("ids"), F.get("x", F.lit(0)).cast("long").alias("first_id"))
