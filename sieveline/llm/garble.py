@@ -34,6 +34,8 @@ LEAST_TEXTS = 6
 CHANCE = 1e-4
 #: Log likelihood that a restored stretch must gain under a learned pair, and under one without twins.
 GAIN_LEARNED, GAIN_OTHER = 4.0, 14.0
+#: A text is evidently garbled if so many bytes, and this share of all, are UTF-8 under a wrong codec.
+EVIDENT_BYTES, EVIDENT_SHARE = 4, 0.95
 #: Slots of the sketch of neighbouring characters: 8 MB, whatever the corpus.
 PAIR_BITS = 21
 #: Log likelihood of one pair of neighbours in ordinary text.
@@ -80,9 +82,9 @@ PAIRS = [
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _DIGITS = re.compile(r"\d+")
-#: What parts the sentences that are aligned with each other, and how far back one begins at most.
-_UNIT = re.compile("[\n。！？!?]")
-REACH = 2000
+#: What parts the sentences that are aligned with each other.
+_UNIT_MARKS = "\n。！？!?"
+_UNIT = re.compile(f"[{_UNIT_MARKS}]")
 #: What the lead byte and the next byte of a UTF-8 character become under Latin, Cyrillic and Macintosh codecs.
 _LEAD_AND_TRAIL = re.compile("[Â-ô][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|[В-Яа-п][\xa0-\xbfЂ-ЏђёѓєѕіїјљњћќўџҐґ‘’“”„†‡•–—…‰‹›€™№]|[√‡‚≈ƒ¬Œœ][^\x00-\x7f]")
 _ODD_CASE = re.compile("[А-ЯЁ]{4}|[а-яё][А-ЯЁ]")
@@ -130,11 +132,23 @@ def _pair_slots(codes: np.ndarray) -> np.ndarray:
     return (((c[:-1] << np.uint64(21)) | c[1:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
 
+def evident(text: str) -> bool:
+    """Whether nearly all of the text's non-ASCII characters are UTF-8 read by one wrong codec: such a text is garbled
+    whatever the corpus is like, so its characters must not become common ones, however many texts are like it."""
+    run = "".join(_RUN.findall(text))
+    for wrong in ("latin", "gb18030", "cp1251"):
+        raw = _to_bytes(run, wrong)
+        if len(raw) >= EVIDENT_BYTES and sum(len(m[0]) for m in _UTF8.finditer(raw)) >= EVIDENT_SHARE * len(raw):
+            return True
+    return False
+
+
 def alphabet_counts(batches):
-    """Partial counts of one partition: ('t', 0, texts), ('c', code point, texts with it), ('p', slot of the sketch, occurrences)."""
+    """Partial counts of one partition, of texts that aren't evidently garbled: ('t', 0, texts), ('c', code point, texts
+    with it), ('p', slot of the sketch, occurrences)."""
     texts, df, pairs = 0, Counter(), np.zeros(1 << PAIR_BITS, dtype=np.int64)
     for b in batches:
-        held = [t for t in batches_of(b, ["text"])[0] if t and not t.isascii()]
+        held = [t for t in batches_of(b, ["text"])[0] if t and not t.isascii() and not evident(t)]
         texts += len(held)
         for t in held:
             # Lossy marks, however frequent, make no character common.
@@ -263,9 +277,8 @@ def _slots(text: str):
 
 def _restored_runs(text: str, lo: int, hi: int, new: str) -> list[tuple[str, int, str]]:
     """(stripped sentence, place, run) of the runs that hold what a stretch becomes when it is restored on trial."""
-    ends = [m.end() for m in _UNIT.finditer(text, max(0, lo - REACH), lo)]
-    after = _UNIT.search(text, hi)
-    a, z = ends[-1] if ends else max(0, lo - REACH), after.start() if after else len(text)
+    a, after = max(text.rfind(c, 0, lo) for c in _UNIT_MARKS) + 1, _UNIT.search(text, hi)
+    z = after.start() if after else len(text)
     whole, at, out = text[a:lo] + new + text[hi:z], 0, []
     for unit in _UNIT.split(whole):
         if at < lo - a + len(new) and at + len(unit) > lo - a:

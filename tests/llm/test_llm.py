@@ -109,6 +109,24 @@ def test_frequent_lossy_marks_stay_garbled(spark):
     assert got == {1000 + i: True for i in range(40)}
 
 
+@pytest.mark.parametrize("wrong", ["latin-1", "gb18030", "cp1251"])
+def test_a_third_of_all_texts_may_be_garbled(spark, wrong):
+    rows, bad = [], {}
+    for n in range(60):
+        for k, t in enumerate(GOOD):
+            t, i = f"{t} {n}", n * 10 + k
+            try:
+                g = t.encode("utf-8").decode(wrong) if n % 3 == 0 else t
+            except UnicodeError:
+                g = t
+            if g != t:
+                bad[i] = t
+            rows.append(("t", i, g))
+    got = {r.row_id: r.restored for r in garble.garbled(spark.createDataFrame(rows, "tbl string, row_id long, text string")).collect()}
+    assert set(got) == set(bad) and len(bad) >= 40
+    assert sum(got[i] == t for i, t in bad.items()) >= 0.75 * len(bad)  # the rest is found, but restored in part
+
+
 def test_pairs_are_learned_by_rate_against_chance():
     assert garble.learned_pairs({0: (50, 5), 1: (50, 0)}, (1000, 0)) == {0}
     assert garble.learned_pairs({0: (10**9, 300)}, (10**9, 290)) == set()  # as often as chance, however often
