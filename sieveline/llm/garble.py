@@ -132,11 +132,17 @@ def _pair_slots(codes: np.ndarray) -> np.ndarray:
     return (((c[:-1] << np.uint64(21)) | c[1:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
 
+# What the lead bytes of UTF-8 become under the codecs that are most often taken for it.
+_EVIDENCE = [("latin", re.compile("[\xc2-\xf4]")), ("gb18030", re.compile("[㐀-鿿]")), ("cp1251", re.compile("[Ѐ-ӿ]"))]
+
+
 def evident(text: str) -> bool:
     """Whether nearly all of the text's non-ASCII characters are UTF-8 read by one wrong codec: such a text is garbled
     whatever the corpus is like, so its characters must not become common ones, however many texts are like it."""
     run = "".join(_RUN.findall(text))
-    for wrong in ("latin", "gb18030", "cp1251"):
+    for wrong, lead in _EVIDENCE:
+        if not lead.search(run):
+            continue
         raw = _to_bytes(run, wrong)
         if len(raw) >= EVIDENT_BYTES and sum(len(m[0]) for m in _UTF8.finditer(raw)) >= EVIDENT_SHARE * len(raw):
             return True
