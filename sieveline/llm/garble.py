@@ -6,7 +6,9 @@
    once non-ASCII characters are stripped (and digits masked), aligned run by run. A codec pair is learned if its restored
    runs equal the aligned ones more often than chance lets them, which is measured by joining the same runs with
    other sentences' stripped texts.
-3. Learned pairs are applied to every record; a pair without twins of its own only if a learned one shares a codec with
+3. Runs of uncommon characters that no codec explains are aligned with the runs of clean twins character by character;
+   characters that nearly always lie on one character of another script are learned as a map.
+4. Learned pairs and the map are applied to every record; a pair without twins of its own only if a learned one shares a codec with
    it, and only where far more likely text results. What carries the marks of a lossy decoding is reported as not
    recoverable.
 """
@@ -24,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.grams import gram_filter
+from .codes import CLASS
 from .shared import batches_of, code_points, columns_of, cut
 
 #: A character is common if at least this share of the texts with non-ASCII characters contains it.
@@ -36,6 +40,10 @@ CHANCE = 1e-4
 GAIN_LEARNED, GAIN_OTHER = 4.0, 14.0
 #: A text is evidently garbled if so many bytes, and this share of all, are UTF-8 under a wrong codec.
 EVIDENT_BYTES, EVIDENT_SHARE = 4, 0.95
+#: A character map is learned for a character with so many aligned twins, of which this share agree.
+MAP_TWINS, MAP_SHARE = 5, 0.9
+#: Letters of a run, distinct uncommon characters in it and their share, from which a run that no codec explains is aligned.
+UNKNOWN_LETTERS, UNKNOWN_DISTINCT, UNKNOWN_SHARE = 4, 3, 0.5
 #: Slots of the sketch of neighbouring characters: 8 MB, whatever the corpus.
 PAIR_BITS = 21
 #: Log likelihood of one pair of neighbours in ordinary text.
@@ -294,6 +302,82 @@ def _restored_runs(text: str, lo: int, hi: int, new: str) -> list[tuple[str, int
     return out
 
 
+def unknown_runs(text: str, common: set[str]):
+    """(key, run) of the runs that are mostly of uncommon characters; the key says what a twin of it must have: the stripped
+    sentence, the place and the length."""
+    for unit in _UNIT.split(text):
+        found = [(k, run) for k, run in enumerate(_RUN.findall(unit)) if len(run) >= UNKNOWN_LETTERS and _mostly_unknown(run, common)]
+        if found:
+            stripped = _stripped(unit)
+            yield from ((_slot(stripped, k, str(len(run))), run) for k, run in found)
+
+
+def _mostly_unknown(run: str, common: set[str]) -> bool:
+    odd = [c for c in run if c not in common]
+    return len(odd) >= UNKNOWN_SHARE * len(run) and len(set(odd)) >= UNKNOWN_DISTINCT
+
+
+def mapped(text: str, learned: dict[int, str], abc: "Alphabet") -> tuple[str, int]:
+    """(text with the runs that the map explains put right, their number)."""
+    n = 0
+
+    def put_right(m: re.Match) -> str:
+        nonlocal n
+        run = m[0]
+        if len(run) < UNKNOWN_LETTERS or not _mostly_unknown(run, abc.common) or any(ord(c) not in learned for c in run if c not in abc.common):
+            return run
+        new = run.translate(learned)
+        left, right = text[m.start() - 1 : m.start()] or "\n", text[m.end() : m.end() + 1] or "\n"
+        if abc.fluency(left + new + right) - abc.fluency(left + run + right) < GAIN_LEARNED:
+            return run
+        n += 1
+        return new
+
+    return _RUN.sub(put_right, text), n
+
+
+def _aligned_characters(held: DataFrame, texts: DataFrame, abc) -> dict[int, str]:
+    """The learned character map: code point to character. Twins that disagree about a run are no twins; a character of
+    the same script is no garbling of another. At most one row per character of Unicode is fetched."""
+    unknown = held.where("row_id IS NOT NULL").select(F.explode(F.arrays_zip("keys", "runs")).alias("z")).select("z.keys", "z.runs").distinct().toDF("key", "run")
+    taken = texts.sparkSession.sparkContext.broadcast(gram_filter(unknown, "key"))
+
+    def clean(batches):
+        bits = int(math.log2(len(taken.value)))
+        for b in batches:
+            keys, runs = [], []
+            for t in batches_of(b, ["text"])[0]:
+                if t.isascii() or abc.value.suspicious(t):
+                    continue
+                for unit in _UNIT.split(t):
+                    if unit.isascii():
+                        continue
+                    stripped = _stripped(unit)
+                    for k, run in enumerate(_RUN.findall(unit)):
+                        key = _slot(stripped, k, str(len(run)))
+                        if taken.value[(key & (2**64 - 1)) >> (64 - bits)]:
+                            keys.append(key)
+                            runs.append(run)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(runs, pa.string())], ["key", "twin"])
+
+    twins = texts.select("text").mapInArrow(clean, "key long, twin string").groupBy("key").agg(F.min("twin").alias("twin"), F.max("twin").alias("other")).where("twin = other")
+    pairs = unknown.join(twins.hint("merge"), "key").select("run", "twin")
+
+    def characters(batches):
+        for b in batches:
+            n = Counter(x for run, twin in zip(*batches_of(b, ["run", "twin"])) for x in set(zip(run, twin)))
+            yield pa.RecordBatch.from_arrays([pa.array([ord(x) for x, _ in n], pa.int64()), pa.array([y for _, y in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["was", "now", "n"])
+
+    counted = pairs.mapInArrow(characters, "was long, now string, n long").groupBy("was", "now").agg(F.sum("n").alias("n"))
+    best = counted.groupBy("was").agg(F.sum("n").alias("total"), F.max(F.struct("n", "now")).alias("best")).where((F.col("best.n") >= MAP_TWINS) & (F.col("best.n") >= MAP_SHARE * F.col("total")))
+    out = {}
+    for r in best.collect():
+        was, now = int(r.was), r.best.now
+        if now in abc.value.common and CLASS(np.array([was]))[0] != CLASS(np.array([ord(now)]))[0]:
+            out[was] = now
+    return out
+
+
 def learned_pairs(counts: dict[int, tuple[int, int]], chance: tuple[int, int]) -> set[int]:
     """The pairs whose aligned twins aren't chance. counts: (tried slots, of which have a twin) of each pair; chance: the
     same of all pairs' runs under other sentences' stripped texts."""
@@ -359,7 +443,8 @@ def garbled(texts: DataFrame) -> DataFrame:
                     clean.update(_slots(t))
                     continue
                 tried = [c for c in candidates(t, abc.value) if c[4] >= GAIN_LEARNED]
-                if tried or _LOST.search(t):
+                unknown = [] if tried or _LOST.search(t) else list(unknown_runs(t, abc.value.common))
+                if tried or unknown or _LOST.search(t):
                     slots = []
                     for k, lo, hi, new, _ in tried:
                         for stripped, n, run in _restored_runs(t, lo, hi, new):
@@ -367,13 +452,13 @@ def garbled(texts: DataFrame) -> DataFrame:
                             if before not in (None, stripped):  # what chance gives: the run under another stripped sentence
                                 slots.append((_slot(before, n, run), -1))
                             before = stripped
-                    out.append((tbl, i, t, [dict(zip(("pair", "lo", "hi", "new", "gain"), c)) for c in tried], [s for s, _ in slots], [k for _, k in slots]))
-            out.append((None, None, None, None, list(clean), None))
-            types = (pa.string(), pa.int64(), pa.string(), _TRIED, pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], ["tbl", "row_id", "text", "tried", "slots", "kinds"])
+                    out.append((tbl, i, t, [dict(zip(("pair", "lo", "hi", "new", "gain"), c)) for c in tried], [s for s, _ in slots], [k for _, k in slots], [k for k, _ in unknown], [r for _, r in unknown]))
+            out.append((None, None, None, None, list(clean), None, None, None))
+            types = (pa.string(), pa.int64(), pa.string(), _TRIED, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], ["tbl", "row_id", "text", "tried", "slots", "kinds", "keys", "runs"])
 
     # Suspects with their candidates, and (without a row_id) the slots of clean texts, each once in a batch.
-    held = cut(texts.mapInArrow(suspects, "tbl string, row_id long, text string, tried array<struct<pair:int,lo:int,hi:int,new:string,gain:double>>, slots array<long>, kinds array<int>"))
+    held = cut(texts.mapInArrow(suspects, "tbl string, row_id long, text string, tried array<struct<pair:int,lo:int,hi:int,new:string,gain:double>>, slots array<long>, kinds array<int>, keys array<long>, runs array<string>"))
     clean = held.where("row_id IS NULL").select(F.explode("slots").alias("slot")).distinct()
     held = held.where("row_id IS NOT NULL")
     # A sentence that stands in many texts costs one row on either side.
@@ -381,13 +466,16 @@ def garbled(texts: DataFrame) -> DataFrame:
     twins = tried.join(clean.withColumn("twin", F.lit(1)).hint("merge"), "slot", "left").groupBy("pair").agg(F.count("*").alias("tried"), F.count("twin").alias("equal"))
     counts = {r.pair: (r.tried, r.equal) for r in twins.collect()}  # one row per codec pair
     own = learned_pairs({k: v for k, v in counts.items() if k >= 0}, counts.get(-1, (0, 0)))
-    learned = sc.broadcast((own, related(own)))
+    learned = sc.broadcast((own, related(own), _aligned_characters(held, texts, abc)))
 
     def apply(batches):
         for b in batches:
             out = []
             for tbl, i, t, tried in zip(*batches_of(b, ["tbl", "row_id", "text", "tried"])):
-                fixed, n, lost = restore(t, [tuple(c.values()) for c in tried], *learned.value)
+                own, others, characters = learned.value
+                fixed, n, lost = restore(t, [tuple(c.values()) for c in tried], own, others)
+                if characters and not n and not lost:
+                    fixed, n = mapped(t, characters, abc.value)
                 if n or lost:
                     out.append((tbl, i, fixed, n, lost))
             cols = list(zip(*out)) or [()] * 5

@@ -127,6 +127,21 @@ def test_a_third_of_all_texts_may_be_garbled(spark, wrong):
     assert sum(got[i] == t for i, t in bad.items()) >= 0.75 * len(bad)  # the rest is found, but restored in part
 
 
+def test_characters_are_learned_where_no_codec_is_known(spark):
+    """Greek read as Latin-1 (no listed pair): learned from twins, then applied to a text without one."""
+    assert not any("iso8859_7" in x or "cp1253" in x for x in garble.PAIRS)
+    words = ["πονοκέφαλος", "πυρετός", "αιμορραγία", "κούραση", "ναυτία", "βήχας", "δύσπνοια", "ζάλη", "χάπι", "ξηρότητα", "φλεγμονή", "ψωρίαση"]
+    w = lambda n: words[n % 12]
+    clean = [f"{w(n)} 12 mg, {w(n + 1)}; {'x' * (n % 40)} {w(n + 2)} and {w(n + 3)}, {w(n + 4)} {'y' * (n // 40)}" for n in range(400)]
+    garble_it = lambda t: t.encode("iso8859_7").decode("latin-1")
+    bad = {1000 + n: clean[n] for n in range(12)} | {5000: f"nothing like it: {words[0]} {words[3]} {words[6]}"}
+    rows = [("t", n, t) for n, t in enumerate(clean)] + [("t", i, garble_it(t)) for i, t in bad.items()]
+    rows += [("t", 10000 + n, f"{t} {n}") for n, t in enumerate(GOOD * 500)]
+    got = {r.row_id: r.restored for r in garble.garbled(spark.createDataFrame(rows, "tbl string, row_id long, text string")).collect()}
+    assert set(got) <= set(bad) and got.get(5000) == bad[5000]
+    assert sum(got.get(i) == t for i, t in bad.items()) >= 0.8 * len(bad)
+
+
 def test_pairs_are_learned_by_rate_against_chance():
     assert garble.learned_pairs({0: (50, 5), 1: (50, 0)}, (1000, 0)) == {0}
     assert garble.learned_pairs({0: (10**9, 300)}, (10**9, 290)) == set()  # as often as chance, however often
