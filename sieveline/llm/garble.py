@@ -44,6 +44,8 @@ EVIDENT_BYTES, EVIDENT_SHARE = 4, 0.95
 MAP_TWINS, MAP_SHARE = 5, 0.9
 #: Letters of a run, distinct uncommon characters in it and their share, from which a run that no codec explains is aligned.
 UNKNOWN_LETTERS, UNKNOWN_DISTINCT, UNKNOWN_SHARE = 4, 3, 0.5
+#: Lengths of runs that are told apart when twins are looked for.
+LENGTHS = 4096
 #: Slots of the sketch of neighbouring characters: 8 MB, whatever the corpus.
 PAIR_BITS = 21
 #: Log likelihood of one pair of neighbours in ordinary text.
@@ -340,22 +342,30 @@ def _aligned_characters(held: DataFrame, texts: DataFrame, abc) -> dict[int, str
     """The learned character map: code point to character. Twins that disagree about a run are no twins; a character of
     the same script is no garbling of another. At most one row per character of Unicode is fetched."""
     unknown = held.where("row_id IS NOT NULL").select(F.explode(F.arrays_zip("keys", "runs")).alias("z")).select("z.keys", "z.runs").distinct().toDF("key", "run")
-    taken = texts.sparkSession.sparkContext.broadcast(gram_filter(unknown, "key"))
+    # Which keys and lengths are looked for: a filter of fixed size, and lengths up to LENGTHS (longer ones all).
+    lengths = np.zeros(LENGTHS + 1, dtype=bool)
+    lengths[[r.n for r in unknown.select(F.least(F.length("run"), F.lit(LENGTHS)).alias("n")).distinct().collect()]] = True
+    taken = texts.sparkSession.sparkContext.broadcast((gram_filter(unknown, "key"), lengths))
 
     def clean(batches):
-        bits = int(math.log2(len(taken.value)))
+        slots, wanted = taken.value
+        bits, common = int(math.log2(len(slots))), abc.value.common
         for b in batches:
             keys, runs = [], []
             for t in batches_of(b, ["text"])[0]:
-                if t.isascii() or abc.value.suspicious(t):
+                if t.isascii():
                     continue
                 for unit in _UNIT.split(t):
-                    if unit.isascii():
+                    if len(unit) < UNKNOWN_LETTERS or unit.isascii():
                         continue
-                    stripped = _stripped(unit)
+                    stripped = None
                     for k, run in enumerate(_RUN.findall(unit)):
+                        if not wanted[min(len(run), LENGTHS)]:
+                            continue
+                        if stripped is None:
+                            stripped = _stripped(unit)
                         key = _slot(stripped, k, str(len(run)))
-                        if taken.value[(key & (2**64 - 1)) >> (64 - bits)]:
+                        if slots[(key & (2**64 - 1)) >> (64 - bits)] and common.issuperset(run):
                             keys.append(key)
                             runs.append(run)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(runs, pa.string())], ["key", "twin"])
