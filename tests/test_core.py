@@ -176,6 +176,34 @@ def test_near_duplicates_against_brute_force(spark):
     assert neardup.near_duplicates(df.limit(0), "id", alnum(F.col("text")))[0].count() == 0
 
 
+def _shuffled(spark) -> int:
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.95])
+def test_near_duplicates_shuffle_neither_texts_nor_failing_pairs(spark, threshold, monkeypatch):
+    """Texts of one mould: nearly every pair shares a prefix feature, few are links. Blocks are small, so that pairs are
+    found across them; a text that is delivered twice counts once."""
+    monkeypatch.setattr(neardup, "BLOCK", (70, 50), raising=False)
+    monkeypatch.setattr(neardup, "MEETINGS", 500, raising=False)
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(9)) for _ in range(60)]
+    texts = ["".join(rnd.choice(words) for _ in range(25)) for _ in range(300)]
+    texts += [t[:100] + "zq" + t[102:] for t in texts[:9]] + [texts[20]] * 3
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows + [rows[4]], "id long, text string").repartition(3)
+    first = {t: i for i, t in reversed(rows)}
+    sim = _cosines(texts)
+    want = {(i, j) for i in first.values() for j in first.values() if i < j and sim(i, j) >= threshold}
+    before = _shuffled(spark)
+    documents, links = neardup.near_duplicates(df, "id", F.col("text"), threshold)
+    assert {(r.class_a, r.class_b) for r in links.collect()} == want and 2 <= len(want) < 3000
+    got = {r.id: (r.class_id, r.copies, r.links) for r in documents.collect()}
+    assert documents.count() == len(rows)
+    assert got == {i: (first[t], texts.count(t), sum(first[t] in p for p in want)) for i, t in rows}
+    assert _shuffled(spark) - before < 4_000_000
+
+
 def test_hash_sample_ties_and_split(spark):
     df = spark.createDataFrame([(3, "x"), (9, "x"), (5, "y"), (6, None)], "o long, j string")
     got = [r.o for r in sample.hash_sample(df, F.col("j"), 3, "o").collect()]
