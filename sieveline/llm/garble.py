@@ -394,13 +394,16 @@ def learned_pairs(counts: dict[int, tuple[int, int]], chance: tuple[int, int]) -
     rate = (chance[1] + 0.5) / (chance[0] + 100)  # where chance was hardly tried, one in two hundred
     out = set()
     for k, (tried, equal) in counts.items():
-        mean = tried * rate
-        term, tail = math.exp(-mean), 1.0
-        for n in range(equal):  # the probability of as many or more, by the Poisson law
-            tail -= term
-            term *= mean / (n + 1)
-            if tail < CHANCE:
-                break
+        mean, tail = tried * rate, 1.0
+        if equal > mean:
+            # The probability of as many or more, by the Poisson law: its terms from the first one on, each less than the
+            # one before. The first is taken by its logarithm, as exp(-mean) is zero in large corpora.
+            n, term = equal, math.exp(equal * math.log(mean) - mean - math.lgamma(equal + 1))
+            tail = 0.0
+            while term > 1e-3 * CHANCE * (1 - mean / (n + 1)) and tail < CHANCE:
+                tail += term
+                n += 1
+                term *= mean / n
         if equal and tail < CHANCE:
             out.add(k)
     return out

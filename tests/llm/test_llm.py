@@ -146,6 +146,9 @@ def test_pairs_are_learned_by_rate_against_chance():
     assert garble.learned_pairs({0: (50, 5), 1: (50, 0)}, (1000, 0)) == {0}
     assert garble.learned_pairs({0: (10**9, 300)}, (10**9, 290)) == set()  # as often as chance, however often
     assert garble.learned_pairs({0: (10**9, 900)}, (10**9, 290)) == {0}
+    # So large a corpus that exp(-mean) is zero: still learned if more than chance gives, not if as many.
+    assert garble.learned_pairs({0: (200_000, 5000), 1: (200_000, 2010), 2: (200_000, 1500)}, (100_000, 1000)) == {0}
+    assert garble.learned_pairs({0: (200_000, 100_000)}, (0, 0)) == {0}
     assert garble.learned_pairs({0: (1, 1)}, (0, 0)) == set()
     k = garble.PAIRS.index(("latin", "utf-8"))
     assert garble.PAIRS.index(("cp1250", "utf-8")) in garble.related({k}) and garble.PAIRS.index(("big5", "gbk")) not in garble.related({k})
