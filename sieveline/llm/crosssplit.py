@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import alnum_key, as_signed, batches_of, columns_of, cut, gram_hashes_many, salted_join
+from .shared import alnum_key, as_signed, batches_of, columns_of, cut, gram_hashes_many, mix64, salted_join
 
 #: Letters of an n-gram, n-grams beyond those that edits may touch (fewer in texts too short for them), and letters over
 #: which the choice of n-grams is weighed together.
@@ -69,6 +69,16 @@ def rarest_windows(cost: np.ndarray, wanted: int) -> np.ndarray:
     return np.array(out[::-1], dtype=np.int64)
 
 
+def table_salt(tbl: str) -> int:
+    return xxhash.xxh3_64_intdigest(tbl.encode())
+
+
+def met_by(h: np.ndarray, part: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """One number by which n-grams meet: of the same letters, part and table. What else falls together by chance is parted
+    by the table, the places and the edit distance."""
+    return mix64(h ^ mix64(salt + part.astype(np.uint64)))
+
+
 def _keyed(batches):
     for b in batches:
         names = ["tbl", "id", "split", "source"]
@@ -92,7 +102,7 @@ def cross_split(texts: DataFrame, *, train: str = "train", share: float = 0.08,
     keyed = keyed.where(F.col("n") >= shortest)
     members = keyed.select("tbl", "key", "id", "split", "source").distinct()
     is_train = F.col("split") == train
-    distinct = cut(keyed.groupBy("tbl", "key").agg(F.max(is_train).alias("in_train"), F.max(~is_train).alias("in_eval"), F.first("norm").alias("norm"), F.first("n").alias("n")))
+    distinct = cut(keyed.groupBy("tbl", "key").agg(F.max(is_train).alias("in_train"), F.max(~is_train).alias("in_eval"), F.first("norm").alias("norm"), F.first("n").alias("n")).withColumn("u", F.monotonically_increasing_id()))  # u stands for (tbl, key) in narrow rows
 
     def sketch(batches):
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
@@ -110,7 +120,7 @@ def cross_split(texts: DataFrame, *, train: str = "train", share: float = 0.08,
 
     def chosen(batches):
         for b in batches:
-            tbl, key, norm = batches_of(b, ["tbl", "key", "norm"])
+            tbl, u, norm = batches_of(b, ["tbl", "u", "norm"])
             row, pos, h = gram_hashes_many(norm, WINDOW)
             cost = counts.value[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
             ends = np.cumsum(np.bincount(row, minlength=len(norm)))
@@ -128,10 +138,11 @@ def cross_split(texts: DataFrame, *, train: str = "train", share: float = 0.08,
             rows, needs, wants = (np.repeat(np.array(x, dtype=t), parts) for x, t in ((rows, np.int64), (needs, np.int32), (wants, np.int32)))
             part = np.arange(len(rows)) - np.repeat(np.cumsum(parts) - parts, parts)
             at = np.repeat(at, parts)
-            pick, n = pa.array(rows), np.array(list(map(len, norm)), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(tbl, pa.string()).take(pick), pa.array(as_signed(h[at])), pa.array(part.astype(np.int32)), pa.array(key, pa.binary()).take(pick), pa.array(n[rows]), pa.array(pos[at].astype(np.int32)), pa.array(needs), pa.array(wants)], ["tbl", "gram", "part", "eval_key", "n_e", "p_e", "need", "wanted"])
+            n = np.array(list(map(len, norm)), dtype=np.int64)
+            meet = met_by(h[at], part, np.array([table_salt(t) for t in tbl], dtype=np.uint64)[rows])
+            yield pa.RecordBatch.from_arrays([pa.array(as_signed(x)) if x.dtype == np.uint64 else pa.array(x) for x in (h[at], meet, np.array(u, dtype=np.int64)[rows], n[rows] << 32 | pos[at], wants.astype(np.int64) << 32 | needs)], ["gram", "meet", "e", "place_e", "counts"])
 
-    left = cut(distinct.where("in_eval").select("tbl", "key", "norm").mapInArrow(chosen, "tbl string, gram long, part int, eval_key binary, n_e int, p_e int, need int, wanted int"))
+    left = cut(distinct.where("in_eval").select("tbl", "u", "norm").mapInArrow(chosen, "gram long, meet long, e long, place_e long, counts long"))
     bits = int(np.clip(np.ceil(np.log2(16 * max(1, left.count()))), 12, MOST_FILTER_BITS))
 
     def probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,26 +160,29 @@ def cross_split(texts: DataFrame, *, train: str = "train", share: float = 0.08,
 
     def windows(batches):
         for b in batches:
-            tbl, key, norm = batches_of(b, ["tbl", "key", "norm"])
+            tbl, u, norm = batches_of(b, ["tbl", "u", "norm"])
             row, pos, h = gram_hashes_many(norm, WINDOW)
             first, second = probes(h)
             ok = held.value[first]
             ok[ok] = held.value[second[ok]]
             row, pos, h = row[ok], pos[ok], h[ok]
             parts = 1 + counts.value[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] // HOT
-            salt = np.array([int.from_bytes(k[:6], "little") for k in key], dtype=np.int64)
-            pick, n = pa.array(row), np.array(list(map(len, norm)), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(tbl, pa.string()).take(pick), pa.array(as_signed(h)), pa.array((salt[row] % parts).astype(np.int32)), pa.array(key, pa.binary()).take(pick), pa.array(n[row]), pa.array(pos.astype(np.int32))], ["tbl", "gram", "part", "train_key", "n_t", "p_t"])
-
-    right = distinct.where("in_train").select("tbl", "key", "norm").mapInArrow(windows, "tbl string, gram long, part int, train_key binary, n_t int, p_t int")
-    most = F.floor(F.greatest("n_e", "n_t") * share + 1e-9)
-    near = (F.abs(F.col("n_e") - F.col("n_t")) <= most) & (F.abs(F.col("p_e") - F.col("p_t")) <= most) & (F.col("eval_key") != F.col("train_key"))
-    met = left.join(right.hint("merge"), ["tbl", "gram", "part"]).where(near)
+            u, n = np.array(u, dtype=np.int64), np.array(list(map(len, norm)), dtype=np.int64)
+            part = mix64(u.astype(np.uint64))[row] % parts.astype(np.uint64)
+            meet = met_by(h, part, np.array([table_salt(t) for t in tbl], dtype=np.uint64)[row])
+            yield pa.RecordBatch.from_arrays([pa.array(as_signed(meet)), pa.array(u[row]), pa.array(n[row] << 32 | pos)], ["meet", "t", "place_t"])
+
+    right = distinct.where("in_train").select("tbl", "u", "norm").mapInArrow(windows, "meet long, t long, place_t long")
+    low = lambda c: F.col(c).bitwiseAND(F.lit(2**32 - 1))
+    most = F.floor(F.greatest(F.shiftright("place_e", 32), F.shiftright("place_t", 32)) * share + 1e-9)
+    near = (F.abs(F.shiftright("place_e", 32) - F.shiftright("place_t", 32)) <= most) & (F.abs(low("place_e") - low("place_t")) <= most) & (F.col("e") != F.col("t"))
+    met = left.select("meet", "e", "place_e", "counts").join(right.hint("merge"), "meet").where(near)
     # A training text that has an n-gram twice within reach counts it once.
-    pairs = met.groupBy("tbl", "eval_key", "train_key").agg(F.size(F.collect_set("p_e")).alias("held"), F.first("need").alias("need"), F.first("wanted").alias("wanted")).where("held >= need")
-    pairs = pairs.select("tbl", "eval_key", "train_key", (F.col("held") / F.col("wanted")).alias("containment"))
-    norm = distinct.select("tbl", "key", "norm")
-    pairs = pairs.join(norm.withColumnsRenamed({"key": "eval_key", "norm": "a"}).hint("merge"), ["tbl", "eval_key"]).join(norm.withColumnsRenamed({"key": "train_key", "norm": "b"}).hint("merge"), ["tbl", "train_key"])
+    pairs = met.groupBy("e", "t").agg(F.size(F.collect_set(low("place_e").cast("int"))).alias("held"), F.first("counts").alias("counts")).where(F.col("held") >= low("counts"))
+    pairs = pairs.select("e", "t", (F.col("held") / F.shiftright("counts", 32)).alias("containment"))
+    e = distinct.where("in_eval").select("tbl", F.col("u").alias("e"), F.col("key").alias("eval_key"), F.col("norm").alias("a"))
+    t = distinct.where("in_train").select("tbl", F.col("u").alias("t"), F.col("key").alias("train_key"), F.col("norm").alias("b"))
+    pairs = pairs.join(e.hint("merge"), "e").join(t.hint("merge"), ["tbl", "t"])
     pairs = pairs.withColumn("most", F.floor(F.greatest(F.length("a"), F.length("b")) * share + 1e-9).cast("int"))
     links = pairs.withColumn("edits", F.expr("levenshtein(a, b, most)")).where("edits >= 0")
     return members, links.select("tbl", "eval_key", "train_key", "edits", "containment")

@@ -534,6 +534,21 @@ def test_caps_belong_to_sources(spark):
     assert got["a"].tokens == 8000 and got["b"].tokens == 2000 and got["a"].shortfall == pytest.approx(1 - 10000 / 12000)
 
 
+def test_cross_split_moves_narrow_rows(spark):
+    """Texts of one mould, of which few pairs are near enough: what meets is moved in a few bytes."""
+    rnd, letters = random.Random(8), "abcdefghijklmnopqrstuvwxyz"
+    heads = ["".join(rnd.choice(letters) for _ in range(60)) for _ in range(6)]
+    texts = [heads[i % 6] + "".join(rnd.choice(letters) for _ in range(40)) for i in range(1800)]
+    rows = [("t", i, "train" if i < 1500 else "test", "s", t) for i, t in enumerate(texts)] + [("t", 5000, "test", "s", texts[3][:-1] + "?!0"), ("u", 5001, "test", "s", texts[4])]
+    df = spark.createDataFrame(rows, "tbl string, id long, split string, source string, text string")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    members, links = crosssplit.cross_split(df)
+    assert links.count() == 1
+    moved = written() - before
+    assert moved < 4_000_000, moved
+
+
 def test_topics_are_fitted_on_all_texts(spark):
     """A twentieth of 8,000 texts has words of its own, in the ids that a sample by lowest hash leaves out."""
     ids = [r.id for r in spark.range(8000).orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 40))).collect()]
